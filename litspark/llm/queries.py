@@ -5,6 +5,35 @@ from __future__ import annotations
 from .common import table
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    from .ngram_jaccard import digest, jaccard_join
+
+    return digest(jaccard_join(table(spark, sf_dir, "documents")))
+
+
+def op2_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_files import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
+def op5_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import dedup_suffixes, digest
+
+    return digest(dedup_suffixes(table(spark, sf_dir, "documents")))
+
+
+def op7_bpe_round_trip(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import decode_documents, digest, encode_documents
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return digest(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
+
+
 def op10_substring_dedup(spark, sf_dir):
     from .substring_dedup import dedup_substrings, digest
 
@@ -12,6 +41,10 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_token_files": op2_token_files,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
