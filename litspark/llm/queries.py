@@ -19,12 +19,30 @@ def op2_token_files(spark, sf_dir):
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op3_source_mixing(spark, sf_dir):
+    from .mixing import digest, mix
+
+    return digest(mix(table(spark, sf_dir, "documents")))
+
+
+def op4_quality_cotrain(spark, sf_dir):
+    from .quality_cotrain import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import dedup_suffixes, digest
 
     return digest(dedup_suffixes(table(spark, sf_dir, "documents")))
 
 
+def op6_url_filter(spark, sf_dir):
+    from .url_filter import default_rules, judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), default_rules(spark))
+
+
 def op7_bpe_round_trip(spark, sf_dir):
     import public_tokenizers
 
@@ -34,6 +52,18 @@ def op7_bpe_round_trip(spark, sf_dir):
     return digest(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
 
 
+def op8_tiff_media(spark, sf_dir):
+    from .tiff import decode_pages, digest, store_texts
+
+    return digest(decode_pages(store_texts(table(spark, sf_dir, "documents"))))
+
+
+def op9_srs_search(spark, sf_dir):
+    from .srs_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     from .substring_dedup import dedup_substrings, digest
 
@@ -43,9 +73,21 @@ def op10_substring_dedup(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_quality_cotrain": op4_quality_cotrain,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_tiff_media": op8_tiff_media,
+    "op9_srs_search": op9_srs_search,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _oracles() -> dict[str, str]:
+    from . import mixing, url_filter
+
+    return {"op3_source_mixing": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()

@@ -141,20 +141,24 @@ def keep_mask(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    texts, spark = doc_texts(docs), docs.sparkSession
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_words, n_removed, kept (the words left, joined by one space), text (kept, or
+    the input's text where nothing is removed), and the columns named in carry."""
+    spark = docs.sparkSession
+    texts = doc_texts(docs)
     merged = materialize(merge_sketches(window_sketch(texts, window, shard_count(spark))), "sketch")
     cells = CellFilter(merged)
     discard(merged)
     marks = removal_starts(repeated_windows(texts, cells, window))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text", pa.binary())])
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b"")).alias("raw"), *carry)
+    whole = bool(carry)
 
     def apply(batches):
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for at in range(0, b.num_rows, 500):
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 part = [cols[n].slice(at, 500) for n in ("doc_id", "raw", "places", "own")]
                 for doc_id, raw, places, own in zip(part[0].to_pylist(), part[1].to_pylist(), part[2], part[3].to_pylist()):
                     words = raw.split()
@@ -166,12 +170,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     if len(starts):
                         keep = keep_mask(n, starts, window)
                         words = [words[i] for i in np.flatnonzero(keep)]
-                    for o, v in zip(out, (doc_id, n, n - len(words), b" ".join(words))):
+                    kept = b" ".join(words)
+                    for o, v in zip(out, (doc_id, n, n - len(words), kept, (raw if len(words) == n else kept) if whole else None)):
                         o.append(v)
-                yield record(schema, *out)
+                rest = [cols[c].slice(at, 500) for c in carry]
+                yield pa.RecordBatch.from_arrays([*record(schema, *out).columns, *rest], names=[*schema.names, *carry])
 
-    found = texts.join(marks, "doc_id", "left").select("doc_id", "raw", "places", "own")
-    return found.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))
+    found = carried.filter("doc_id is not null").join(marks, "doc_id", "left").select("doc_id", "raw", "places", "own", *carry)
+    kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
+    result = found.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept binary, text binary" + kinds)
+    return result.withColumn("kept", F.decode("kept", "UTF-8")).withColumn("text", F.decode("text", "UTF-8"))
 
 
 def digest(result: DataFrame) -> DataFrame:
