@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U64, doc_texts, mix64, record, rolling, text_blocks
-from .token_cache import process_cache, read_tokenizer
+from .token_cache import LIMIT, process_cache, read_tokenizer
 
 HASHED = 4  # bytes under the rolling hash
 SKIPPED = 16  # one in so many places before white space is not cut
-INSIDE = 512  # one in so many places inside words is cut
+INSIDE = 4096  # one in so many places inside words is cut
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -75,26 +75,29 @@ def encode_texts(raws: list[bytes], tokenizer_text: str) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     cache = process_cache(tokenizer_text)
     texts = chunk(raws)
-    known = set(c for chunks, _ in texts for c in chunks)
-    unknown = [c for c in known if c not in cache]
-    several = [c for c in unknown if c.find(b" ", 1) > 0]  # made of words that may be known
-    words = {c: c.split(b" ") for c in several}
-    found = cache.lookup([c for c in unknown if c not in words] + [w for ws in words.values() for w in ws])
-    built = {c: b"".join(map(found.__getitem__, ws)) for c, ws in words.items()}
-    table = {c: built[c] if c in built else found[c] if c in found else cache[c] for c in known}
+
+    def fresh(unknown):
+        """Chunks not seen before, from their words, which may be known; a chunk is kept with its ids."""
+        words = [c.split(b" ") for c in unknown]
+        built = {c: b"".join(v) for c, v in zip(unknown, cache.values(words))}
+        if len(cache) + len(built) <= LIMIT:
+            cache.update(built)
+        return built
+
+    tables = cache.values([chunks for chunks, _ in texts], fresh)
     encode = lambda piece: cache.encode([piece])[0]
     out = []
-    for chunks, inside in texts:
+    for (chunks, inside), values in zip(texts, tables):
         if not inside:
-            out.append(b"".join(map(table.__getitem__, chunks)))
+            out.append(b"".join(values))
             continue
         done, starts = [], set(inside)
-        for i, c in enumerate(chunks):
+        for i, (c, ids) in enumerate(zip(chunks, values)):
             if i in starts:
                 left, a = done.pop()
-                done.append((left + c, _join(left, a, c, table[c], encode)))
+                done.append((left + c, _join(left, a, c, ids, encode)))
             else:
-                done.append((c, table[c]))
+                done.append((c, ids))
         out.append(b"".join(x[1] for x in done))
     return out
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from array import array
 
-LIMIT = 600_000  # pieces a process keeps; beyond it, new pieces are encoded each time they occur
+import numpy as np
+
+LIMIT = 1_500_000  # pieces a process keeps; beyond it, new pieces are encoded each time they occur
 _processes: dict = {}
 
 
@@ -23,34 +25,58 @@ def load_tokenizer(text: str):
 class PieceCache(dict):
     """Piece (bytes) -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer, prefix: str = ""):
+    def __init__(self, tokenizer, prefix: str = "", separator: str | None = None):
         super().__init__()
         self.tokenizer, self.prefix = tokenizer, prefix
+        self.separator = separator if separator and tokenizer.token_to_id(separator) is not None else None
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([self.prefix + p.decode() for p in pieces], add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]
 
-    def lookup(self, pieces: list[bytes]) -> dict:
-        """A mapping that holds every given piece."""
-        unknown = list(set(pieces).difference(self))
-        if not unknown:
-            return self
+    def encode_joined(self, pieces: list[bytes]) -> list[bytes]:
+        """As encode, for pieces without the separator: its special token parts them in one call."""
+        text = self.separator.join([self.prefix + p.decode() for p in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.tokenizer.token_to_id(self.separator)) * 4
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]
+
+    def fresh(self, unknown: list[bytes]) -> dict:
+        """Ids of pieces that the cache lacks; it keeps them while there is room."""
         new = {}
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
+        apart = unknown
+        if self.separator:
+            mark = self.separator.encode()
+            apart = [p for p in unknown if mark in p]
+            joined = [p for p in unknown if mark not in p] if apart else unknown
+            for i in range(0, len(joined), 2000):
+                part = joined[i : i + 2000]
+                new.update(zip(part, self.encode_joined(part)))
+        for i in range(0, len(apart), 4096):
+            part = apart[i : i + 4096]
             new.update(zip(part, self.encode(part)))
         if len(self) + len(new) <= LIMIT:
             self.update(new)
-            return self
-        return {p: self[p] if p in self else new[p] for p in set(pieces)}
+        return new
+
+    def values(self, lists: list[list[bytes]], fresh=None) -> list[list[bytes]]:
+        """Each list's pieces replaced by their ids."""
+        out = [list(map(self.get, pieces)) for pieces in lists]
+        holes = [i for i, v in enumerate(out) if None in v]
+        if holes:
+            unknown = {p for i in holes for p, v in zip(lists[i], out[i]) if v is None}
+            new = (fresh or self.fresh)(list(unknown))
+            for i in holes:
+                out[i] = [new[p] if v is None else v for p, v in zip(lists[i], out[i])]
+        return out
 
 
-def process_cache(text: str, prefix: str = "") -> PieceCache:
+def process_cache(text: str, prefix: str = "", separator: str | None = None) -> PieceCache:
     """The worker process's cache for a tokenizer, kept from task to task."""
     key = (hash(text), prefix)
     if key not in _processes:
-        _processes[key] = PieceCache(load_tokenizer(text), prefix)
+        _processes[key] = PieceCache(load_tokenizer(text), prefix, separator)
     return _processes[key]
 
 

@@ -29,15 +29,16 @@ from .common import doc_texts, materialize, n_parts, new_path, record, text_bloc
 from .token_cache import process_cache, read_tokenizer
 
 # bytes that may touch a space as further white space; texts without them are cut by a plain split
-RARE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0",
-        b"\xe1\x9a", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+RARE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+RARE_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+SEPARATOR = "<|endoftext|>"  # a special token: what it parts is encoded apart
 SPACE = "\\s\u180e\u200b-\u200f\u2060\ufeff"
 JOIN = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 
 def pieces(raw: bytes) -> list[bytes]:
     """The text cut before single spaces between other characters, without those spaces."""
-    if any(r in raw for r in RARE):
+    if any(r in raw for r in RARE) or not raw.isascii() and any(r in raw for r in RARE_WIDE):
         return [p.encode() for p in JOIN.split(raw.decode())]
     return raw.split(b" ")
 
@@ -45,9 +46,9 @@ def pieces(raw: bytes) -> list[bytes]:
 def encode_texts(raws: list[bytes], tokenizer_text: str) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     cut = [pieces(r) for r in raws]
-    heads = process_cache(tokenizer_text).lookup([c[0] for c in cut])
-    tails = process_cache(tokenizer_text, " ").lookup([p for c in cut for p in c[1:]])
-    return [b"".join([heads[c[0]], *map(tails.__getitem__, c[1:])]) for c in cut]
+    heads = process_cache(tokenizer_text).values([[c[0]] for c in cut])
+    tails = process_cache(tokenizer_text, " ", SEPARATOR).values([c[1:] for c in cut])
+    return [b"".join([*h, *t]) for h, t in zip(heads, tails)]
 
 
 MANIFEST = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])

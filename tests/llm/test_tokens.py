@@ -28,7 +28,7 @@ def test_pieces_give_the_library_s_ids(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(mixed, pieced), st.sampled_from([2, 512]))
+@given(st.one_of(mixed, pieced), st.sampled_from([2, 4096]))
 def test_chunks_give_the_library_s_ids(text, inside):
     bpe.INSIDE, old = inside, bpe.INSIDE
     try:
