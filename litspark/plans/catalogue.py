@@ -1,4 +1,4 @@
-"""The library's registered queries with their SQL."""
+"""All registered queries of the library with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import annotation_plans, corpus_plans, evaluation_plans, model_plans, search_plans, text_plans  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
