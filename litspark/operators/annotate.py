@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.text import text_hash
+from .corpus import number_rows
 
 # The lines of the annotation form.
 FORM_VERSION = 1
@@ -16,7 +17,7 @@ HEADS = {"item": "## Trecho", "text": "### Texto", "marks": "### Classificação
 
 def form_sections(paragraphs: DataFrame, hide_scores: bool = True, blind: bool = False) -> DataFrame:
     """One Markdown section per paragraph, numbered in order: (n, paragraph_id, section)."""
-    n = F.row_number().over(Window.orderBy("paragraph_id"))  # a form is read by one person
+    paragraphs, n = number_rows(paragraphs, "n", "paragraph_id", start=1), F.col("n")
     boxes = "\n".join(f"- [ ] {b}" for b in BOXES)
     head = [F.concat(F.lit(HEADS["item"] + " "), n.cast("string"), F.lit("\n"))]
     if not blind:

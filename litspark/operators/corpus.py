@@ -127,12 +127,15 @@ def write_if_absent(df: DataFrame, path: str, policy: str = "skip") -> None:
         df.write.mode("ignore" if policy == "skip" else "overwrite").parquet(path)
 
 
-def number_rows(df: DataFrame, name: str, *order: str, start: int = 0, cells: int = 4096) -> DataFrame:
-    """Contiguous numbers from start in a total order, in two levels over ranges of the first order column's hash-free
-    quantiles: ranges are ranked alone and start after the rows before them."""
+def number_rows(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame:
+    """Contiguous numbers from start in a total order: ranges of the first column (numbers or strings) are ranked alone
+    and start after the rows before them."""
     first = order[0]
-    cuts = df.approxQuantile(first, [i / 64 for i in range(1, 64)], 0.001) if dict(df.dtypes)[first] in ("bigint", "int", "double", "float") else []
-    cell = sum(((F.col(first) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    if dict(df.dtypes)[first] == "string":
+        cell = F.substring(first, 1, 3)  # keeps the order
+    else:
+        cuts = df.approxQuantile(first, [i / 64 for i in range(1, 64)], 0.001)
+        cell = sum(((F.col(first) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     rows = df.withColumn("_cell", cell)
     counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
