@@ -35,7 +35,9 @@ LANGUAGE_WORDS = {
 JOURNAL_PHRASES = ("journal of", "proceedings of", "transactions on", "annals of", "review of", "ieee", "nature", "science")
 NO_TITLE = "(?i)^(ISSN|DOI|http|Volume|Vol\\.|Issue|Page|Página)"
 UNKNOWN = "não identificado"
+# The patterns of DOIs, years and tokens.
 DOI = "10\\.\\d{4,9}/[-._;()/:A-Za-z0-9]+"
+YEAR = "\\b(19\\d{2}|20[0-2]\\d)\\b"
 TOKEN = "(?U)\\b[a-zA-ZÀ-ÿ]{3,}\\b"
 
 
@@ -85,7 +87,7 @@ def first_year(text, this_year: int = 2100, creation_date=None) -> Column:
     of the first 1500 characters."""
     t = _col(text)
     pub = F.regexp_extract(t, "(?i)(?:Published|Accepted|Copyright|©|\\b19\\d{2}\\b|\\b20\\d{2}\\b)[^\\n]*?(19\\d{2}|20[0-2]\\d)", 1)
-    years = F.regexp_extract_all(F.substring(t, 1, 1500), F.lit("\\b(19\\d{2}|20[0-2]\\d)\\b"), F.lit(1))
+    years = F.regexp_extract_all(F.substring(t, 1, 1500), F.lit(YEAR), F.lit(1))
     usable = F.filter(F.transform(years, lambda y: y.cast("int")), lambda y: (y >= 1900) & (y <= this_year))
     found = F.coalesce(F.when(pub != "", pub.cast("int")), F.get(usable, F.lit(0)))
     if creation_date is None:
@@ -135,21 +137,22 @@ def language(text) -> Column:
     return out
 
 
-def reference_evidence(after, position) -> Column:
-    """Confidence that a heading opens the references, from the next 40 non-empty lines (an array) and its relative
-    position in the document; without following lines the partial score stands, unclamped."""
-    rest = F.array_join(after, "\n")
+def reference_evidence(after, position, heading=None) -> Column:
+    """Confidence that a heading opens the references, from the next 40 non-empty lines (an array), its page over the
+    number of pages, and the heading's line; without following lines the partial score stands, unclamped."""
+    rest = F.array_join(after, " ")
     base = F.lit(0.30) + F.when(position >= 0.7, 0.25).when(position >= 0.5, 0.15).otherwise(0.0)
-    years = F.regexp_count(rest, F.lit("\\b(19|20)\\d{2}\\b"))
+    years = F.regexp_count(rest, F.lit(YEAR))
     brackets = F.regexp_count(rest, F.lit("\\[\\d+\\]"))
-    links = F.regexp_count(rest, F.lit("(?i)10\\.\\d{4,9}/|https?://|doi\\.org"))
+    links = F.regexp_count(rest, F.lit("(?i)10\\.\\d{4,9}/|https?://|doi:"))
     more = F.when(years >= 5, 0.25).when(years >= 2, 0.15).otherwise(0.0) + F.when((brackets >= 3) | (links >= 2), 0.20).otherwise(0.0)
-    return F.when(F.size(after) == 0, base).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + more)))
+    if heading is not None:
+        more = more - F.when(F.length(F.trim(heading)) > 50, 0.30).otherwise(0.0)
+    return F.when(rest == "", base).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + more)))
 
 
 def is_reference_title(line) -> Column:
-    bare = F.lower(F.trim(F.regexp_replace(F.trim(_col(line)), "^[#*\\s\\-\\d\\.]+", "")))
-    return F.regexp_replace(bare, "[:*\\s]+$", "").isin(*REFERENCE_TITLES)
+    return F.trim(F.regexp_replace(F.lower(F.trim(_col(line))), "^[#*\\s\\-\\d\\.]+", "")).isin(*REFERENCE_TITLES)
 
 
 @F.pandas_udf(StringType())

@@ -232,3 +232,24 @@ def long_form(items: DataFrame, y: str, pred: str, prob: str | None = None, clas
     arrays = [F.col(y).alias("y"), F.col(pred).alias("pred")] + ([F.col(prob).alias("prob")] if prob else [])
     z = F.arrays_zip(F.array(*map(F.lit, classes)).alias("class"), *arrays)
     return items.select("id", F.explode(z).alias("z")).select("id", "z.*")
+
+
+def class_table(long: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """The report's table of the active classes: metrics, curves and thresholds side by side, one row a class."""
+    out = class_metrics(long).join(average_precision(long), "class").join(roc_auc(long), "class")
+    return out.join(thresholds.select("class", "threshold"), "class", "left") if thresholds is not None else out
+
+
+def global_table(long: DataFrame) -> DataFrame:
+    """The report's global metrics, one row each."""
+    g = global_metrics(long)
+    return g.select(F.explode(F.create_map(*(x for c in g.columns for x in (F.lit(c), F.col(c).cast("double"))))).alias("metric", "value"))
+
+
+def compare_models(results: dict[str, DataFrame], gold: DataFrame, minimum_recall: float = 0.90, k: int = 10) -> DataFrame:
+    """Calibrated threshold and ranking of several models' results on the same gold standard: one row a model."""
+    out = None
+    for name, res in results.items():
+        one = calibrate(res, gold, minimum_recall).crossJoin(ranking_metrics(res, gold, k).select("ndcg")).withColumn("model", F.lit(name))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out

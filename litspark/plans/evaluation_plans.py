@@ -144,6 +144,28 @@ def consistency_checks(spark, sf_dir):
     return E.consistency_checks(long_rows(spark, sf_dir).join(few, "id", "left_semi"))
 
 
+@query(STEPS + """, ap AS (SELECT class, round(sum(p * tp / (tp + fp)::DOUBLE) / max(pos), 4) AS average_precision FROM w GROUP BY 1),
+au AS (SELECT a.class, round(sum(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 4) AS roc_auc FROM long a JOIN long b ON a.class = b.class AND a.y = 1 AND b.y = 0 GROUP BY 1)
+SELECT class, tp + fn AS support, round(tp / nullif(tp + fp, 0)::DOUBLE, 4) AS precision, average_precision, roc_auc FROM cm JOIN ap USING (class) JOIN au USING (class)""")
+def evaluation_table(spark, sf_dir):
+    return E.class_table(long_rows(spark, sf_dir)).select("class", "support", "precision", "average_precision", "roc_auc")
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    """Two models' vectors (the given ones and their first half) on the same gold standard."""
+    from ..operators import search
+    from .search_plans import anchors, paragraphs
+
+    half = lambda d: d.withColumn("embedding", F.slice("embedding", 1, 32))
+    both = {"full": (paragraphs(spark, sf_dir), anchors(spark, sf_dir)), "half": (half(paragraphs(spark, sf_dir)), half(anchors(spark, sf_dir)))}
+    found = {}
+    for name, (p, a) in both.items():
+        r = search.multi_anchor_search(p, a, threshold=0.0)
+        found[name] = r.select("paragraph_id", F.round((1 + F.col("aggregate_score")) / 2, 6).alias("aggregate_score"), "rank")
+    return E.compare_models(found, gold(spark, sf_dir))
+
+
 @query()
 def bootstrap_ci(spark, sf_dir):
     return E.bootstrap(long_rows(spark, sf_dir), 400)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import segment
 from ..functions import text as T
-from ..operators import explore
+from ..operators import explore, references
 from .registry import query, table
 
 TOKENS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-ZÀ-ÿ]{3,}') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], w))"
@@ -42,24 +42,33 @@ def repeated_headers_footers(spark, sf_dir):
     return explore.repeated_lines(pages, ratio=0.04)
 
 
-REF = "(text || chr(10) || '## References' || chr(10) || '[1] A (' || (1990 + doc_id % 30) || ') x. 10.1234/' || doc_id || chr(10) || '[2] B (1999) y' || chr(10) || '[3] C (' || (2000 + doc_id % 20) || ')' || repeat(chr(10) || 'd (2001)', CAST(doc_id % 4 AS INT)))"
+# Documents as the last of three pages, with a list of references of a length that depends on the document.
+REF = "(text || chr(10) || '## References' || chr(10) || '[1] A (' || (1990 + doc_id % 30) || ') x. 10.1234/' || doc_id || chr(10) || '[2] B (1999) y' || repeat(chr(10) || '[3] C (2001)', CAST(doc_id % 5 AS INT)))"
+EVIDENCE = f"""
+WITH t AS (SELECT doc_id, text AS body, list_transform(string_split({REF}, chr(10)), lambda x: trim(x)) AS l FROM documents),
+i AS (SELECT doc_id, body, l, list_position(l, '## References') AS k FROM t),
+r AS (SELECT doc_id, body, array_to_string(list_slice(list_filter(list_slice(l, k + 1, len(l)), lambda x: x <> ''), 1, 40), ' ') AS s FROM i),
+c AS (SELECT *, len(regexp_extract_all(s, '\\b(?:19\\d{{2}}|20[0-2]\\d)\\b')) AS years, len(regexp_extract_all(s, '\\[\\d+\\]')) AS br, len(regexp_extract_all(s, '(?i)10\\.\\d{{4,9}}/|https?://|doi:')) AS links FROM r),
+e AS (SELECT *, round(least(1.0, 0.55 + CASE WHEN years >= 5 THEN 0.25 WHEN years >= 2 THEN 0.15 ELSE 0 END + CASE WHEN br >= 3 OR links >= 2 THEN 0.2 ELSE 0 END)::DOUBLE, 2) AS confidence FROM c)
+"""
 
 
-@query(f"""
-WITH t AS (SELECT doc_id, list_transform(string_split({REF}, chr(10)), lambda x: trim(x)) AS l FROM documents),
-i AS (SELECT doc_id, l, list_position(l, '## References') AS k FROM t),
-r AS (SELECT doc_id, (k - 1) / len(l)::DOUBLE AS pos, list_slice(list_filter(list_slice(l, k + 1, len(l)), lambda x: x <> ''), 1, 40) AS after FROM i),
-c AS (SELECT doc_id, pos, len(after) AS n, array_to_string(after, chr(10)) AS s FROM r),
-k AS (SELECT *, len(regexp_extract_all(s, '\\b(?:19|20)\\d{{2}}\\b')) AS years, len(regexp_extract_all(s, '\\[\\d+\\]')) AS br, len(regexp_extract_all(s, '(?i)10\\.\\d{{4,9}}/|https?://|doi\\.org')) AS links FROM c)
-SELECT doc_id, round(least(1.0, 0.30 + CASE WHEN pos >= 0.7 THEN 0.25 WHEN pos >= 0.5 THEN 0.15 ELSE 0 END
-  + CASE WHEN years >= 5 THEN 0.25 WHEN years >= 2 THEN 0.15 ELSE 0 END + CASE WHEN br >= 3 OR links >= 2 THEN 0.2 ELSE 0 END)::DOUBLE, 4) AS confidence FROM k
-""")
+def _pages(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    front = F.array(*(F.struct(F.lit(p).alias("page"), F.lit(f"page {p}").alias("text")) for p in (1, 2)))
+    last = F.array(F.struct(F.lit(3).alias("page"), F.expr(REF).alias("text")))
+    return rows.select("article_id", F.explode(F.concat(front, last)).alias("p")).select("article_id", "p.page", "p.text")
+
+
+@query(EVIDENCE + "SELECT doc_id AS article_id, confidence >= 0.8 AS references_removed, '## References' AS detected_title, 3 AS start_page, confidence FROM e")
 def reference_section_score(spark, sf_dir):
-    rows = docs(spark, sf_dir).withColumn("text", F.expr(REF))
-    lines = F.transform(F.split("text", "\\n"), lambda x: F.trim(x))
-    rows = rows.select("doc_id", lines.alias("l")).withColumn("at", F.array_position("l", F.get(F.filter("l", T.is_reference_title), F.lit(0))))
-    after = F.slice(F.filter(F.slice("l", (F.col("at") + 1).cast("int"), F.size("l")), lambda x: x != ""), 1, 40)
-    return rows.select("doc_id", F.round(T.reference_evidence(after, (F.col("at") - 1) / F.size("l")), 4).alias("confidence"))
+    return references.decisions(_pages(spark, sf_dir), 0.8).select("article_id", "references_removed", "detected_title", "start_page", "confidence")
+
+
+@query(EVIDENCE + """SELECT doc_id AS article_id, p AS page, sha256(CASE WHEN p < 3 THEN 'page ' || p WHEN confidence >= 0.8 THEN regexp_replace(body, '^[\\s]+|[\\s]+$', '', 'g') ELSE t.text END) AS sha
+FROM e JOIN (SELECT doc_id, """ + REF + """ AS text FROM documents) t USING (doc_id), (VALUES (1), (2), (3)) v(p)""")
+def references_removed(spark, sf_dir):
+    return references.remove_references(_pages(spark, sf_dir), 0.8).select("article_id", "page", F.sha2("text", 256).alias("sha"))
 
 
 @query(f"SELECT doc_id, rtrim(regexp_extract(text, '10\\.\\d{{4,9}}/[-._;()/:A-Za-z0-9]+'), '.,;') AS doi, CAST(regexp_extract(text, '(?i)(?:Published|Accepted|Copyright|©|\\b19\\d{{2}}\\b|\\b20\\d{{2}}\\b)[^\\n]*?(19\\d{{2}}|20[0-2]\\d)', 1) AS INT) AS year FROM (SELECT doc_id, {RICH} AS text FROM documents)")

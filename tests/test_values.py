@@ -9,8 +9,9 @@ from litspark.functions import labels as L
 from litspark.functions import segment as S
 from litspark.functions import text as T
 from litspark.operators import annotate as A
-from litspark.operators import classify, corpus, explore, extract, index, report, sampling, search
+from litspark.operators import classify, corpus, explore, extract, index, ingest, references, report, sampling, search
 from litspark.operators import evaluate as E
+from litspark.operators.project import Project
 from litspark.sources import readers, writers
 from litspark.streaming import incremental
 from pyspark.sql import functions as F
@@ -184,7 +185,37 @@ def test_text_functions(spark):
     assert one(spark, T.page_range("a", "b"), a=("int", 3), b=("int", 4)) == "3-4"
     full = one(spark, T.reference_evidence(F.col("a"), F.lit(0.8)), a=("array<string>", ["[1] a (1990)", "[2] b (1991)", "[3] c (1992) (1993) (1994)"]))
     assert full == pytest.approx(1.0) and one(spark, T.reference_evidence(F.col("a"), F.lit(0.2)), a=("array<string>", [])) == pytest.approx(0.3)
-    assert s(T.is_reference_title("t"), "## 7. Referências Bibliográficas:") and not s(T.is_reference_title("t"), "The references in prose")
+    assert s(T.is_reference_title("t"), "## 7. Referências Bibliográficas") and not s(T.is_reference_title("t"), "The references in prose")
+
+
+def test_reference_removal(spark):
+    refs = "References\n" + "\n".join(f"[{i}] Author ({1990 + i}) Title. doi:10.1234/x{i}" for i in range(1, 8))
+    rows = [("high", 1, "Intro\ntext"), ("high", 2, "Body\nmore"), ("high", 3, "End of body\n" + refs), ("high", 4, "[9] X (2001)"),
+            ("low", 1, "We cite references here"), ("low", 2, "in the references of prose"), ("early", 1, refs), ("early", 2, "b"), ("early", 3, "c"), ("top", 1, "a"), ("top", 2, refs)]
+    pages = spark.createDataFrame(rows, "article_id string, page int, text string")
+    d = {r.article_id: r for r in references.decisions(pages).collect()}
+    assert d["high"].references_removed and d["high"].start_page == 3 and d["high"].confidence >= 0.6 and d["high"].detected_title == "References"
+    assert not d["low"].references_removed and d["low"].confidence == 0 and not d["early"].references_removed
+    kept = {(r.article_id, r.page): r.text for r in references.remove_references(pages).collect()}
+    assert kept["high", 3] == "End of body" and ("high", 4) not in kept and ("top", 2) not in kept and kept["low", 2] == "in the references of prose" and ("early", 3) in kept
+    assert references.remove_references(pages.limit(0)).count() == 0
+
+
+def test_ingest_and_project(spark, tmp_path):
+    pages = [(1, "A study of large things in small places\n\nThe text of the page with the words of the kind that a para-\ngraph needs."), (2, "More of the text and more of the words in the page, enough for the limit.\nReferences\n[1] A 1990\n[2] B 1991\n[3] C 1992 1993 1994")]
+    arts = spark.createDataFrame([("h1.pdf", bytearray(b"x"), [{"page": p, "text": t} for p, t in pages], None, "Ana Souza; Bo Li", "D:20190512")], "source_pdf string, content binary, pages array<struct<page:int,text:string>>, title string, author string, creation_date string")
+    meta = ingest.metadata(arts).first()
+    assert meta.article_id.startswith("SLD-") and meta.authors == ["Ana Souza", "Bo Li"] and meta.year == 2019 and meta.language == "en" and meta.title == "A study of large things in small places" and "doi" in meta.metadata_warnings[0]
+    out = ingest.process(arts).collect()
+    assert [o.status for o in out] == ["success"] and "paragraph needs" in out[0].markdown and "[1] A" not in out[0].markdown and "<!-- page: 2 -->" in out[0].markdown
+    project = Project(spark, str(tmp_path / "p"))
+    assert not project.exists()
+    project.create({"min_words": 8})
+    project.write_stage("segments", ingest.segments(ingest.process(arts)))
+    project.set_status("segmented")
+    again = Project(spark, str(tmp_path / "p"))
+    assert again.metadata()["status"] == "segmented" and again.read_stage("segments").count() == 3 and again.read_stage("index") is None
+    assert dict(again.stages())["segments"] and not dict(again.stages())["index"]
 
 
 def test_headers_and_cooccurrence(spark):
