@@ -102,18 +102,17 @@ def encode_texts(raws: list[bytes], tokenizer_text: str) -> list[bytes]:
     return out
 
 
+# ---------------------------------------------------------------- steps over Arrow batches, and their DataFrame operators
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+DECODED = pa.schema([*IDS, ("decoded", pa.string())])
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+IDS_DDL, DECODED_DDL = "doc_id long, ids binary", "doc_id long, ids binary, decoded string"
+DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit integers)."""
-    tokenizer = read_tokenizer(docs.sparkSession, tokenizer_path)
-
-    def run(batches):
-        for ids, raws in text_blocks(batches):
-            yield record(IDS, ids, encode_texts(raws, tokenizer.value))
-
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids binary")
+def encode_batches(batches, tokenizer_text: str):
+    for ids, raws in text_blocks(batches):
+        yield record(IDS, ids, encode_texts(raws, tokenizer_text))
 
 
 def decode_table(tokenizer) -> list[str]:
@@ -122,43 +121,54 @@ def decode_table(tokenizer) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(size)]
 
 
-def decode_documents(coded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """coded (doc_id, ids) -> doc_id, ids, decoded (as the library's decode with skip_special_tokens=False)."""
-    tokenizer = read_tokenizer(coded.sparkSession, tokenizer_path)
-    schema = pa.schema([*IDS, ("decoded", pa.string())])
+def decode_batches(batches, tokenizer_text: str):
+    tok = process_cache(tokenizer_text).tokenizer
+    table = None if tok.decoder is not None else decode_table(tok)
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            ids, raws = b.column(0).slice(at, 500), b.column(1).slice(at, 500)
+            lists = [np.frombuffer(r, "<u4").tolist() for r in raws.to_pylist()]
+            if table is None:
+                texts = tok.decode_batch(lists, skip_special_tokens=False)
+            else:
+                texts = [" ".join(map(table.__getitem__, x)) for x in lists]
+            yield record(DECODED, ids, raws, texts)
 
-    def run(batches):
-        from .token_cache import load_tokenizer
 
-        tok = load_tokenizer(tokenizer.value)
-        table = None if tok.decoder is not None else decode_table(tok)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                ids = b.column(0).slice(at, 500)
-                raws = b.column(1).slice(at, 500)
-                lists = [np.frombuffer(r, "<u4").tolist() for r in raws.to_pylist()]
-                if table is None:
-                    texts = tok.decode_batch(lists, skip_special_tokens=False)
-                else:
-                    texts = [" ".join(map(table.__getitem__, x)) for x in lists]
-                yield record(schema, ids, raws, texts)
+def digest_batches(batches):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    decimal = [str(i) for i in range(1 << 16)]
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            lists = [np.frombuffer(r, "<u4").tolist() for r in b.column(1).slice(at, 500).to_pylist()]
+            while max(map(max, filter(None, lists)), default=0) >= len(decimal):
+                decimal += [str(i) for i in range(len(decimal), 2 * len(decimal))]
+            texts = b.column(2).slice(at, 500).cast(pa.binary()).to_pylist()
+            yield record(DIGESTS, b.column(0).slice(at, 500), [len(x) for x in lists], [sha(" ".join(map(decimal.__getitem__, x)).encode()) for x in lists], [sha(t) for t in texts])
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit integers)."""
+    tokenizer = read_tokenizer(docs.sparkSession, tokenizer_path)
+    return doc_texts(docs).mapInArrow(lambda batches: encode_batches(batches, tokenizer.value), IDS_DDL)
 
-    return coded.mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+def decode_documents(coded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """coded (doc_id, ids) -> doc_id, ids, decoded (as the library's decode with skip_special_tokens=False)."""
+    tokenizer = read_tokenizer(coded.sparkSession, tokenizer_path)
+    return coded.select("doc_id", "ids").mapInArrow(lambda batches: decode_batches(batches, tokenizer.value), DECODED_DDL)
 
 
 def digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return decoded.select("doc_id", "ids", "decoded").mapInArrow(digest_batches, DIGESTS_DDL)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """digest(decode_documents(encode_documents(docs))) in one Python pass: one worker and one cache per task."""
+    tokenizer = read_tokenizer(docs.sparkSession, tokenizer_path)
 
     def run(batches):
-        decimal = [str(i) for i in range(1 << 16)]
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                lists = [np.frombuffer(r, "<u4").tolist() for r in b.column(1).slice(at, 500).to_pylist()]
-                while max(map(max, filter(None, lists)), default=0) >= len(decimal):
-                    decimal += [str(i) for i in range(len(decimal), 2 * len(decimal))]
-                texts = b.column(2).slice(at, 500).cast(pa.binary()).to_pylist()
-                yield record(schema, b.column(0).slice(at, 500), [len(x) for x in lists], [sha(" ".join(map(decimal.__getitem__, x)).encode()) for x in lists], [sha(t) for t in texts])
-
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        yield from digest_batches(decode_batches(encode_batches(batches, tokenizer.value), tokenizer.value))
+
+    return doc_texts(docs).mapInArrow(run, DIGESTS_DDL)
