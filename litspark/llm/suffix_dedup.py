@@ -1,8 +1,9 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that also starts anywhere else.
 
-Equal strings must meet in one shard, so each 200-byte string is dealt by the least hashed 16-byte gram inside it, and
-consecutive strings with the same gram travel as one segment.  Grams that the merged sketch counts once cannot hold a
-repeated string and are not dealt.  A shard holds its distinct segments with their numbers of occurrences, sorts their
+Equal strings must meet in one shard, so each 200-byte string is dealt by the least hashed 64-byte gram inside it, and
+consecutive strings with the same gram travel as one segment.  A merged sketch counts those grams and a sample of all
+32-byte grams, chosen by their own hash: a repeated string holds none that is counted once, and only strings that hold
+none are dealt.  A shard holds its distinct segments with their numbers of occurrences, sorts their
 concatenation by induced sorting and reads repeats off the permuted common prefixes; the marks go back to the documents
 by the segments' 128-bit digests.
 
@@ -22,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, merge_sketches, mix64, n_parts, record, rolling,
+    BASE, SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, merge_sketches, mix64, n_parts, record, rolling,
     run_starts, shard_count, sketch_rows, sliding, text_blocks,
 )
 from .suffix_array import capped_plcp, suffix_array
 
 LENGTH = 200
-GRAM = 16
-SHARD_BYTES = 8_000_000  # text sorted at once
+GRAM = 64
+SAMPLE = 32  # bytes of the sampled grams, of which one in so many is counted
+SHARD_BYTES = 2_000_000  # text sorted at once
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 SEGMENTS = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
@@ -37,30 +39,42 @@ SEGMENTS = pa.schema(
 SEGMENTS_DDL = "doc_id long, start long, d1 long, d2 long, key long, n long, bytes binary"
 
 
-def _strings(texts, length):
-    """Concatenated bytes, text lengths, valid string starts, their least grams, and all grams."""
+def _strings(texts, length, level=0):
+    """Concatenated bytes, text lengths, valid string starts, their least grams, all grams, and the sampled places with
+    their grams; each level has a hash of its own."""
     lengths = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    gram = min(GRAM, length)
+    gram, small = min(GRAM, length), min(SAMPLE, length)
     span = length - gram + 1
-    grams = rolling(TABLE[data], gram)
+    h = TABLE[data]
+    part = rolling(h, small)
+    n = len(part) - small
+    grams = part[:n] * U64(pow(BASE, small, 1 << 64)) + part[small:] if gram == 2 * small and n > 0 else rolling(h, gram)
     grams ^= grams >> U64(32)
     grams *= U64(0x94D049BB133111EB)
+    if level:
+        grams = mix64(grams + U64(level))
     least = sliding(grams, span, np.minimum) if len(grams) >= span else np.empty(0, U64)
-    ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
-    valid = ends - np.arange(len(least)) >= length
-    return lengths, valid, least, grams, span
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    valid = ends[: len(least)] - np.arange(len(least)) >= length
+    if level:
+        return lengths, valid, least, grams, span, None, None
+    part *= U64(0xBF58476D1CE4E5B9)
+    places = np.flatnonzero((part >> U64(40)) % U64(SAMPLE) == 0)
+    places = places[ends[places] - places >= small]
+    return lengths, valid, least, grams, span, places, part[places]
 
 
-def _cell(grams):
-    return (mix64(grams + U64(1)) >> U64(32)).astype(np.uint32)
+def _cell(grams, kind=1):
+    return (mix64(grams + U64(kind)) >> U64(32)).astype(np.uint32)
 
 
 def gram_sketch(texts: DataFrame, length: int, shards: int) -> DataFrame:
     def build(batches):
         cells = []
         for _, raws in text_blocks(batches, 1_000_000):
-            _, valid, least, grams, span = _strings(raws, length)
+            _, valid, least, grams, span, _, sampled = _strings(raws, length)
+            cells.append(_cell(sampled, 2))
             if valid.any():
                 least[~valid] = 0
                 padded = np.zeros(len(grams) + span - 1, U64)
@@ -79,13 +93,18 @@ def segments(texts: DataFrame, cells: CellFilter, length: int) -> DataFrame:
     def emit(batches):
         distinct: dict[bytes, list] = {}
         for doc_ids, raws in text_blocks(batches, 1_000_000):
-            lengths, valid, least, _, _ = _strings(raws, length)
+            lengths, valid, least, _, _, places, sampled = _strings(raws, length)
+            once = np.zeros(int(lengths.sum()) + 1, np.int32)
+            once[places[~mask(_cell(sampled, 2))] + 1] = 1
+            np.cumsum(once, out=once)
+            reach = length - min(SAMPLE, length) + 1
+            valid &= once[reach : reach + len(valid)] == once[: len(valid)]
             at = np.flatnonzero(valid)
             if not len(at):
                 continue
             value = least[at]
-            doc = np.repeat(np.arange(len(raws)), np.maximum(lengths - length + 1, 0))
-            first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))))
+            doc = np.searchsorted(np.cumsum(lengths), at, side="right")
+            first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1))))
             size = np.diff(np.append(first, len(at)))
             hot = mask(_cell(value[first]))
             first, size = first[hot], size[hot]
@@ -116,7 +135,7 @@ def segments(texts: DataFrame, cells: CellFilter, length: int) -> DataFrame:
     return texts.mapInArrow(emit, SEGMENTS_DDL)
 
 
-def shard_repeats(parts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
+def shard_repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment of one shard the relative string starts that also start elsewhere in the shard."""
     lengths = np.array([len(p) + 1 for p in parts], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -131,16 +150,57 @@ def shard_repeats(parts: list[bytes], counts: list[int], length: int) -> list[np
     found[twin] = True
     found[phi[twin]] = True
     out = []
-    for s, n, count in zip(starts.tolist(), lengths.tolist(), counts):
-        out.append(np.arange(n - length) if count > 1 else np.flatnonzero(found[s : s + n - length]))
+    for s, n in zip(starts.tolist(), lengths.tolist()):
+        out.append(np.flatnonzero(found[s : s + n - length]))
     return out
 
 
 MARKS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("runs", pa.binary())])
 
 
+def _split(segs: list[tuple[bytes, int, int]], length: int, level: int):
+    """Cut a key's segments (bytes, owner, offset) by the least gram under another level's hash: equal strings meet in
+    the same part, and a gram in very many texts no longer gathers them all."""
+    parts: dict[int, list] = {}
+    lengths, valid, least, *_ = _strings([x[0] for x in segs], length, level)
+    at = np.flatnonzero(valid)
+    doc = np.repeat(np.arange(len(segs)), lengths - length + 1)
+    value = least[at]
+    first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))))
+    size = np.diff(np.append(first, len(at)))
+    starts = at[first] - (np.cumsum(lengths) - lengths)[doc[first]]
+    for d, p, n, v in zip(doc[first].tolist(), starts.tolist(), size.tolist(), value[first].tolist()):
+        raw, owner, offset = segs[d]
+        parts.setdefault(v, []).append((raw[p : p + n + length - 1], owner, offset + p))
+    return list(parts.values())
+
+
+LEVELS = 12
+
+
+def _batches(groups: list[list], length: int, limit: int):
+    """Lists of segments of whole keys, of about limit bytes; a larger key is cut by further grams."""
+    todo, batch, size = [(g, 0) for g in groups], [], 0
+    while todo:
+        group, level = todo.pop()
+        n = sum(len(x[0]) for x in group)
+        if n > limit and level < LEVELS and len(group) > 1:
+            parts = _split(group, length, level + 1)
+            if len(parts) > 1:
+                todo += [(p, level + 1) for p in parts]
+                continue
+        if batch and size + n > limit:
+            yield batch
+            batch, size = [], 0
+        batch += group
+        size += n
+    if batch:
+        yield batch
+
+
 def shard_marks(found: DataFrame, length: int) -> DataFrame:
     """d1, d2, runs: the repeated string starts of each distinct segment, as (first, last) pairs of 32-bit integers."""
+    limit = SHARD_BYTES
 
     def sort(batches):
         keys: dict[int, dict] = {}
@@ -148,26 +208,26 @@ def shard_marks(found: DataFrame, length: int) -> DataFrame:
             for d1, d2, key, n, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
                 known = keys.setdefault(key, {}).setdefault((d1, d2), [raw, 0])
                 known[1] += n
-        group, size = [], 0
-        todo = list(keys.values())
-        while todo or group:
-            if todo and (not group or size < SHARD_BYTES):
-                segs = todo.pop()
-                group += segs.items()
-                size += sum(len(v[0]) for v in segs.values())
-                if todo:
-                    continue
-            d1, d2, out = [], [], []
-            for (digest, _), at in zip(group, shard_repeats([v[0] for _, v in group], [v[1] for _, v in group], length)):
+        digests, groups, out = [], [], {}
+        for segs in keys.values():
+            group = []
+            for digest, (raw, n) in segs.items():
+                if n > 1:  # it occurs twice as it is: all its strings repeat; it stays for the others to find
+                    out[len(digests)] = [np.array([[0, len(raw) - length]])]
+                group.append((raw, len(digests), 0))
+                digests.append(digest)
+            if any(n == 1 for _, n in segs.values()):  # else every string of the key is known to repeat
+                groups.append(group)
+        del keys
+        for batch in _batches(groups, length, limit):
+            for (_, owner, offset), at in zip(batch, shard_repeats([x[0] for x in batch], length)):
                 if len(at):
                     cut = np.flatnonzero(np.diff(at) > 1)
                     runs = np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]], 1)
-                    d1.append(digest[0])
-                    d2.append(digest[1])
-                    out.append(runs.astype(np.int32).tobytes())
-            group, size = [], 0
-            for i in range(0, len(out), 5_000):
-                yield record(MARKS, d1[i : i + 5_000], d2[i : i + 5_000], out[i : i + 5_000])
+                    out.setdefault(owner, []).append(runs + offset)
+        rows = [(*digests[o], np.concatenate(r).astype(np.int32).tobytes()) for o, r in out.items()]
+        for i in range(0, len(rows), 5_000):
+            yield record(MARKS, *zip(*rows[i : i + 5_000]))
 
     rows = found.filter("key is not null").select("d1", "d2", "key", "n", "bytes")
     return rows.repartition(n_parts(found.sparkSession), "key").mapInArrow(sort, "d1 long, d2 long, runs binary")
