@@ -35,7 +35,8 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 LEVEL_BITS = 21  # cells of the document-frequency sketch: 2 MB of levels are broadcast, whatever the input
-ROUNDS = (64, 4096, None)  # how far apart in a list the pairs of each round lie; None: all that are left
+FOLD = 1024  # bits of a set's parity bitmap
+ROUNDS = (16, 1024, None)  # how far apart in a list the pairs of each round lie; None: all that are left
 
 
 def required(nx, ny, t=THRESHOLD):
@@ -211,25 +212,45 @@ def inverted_lists(entries: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, ENTRY_DDL + ", lead long")
 
 
+def parity_bitmap(s: np.ndarray) -> np.ndarray:
+    """The set folded to FOLD bits, a bit for the parity of its elements there, as 64-bit words.  Two bitmaps differ in
+    no more bits than the sets in elements."""
+    odd = np.bincount((s & U64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def load_sets(texts, k, wanted: CellFilter) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("elements", pa.list_(pa.int64())), ("fold", pa.list_(pa.int64()))])
     mask = wanted.probe()
+    words = FOLD // 64
 
     def run(batches):
         for ids, raws in text_blocks(batches):
             keep = np.flatnonzero(mask(_id_cells(ids)))
             if len(keep):
                 sets = shingle_sets([raws[i] for i in keep], k)
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield record(schema, [ids[i] for i in keep], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))))
+                sizes = [len(s) for s in sets]
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                elements = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words)
+                yield record(schema, [ids[i] for i in keep], sizes, elements, pa.ListArray.from_arrays(at, pa.array(np.concatenate([parity_bitmap(s) for s in sets]))))
+
+    return texts.mapInArrow(run, "doc_id long, n int, elements array<long>, fold array<long>")
 
-    return texts.mapInArrow(run, "doc_id long, elements array<long>")
+
+def possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose parity bitmaps don't already exclude the link; small rows decide before sets are moved."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("fold").alias("f" + x))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = both.withColumn("apart", apart)
+    return both.filter(f"100L * (na + nb - apart) >= {threshold}L * (na + nb + apart)").select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Overlap of each pair (a, b) on whole sets: a, b, na, nb, o, linked."""
+    """Overlap of each pair (a, b) on whole sets: a, b, na, nb, o, linked; pairs that bitmaps exclude are left out."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("elements").alias("s" + x))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = possible(pairs, sets, threshold).join(side("b"), "b").join(side("a"), "a")
     found = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o"))
     return found.withColumn("linked", F.expr(f"100L * o >= {threshold}L * (na + nb - o)"))
 
@@ -315,6 +336,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD,
         forest = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
         labels = components(forest.unionByName(todo_known).unionByName(sure))
         discard(todo)
+    discard(index, sets, known)
     result = (
         meta.join(classes, ["d1", "d2"], "left")
         .join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
@@ -327,6 +349,22 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root)
+SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def brute_force(rows, k: int = SHINGLE, threshold: int = THRESHOLD):
     """Reference answer for tests: every pair, over sets of word tuples."""
     sets = {}
