@@ -312,7 +312,11 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD,
     index = materialize(inverted_lists(entries, threshold), "index")
     sets = materialize(load_sets(texts, k, id_filter(index.select("doc_id").distinct())), "elements")
 
-    pairs = index.filter("lead >= 0").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+    # each set first joins the leader of most of its lists and its smallest one; the rounds below see to the rest
+    leads = index.filter("lead >= 0").groupBy("doc_id", "lead").agg(F.count("*").alias("c"))
+    leads = leads.groupBy("doc_id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("most"), F.min("lead").alias("least"))
+    leads = leads.select("doc_id", F.explode(F.array_distinct(F.array("most", "least"))).alias("lead"))
+    pairs = leads.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
     known = materialize(verify(pairs, sets, threshold), "known")
     links = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
