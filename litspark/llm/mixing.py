@@ -143,7 +143,7 @@ placed AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || d.doc_id), d.doc_id, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
+SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
     + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken
 FROM placed
@@ -151,4 +151,4 @@ FROM placed
 
 
 def digest(mixed: DataFrame) -> DataFrame:
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

@@ -46,10 +46,9 @@ def op6_url_filter(spark, sf_dir):
 def op7_bpe_round_trip(spark, sf_dir):
     import public_tokenizers
 
-    from .bpe import decode_documents, digest, encode_documents
+    from .bpe import round_trip
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return digest(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_tiff_media(spark, sf_dir):
@@ -85,9 +84,14 @@ QUERIES = {
 
 
 def _oracles() -> dict[str, str]:
-    from . import mixing, url_filter
-
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+    from . import mixing, ngram_jaccard, substring_dedup, url_filter
+
+    return {
+        "op1_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
+        "op3_source_mixing": mixing.ORACLE_SQL,
+        "op6_url_filter": url_filter.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    }
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
