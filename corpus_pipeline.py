@@ -44,8 +44,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of their decoded text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digest(bpe.decode_documents(bpe.encode_documents(docs, path), path))
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
