@@ -16,6 +16,8 @@ score is 1; repeated rows repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -74,7 +76,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start=None, s
     x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), 1)
     w = np.zeros(x.shape[1]) if start is None else start.copy()
     weight = weight / weight.sum()
-    rate = 1.0 / (0.25 * float((weight * (x * x).sum(1)).sum()) + l2)
+    rate = 1.0 / (0.25 * float((weight * np.einsum("ij,ij->i", x, x)).sum()) + l2)
     ahead, momentum = w.copy(), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -30, 30)))
@@ -218,7 +220,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     own, free = rows[rows.y >= 0], rows[rows.y < 0]
     if not len(own):
         return None
-    return co_train(view(own), own.y.to_numpy(), view(free), rounds)
+    y, views, free_views = own.y.to_numpy(), view(own), view(free)
+    del rows, own, free  # the arrays are copies
+    model = co_train(views, y, free_views, rounds)
+    del views, free_views
+    gc.collect()
+    return model
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
