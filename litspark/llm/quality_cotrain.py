@@ -2,12 +2,15 @@
 
 The text view sees hashed byte trigrams of the whole text; the metadata view sees language, source and the page's
 layout (length, lines, line length).  Each view's logistic model first learns from the labelled rows; then, round by
-round, each labels the pool's documents that it is surest of for the other view, and both are fitted again.  Held-out
+round, each labels the documents that it is surest of, among all without a label, for the other view, and both are fitted
+again.  A round reads the documents twice: counts by confidence give the thresholds that fill the quota, then the
+documents above them are written with the receiving view's features; models are fitted by gradients summed on the
+executors.  What earlier rounds gave is found again from their models and thresholds, not kept by document.  Held-out
 labelled rows calibrate each view; the calibrated log-odds, less the prior that both contain, add up to the final score,
 which is given to every document.
 
-Bounds (parameters): at most LABELLED labelled rows and POOL unlabelled ones, both taken in hash order, are used for
-fitting; every document is scored on its whole text.
+Bound (parameter): at most LABELLED labelled rows, taken in hash order, are used for fitting; every unlabelled document
+takes part in every round, and every document is scored on its whole text.
 
 Results: doc_id, text_score, meta_score, score (probabilities of good quality), keep (score of at least CUT).  Null and
 empty texts are scored like any other; null metadata are a value of their own; without labels of both kinds every
@@ -25,15 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, mix64
+
 LABELLED = 8_000
-POOL = 4_000
 ROUNDS = 4
-PER_ROUND = 0.05  # share of the pool that a view labels in a round
+PER_ROUND = 0.05  # share of the unlabelled documents that a view labels in a round
 SURE = 0.9  # confidence that a pseudo-label needs
 CUT = 0.5
 TEXT_DIM = 1024
 META_DIM = 128
 HELD_OUT = 5  # every fifth labelled row calibrates
+CELLS = 64  # confidence cells a unit of log-odds
+ID_CELLS = 4096  # parts that the last confidence cell of a quota is taken by
+STEPS = 12  # of a round's fit, each a pass over the given rows
 
 
 # ---------------------------------------------------------------- features
@@ -113,39 +120,190 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> dict | None:
-    """Two views of labelled rows and of the pool -> both models, their calibrations and the prior's log-odds."""
+def confidence_cells(z: np.ndarray) -> np.ndarray:
+    """Signed cells of log-odds of at least SURE, the surest farthest from 0; 0 for documents less sure."""
+    size = np.abs(np.clip(z.astype(float), -30, 30))
+    cell = np.floor(size * CELLS).astype(np.int32) + 1
+    return np.where(size >= np.log(SURE / (1 - SURE)), np.where(z > 0, cell, -cell), 0).astype(np.int32)
+
+
+def id_cells(ids: np.ndarray) -> np.ndarray:
+    """ID_CELLS cells that documents of one confidence are taken by."""
+    return (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(ID_CELLS)).astype(np.int32)
+
+
+def candidates(views: list[np.ndarray], ids: np.ndarray, models, past) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each view's cells under models, 0 where the other view has been given the document in a past round; and what
+    the last past round gave: per view the mark (1 good, 0 bad, -1 nothing) that the other view receives."""
+    free = [np.ones(len(ids), bool), np.ones(len(ids), bool)]
+    hashed, marks = id_cells(ids), [np.full(len(ids), -1, np.int8)] * 2
+    for fitted, rules in past:
+        marks = []
+        for v in (0, 1):
+            cell = np.where(free[1 - v], confidence_cells(logit(fitted[v], views[v])), 0)
+            mark = np.full(len(ids), -1, np.int8)
+            for sign, (least, below) in zip((1, -1), rules[v]):
+                at = cell * sign
+                mark[(at > 0) & ((at > least) | ((at == least) & (hashed < below)))] = sign > 0
+            marks.append(mark)
+        for v in (0, 1):
+            free[1 - v] = free[1 - v] & (marks[v] < 0)
+    cells = [np.where(free[1 - v], confidence_cells(logit(models[v], views[v])), 0).astype(np.int32) for v in (0, 1)] if models else []
+    return cells, marks
+
+
+def minimise(loss, start: np.ndarray, scale, steps: int = STEPS, tolerance: float = 1e-6) -> np.ndarray:
+    """L-BFGS; loss gives value and gradient, scale applies a fixed approximation of the inverse Hessian."""
+    w, (value, grad) = start, loss(start)
+    pairs: list = []
+    for _ in range(steps):
+        q, kept = grad.copy(), []
+        for s, y, rho in reversed(pairs):
+            kept.append(rho * (s @ q))
+            q -= kept[-1] * y
+        d = scale(q)
+        for (s, y, rho), alpha in zip(pairs, reversed(kept)):
+            d += s * (alpha - rho * (y @ d))
+        slope = -(grad @ d)
+        if -slope < tolerance * tolerance:
+            break
+        step = 1.0
+        for _ in range(8):
+            new = w - step * d
+            v, g = loss(new)
+            if v <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = new - w, g - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs[-9:], (s, y, 1 / (s @ y))]
+        done = value - v < tolerance * abs(value)
+        w, value, grad = new, v, g
+        if done:
+            break
+    return w
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, np.ones((len(x), 1), x.dtype)), 1).astype(float)
+
+
+def loss_parts(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic loss and, after it, its gradient."""
+    z = np.clip(x @ w, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    return np.concatenate(([(weight * (np.logaddexp(0, z) - y * z)).sum()], x.T @ (weight * (p - y))))
+
+
+def _given_loss(given: DataFrame, w: list[np.ndarray], weight: list[np.ndarray]) -> list[np.ndarray]:
+    """loss_parts of both views over the pseudo-labelled rows, one sum a partition."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        total = [np.zeros(1 + len(m)) for m in w]
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                view, mark, x = (c.slice(at, 1_000) for c in b.columns)
+                view, mark = view.to_numpy(), mark.to_numpy()
+                rows = x.to_pylist()
+                for v in (0, 1):
+                    i = np.flatnonzero(view == v)
+                    if len(i):
+                        f = np.frombuffer(b"".join(rows[k] for k in i), np.float32).reshape(len(i), -1)
+                        y = mark[i].astype(float)
+                        total[v] += loss_parts(w[v], _with_one(f), y, weight[v][mark[i]])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total[0].tobytes()]), pa.array([total[1].tobytes()])], names=["part", "a", "b"])
+
+    rows = sorted(given.select("view", "mark", "x").mapInArrow(run, "part long, a binary, b binary").collect())  # a row a partition
+    return [sum((np.frombuffer(r[1 + v], float) for r in rows), np.zeros(1 + len(w[v]))) for v in (0, 1)]
+
+
+def refit(models, train, y: np.ndarray, given: DataFrame, counts: np.ndarray, l2: float = 1e-4):
+    """Both models on the labelled rows and all given rows; counts: given rows by view and mark."""
+    xs = [_with_one(x) for x in train]
+    weights = []  # by view: of a bad and of a good row
+    for v in (0, 1):
+        bad, good = counts[v] + [(y == 0).sum(), (y == 1).sum()]
+        weights.append(np.array([0.5 / bad, 0.5 / good]))
+    cut = len(models[0])
+    inverse = [np.linalg.inv(0.25 * (x * weights[v][y][:, None]).T @ x * (counts[v].sum() / len(y) + 1) + 1e-3 * np.eye(x.shape[1])) for v, x in enumerate(xs)]
+
+    def loss(w):
+        parts = _given_loss(given, [w[:cut], w[cut:]], weights)
+        parts = [p + loss_parts(m, x, y, c[y]) for p, m, x, c in zip(parts, (w[:cut], w[cut:]), xs, weights)]
+        return sum(p[0] for p in parts) + l2 / 2 * (w @ w), np.concatenate([p[1:] for p in parts]) + l2 * w
+
+    w = minimise(loss, np.concatenate(models), lambda g: np.concatenate((inverse[0] @ g[:cut], inverse[1] @ g[cut:])))
+    return [w[:cut], w[cut:]]
+
+
+def choose(cells: DataFrame, quota: dict[int, float]) -> list[list[tuple[int, int]]]:
+    """For each view and sign (good, bad) the least cell that is taken and how many of its id cells: the surest
+    documents up to the quota, all of them below it."""
+    long = cells.selectExpr("hashed", "stack(2, 0, cell0, 1, cell1) as (view, cell)").filter("cell <> 0")
+    found: dict = {}
+    for r in long.groupBy("view", "cell").count().collect():  # a bounded number of cells
+        found.setdefault((r.view, 1 if r.cell > 0 else -1), []).append((abs(r.cell), r["count"]))
+    rules, edge = {}, {}
+    for key, have in found.items():
+        left = int(np.ceil(quota[key[1]]))
+        for cell, n in sorted(have, reverse=True):
+            if n > left:
+                edge[key] = (cell, left)
+                break
+            left -= n
+        else:
+            rules[key] = (0, 0)
+    if edge:
+        at = F.struct("view", "cell").isin([F.struct(F.lit(v), F.lit(sign * cell)) for (v, sign), (cell, _) in edge.items()])
+        finer: dict = {}
+        for r in long.filter(at).groupBy("view", "cell", "hashed").count().collect():
+            finer.setdefault((r.view, 1 if r.cell > 0 else -1), []).append((r.hashed, r["count"]))
+        for key, (cell, left) in edge.items():
+            below = 0
+            for hashed, n in sorted(finer[key]):
+                if left <= 0:
+                    break
+                left, below = left - n, hashed + 1
+            rules[key] = (cell, below)
+    return [[rules.get((v, sign), (0, 0)) for sign in (1, -1)] for v in (0, 1)]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> dict | None:
+    """Labelled rows' two views and all documents -> both models, their calibrations, the prior's log-odds, the size of
+    the pool (the documents without a label) and the given rows by round, view that receives and mark."""
     held = np.arange(len(y)) % HELD_OUT == 0
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return None
-    train = [v[~held] for v in views]
-    labels = [y[~held].astype(float)] * 2
-    free = [np.ones(len(pool[0]), bool)] * 2  # documents that a view has not been given yet
-    models = [fit_logistic(x, t, _balanced(t)) for x, t in zip(train, labels)]
-    share = float(y[~held].mean())
-    for _ in range(rounds):
-        given = []
-        for v in (0, 1):
-            if not len(pool[v]):
-                break
-            other = 1 - v
-            p = 1 / (1 + np.exp(-np.clip(logit(models[v], pool[v]), -30, 30)))
-            quota = PER_ROUND * len(p)
-            picks, marks = [], []
-            for sure, mark, n in ((p, 1.0, quota * share), (1 - p, 0.0, quota * (1 - share))):
-                order = np.argsort(-sure, kind="stable")
-                order = order[free[other][order] & (sure[order] >= SURE)][: int(np.ceil(n))]
-                picks.append(order)
-                marks.append(np.full(len(order), mark))
-            given.append((other, np.concatenate(picks), np.concatenate(marks)))
-        for other, picks, marks in given:
-            free[other] = free[other].copy()
-            free[other][picks] = False
-            train[other] = np.concatenate((train[other], pool[other][picks]))
-            labels[other] = np.concatenate((labels[other], marks))
-        models = [fit_logistic(x, t, _balanced(t), m, 80) for x, t, m in zip(train, labels, models)]
+    spark, inputs = docs.sparkSession, _inputs(docs)
+    train, seen = [v[~held] for v in views], y[~held]
+    models = [fit_logistic(x, seen.astype(float), _balanced(seen)) for x in train]
+    share = float(seen.mean())
+    pool = inputs.select("doc_id").join(known, "doc_id", "left_anti").count()
+    past, given, counts, log = [], [], np.zeros((2, 2), np.int64), []
+    for _ in range(rounds if pool else 0):
+        cells = materialize(inputs.mapInArrow(_scorer(models, list(past)), "doc_id long, hashed int, cell0 int, cell1 int").join(known, "doc_id", "left_anti"), "cells")
+        rules = choose(cells, {1: PER_ROUND * pool * share, -1: PER_ROUND * pool * (1 - share)})
+        discard(cells)
+        past.append((models, rules))
+        picked = inputs.mapInArrow(_picker(list(past)), "doc_id long, view int, mark int, x binary").join(known, "doc_id", "left_anti")
+        given.append(materialize(picked.sortWithinPartitions("doc_id", "view", "x"), "given"))
+        new = np.zeros((2, 2), np.int64)
+        for r in given[-1].groupBy("view", "mark").count().collect():
+            new[r.view, r.mark] = r["count"]
+        log.append(new.tolist())
+        counts = counts + new
+        if not new.sum():
+            break
+        every = spark.read.schema(given[0].schema).parquet(*(g._litspark_path for g in given))
+        models = refit(models, train, seen, every, counts)
+    discard(*given)
     prior = float(np.log(y[held].mean() / (1 - y[held].mean())))
-    return {"models": models, "platt": [platt(logit(m, v[held]), y[held].astype(float)) for m, v in zip(models, views)], "prior": prior}
+    calibrated = [platt(logit(m, v[held]), y[held].astype(float)) for m, v in zip(models, views)]
+    return {"models": models, "platt": calibrated, "prior": prior, "pool": pool, "given": log}
 
 
 def combine(model: dict | None, views: list[np.ndarray]) -> list[np.ndarray]:
@@ -187,15 +345,46 @@ def _views(part) -> list[np.ndarray]:
     return [text_features(raws), meta_features(raws, col("lang"), col("source"), col("n_chars"))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict | None:
-    """Co-train on bounded samples in hash order."""
+def _scorer(models, past):
+    """Batches -> the cells of the documents that a view is sure of and the other has not been given."""
+
+    def run(batches):
+        for b in batches:
+            for x, y in _blocks(b):
+                part = b.slice(x, y - x)
+                ids = part.column(0).to_numpy()
+                cells, _ = candidates(_views(part), ids, models, past)
+                at = np.flatnonzero((cells[0] != 0) | (cells[1] != 0))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[at], id_cells(ids[at]), cells[0][at], cells[1][at]))], names=["doc_id", "hashed", "cell0", "cell1"])
+
+    return run
+
+
+def _picker(past):
+    """Batches -> what the last round gives: doc_id, the view that receives it, its mark and that view's features."""
+
+    def run(batches):
+        for b in batches:
+            for x, y in _blocks(b):
+                part = b.slice(x, y - x)
+                ids, views = part.column(0).to_numpy(), _views(part)
+                _, marks = candidates(views, ids, None, past)
+                for v in (0, 1):
+                    at = np.flatnonzero(marks[v] >= 0)
+                    rows = pa.array([r.tobytes() for r in views[1 - v][at]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), 1 - v, np.int32)), pa.array(marks[v][at].astype(np.int32)), rows], names=["doc_id", "view", "mark", "x"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict | None:
+    """Co-train on a bounded sample of labelled rows, in hash order, and all unlabelled documents."""
     spark = docs.sparkSession
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     order = F.xxhash64("doc_id", F.lit("quality"))
     with_label = ids.join(known, "doc_id").select("doc_id", F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).orderBy(order, "doc_id").limit(labelled)
-    without = ids.join(known, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("y")).orderBy(order, "doc_id").limit(pool)
-    sample = {r.doc_id: r.y for r in with_label.unionByName(without).collect()}  # at most labelled + pool rows
+    sample = {r.doc_id: r.y for r in with_label.collect()}  # at most labelled rows
     chosen = spark.sparkContext.broadcast(sample)
 
     def features(batches):
@@ -217,15 +406,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     rows = rows.drop_duplicates("doc_id")
     rows = rows.iloc[np.argsort([xxhash.xxh64_intdigest(str(d)) for d in rows.doc_id], kind="stable")]
     view = lambda part: [np.stack([np.frombuffer(x, np.float32) for x in part[c]]) if len(part) else np.empty((0, d), np.float32) for c, d in (("text", TEXT_DIM + 1), ("meta", META_DIM))]
-    own, free = rows[rows.y >= 0], rows[rows.y < 0]
-    if not len(own):
+    if not len(rows):
         return None
-    y, views, free_views = own.y.to_numpy(), view(own), view(free)
-    del rows, own, free  # the arrays are copies
-    model = co_train(views, y, free_views, rounds)
-    del views, free_views
+    y, views = rows.y.to_numpy(), view(rows)
+    del rows  # the arrays are copies
     gc.collect()
-    return model
+    return co_train(views, y, docs, known.select("doc_id"), rounds)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])

@@ -37,3 +37,17 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert qc.score_documents(docs, one).count() == 4
     assert qc.score_documents(docs.limit(0), one).count() == 0 and qc.keep_good(docs.limit(0), one).count() == 0
+
+
+def test_whole_pool_takes_part(spark):
+    good, bad = "the quiet river runs past the old mill ", "zxq 00!! kkj ## "
+    rows = [(i, (bad if i % 4 == 3 else good) * (1 + i % 7) + str(i), "en", "junk" if i % 4 == 3 else "book", None) for i in range(4_800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 3 else 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = qc.fit(docs, labels, rounds=2)
+    assert model["pool"] == 4_600  # of more than 4,000 unlabelled documents every one can be chosen
+    for given in model["given"]:
+        for view in given:  # 5 % of them, and what shares the last cell
+            assert 230 <= sum(view) <= 240 and abs(view[1] / sum(view) - 0.75) < 0.05
+    scores = {r.doc_id: r for r in qc.score_documents(docs, labels, rounds=2).collect()}
+    assert all(scores[i].keep == (i % 4 != 3) for i in scores)
