@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir); between stages the documents are a Parqu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litspark.llm import bpe, mixing, ngram_jaccard, quality_cotrain, substring_dedup
@@ -33,10 +33,16 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, to the nearest whole time."""
-    mixed = mixing.mix(docs).filter("taken > 0").dropDuplicates(["doc_id"])
-    times = mixed.select("doc_id", F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("times"))
-    rows = docs.join(times.filter("times > 0"), "doc_id")
+    """Each row as many times as the mix takes its words, to the nearest whole time."""
+    # rows that repeat a doc_id are told apart by source, size and, where these agree too, by their order
+    key = ("doc_id", "from_source", "size")
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    source = F.struct(F.col("source").cast("string").alias("source")).alias("from_source")
+    mixed = mixing.mix(docs).select("doc_id", source, "size", "taken").withColumn("nth", nth(F.desc("taken")))
+    times = mixed.filter("taken > 0").withColumn("times", F.expr("(2 * taken + size) div (2 * size)").cast("int"))
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD_CLASS)), F.lit(0)).cast("long")
+    rows = docs.select(*COLUMNS, source, size.alias("size")).withColumn("nth", nth("text", "lang", "n_chars"))
+    rows = rows.join(times.filter("times > 0"), [*key, "nth"])
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 

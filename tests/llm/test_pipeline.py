@@ -63,3 +63,14 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_of_repeated_ids(spark):
+    rows = [(1, "a b " * 300, "en", "a", 1_200), (2, "c d " * 5, "en", "b", 20), (2, "e f " * 300, "en", "a", 1_200), (2, "g h " * 300, "en", "a", 1_200), (2, "i j k " * 5, "en", None, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = [(r.doc_id, r.source, r["size"], (2 * r.taken + r["size"]) // (2 * r["size"])) for r in pipeline.mixing.mix(docs).collect()]
+    want = sorted(str(k[:3]) for k in taken for _ in range(k[3]))
+    out = sorted(map(tuple, pipeline.source_mixing(spark, docs, "").collect()), key=str)
+    assert sorted(str((d, s, len(t.split()))) for d, t, _, s, _ in out) == want
+    assert len({k[3] for k in taken if k[0] == 2}) > 1  # the repeated rows differ in what is taken of them
+    assert sorted(map(tuple, pipeline.source_mixing(spark, docs.repartition(3).orderBy(pipeline.F.desc("text")), "").collect()), key=str) == out
