@@ -152,7 +152,7 @@ def cooccurrence_document(spark, sf_dir):
 @query(_co_sql("line", 5))
 def cooccurrence_line(spark, sf_dir):
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\\n")).alias("n", "text"))
-    return explore.cooccurrence(lines.select((F.col("doc_id") * 100000 + F.col("n") + 1).alias("paragraph_id"), "text"), "paragraph", 30, 5)
+    return explore.cooccurrence(lines.select(F.struct("doc_id", "n").alias("paragraph_id"), "text"), "paragraph", 30, 5)
 
 
 @query(f"SELECT term, count(*) AS weight FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1 ORDER BY weight DESC, term LIMIT 30")

@@ -361,3 +361,12 @@ def test_sources_sinks_and_streams(spark, tmp_path):
     assert sorted(map(tuple, incremental.current(spark, str(tmp_path / "up")).collect())) == [(1, 2), (2, 1), (3, 2)]
     text = report.methodology("r1", {"Corpus": {"n": 2}}, {"Funnel": corpus.funnel(spark, [("a", df, df)])})
     assert "## 16. Funnel" in text and "| step |" in text and "Not run." in text
+
+
+def test_lines_of_long_documents_stay_apart(spark, tmp_path):
+    from litspark.plans import text_plans
+
+    rows = [(1, "\n" * 100_000 + "alpha\n" * 5), (2, "beta\n" * 5), (3, "gamma delta\n" * 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in text_plans.cooccurrence_line(spark, str(tmp_path)).collect()]
+    assert got == [("delta", "gamma", 5)]
