@@ -326,14 +326,19 @@ def media_pages(doc_id, n_bytes, media):
     """One tuple a page, in order; last marks a medium's last row."""
     head = (doc_id, n_bytes, len(media or b""), hashlib.sha256(media or b"").hexdigest())
     rows, error = [], None
+    damage = (ValueError, struct.error, zlib.error, IndexError, TypeError)
     if not media:
         error = "empty"
     try:
-        for order, tags in directories(media) if media else ():
-            image = read_page(media, order, tags)
-            rows.append((*head, len(rows), False, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None))
-    except (ValueError, struct.error, zlib.error, IndexError, TypeError) as e:
-        error = str(e) or "damaged"
+        for page, (order, tags) in enumerate(directories(media) if media else ()):
+            try:
+                image = read_page(media, order, tags)
+            except damage as e:  # the later pages are still read
+                error = error or str(e) or "damaged"
+                continue
+            rows.append((*head, page, False, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None))
+    except damage as e:
+        error = error or str(e) or "damaged"
     if error or not rows:
         rows.append((*head, None, False, None, None, None, None, error or "no page"))
     rows[-1] = (*rows[-1][:5], True, *rows[-1][6:])

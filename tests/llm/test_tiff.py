@@ -65,3 +65,13 @@ def test_texts(spark):
         want.append((doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest()))
     assert got == sorted(want)
     assert tiff.digest(tiff.decode_pages(tiff.store_texts(df.limit(0)))).count() == 0
+
+
+def test_pages_after_a_damaged_one_are_read():
+    pages = [np.full((2, 8), v, np.uint8) for v in (1, 2, 3)]
+    media = bytearray(tiff.write_tiff(pages))
+    at = next(t for i, (_, t) in enumerate(tiff.directories(bytes(media))) if i == 1)
+    offset = next(v for k, v in at.items() if "offset" in str(k).lower())[0]
+    media[offset : offset + 4] = b"\xff" * 4
+    rows = tiff.media_pages(1, 0, bytes(media))
+    assert [(r[4], r[9]) for r in rows] == [(0, pages[0].tobytes()), (2, pages[2].tobytes()), (None, None)] and rows[-1][5] and rows[-1][-1]
