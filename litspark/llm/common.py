@@ -183,6 +183,11 @@ def partition_sketch(cells: np.ndarray, shards: int):
             yield s, cells[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()
 
 
+def shard_bits(shard: int, shards: int) -> np.ndarray:
+    """First and last cell of a shard."""
+    return np.array([-(-(shard << 32) // shards), -(-((shard + 1) << 32) // shards) - 1])
+
+
 SKETCH = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
 SKETCH_DDL = "shard int, cells binary"
 
@@ -218,33 +223,44 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
     return sketches.repartition(n_parts(spark), "shard").mapInArrow(merge, SKETCH_DDL)
 
 
+SMALL_BITS = 23
 MAX_BITS = 28  # 32 MB: the bound of what a cell filter broadcasts
 
 
 class CellFilter:
     """Bitmap of the repeated cells, folded to at most 2**MAX_BITS bits; folding only adds false positives."""
 
-    def __init__(self, merged: DataFrame):
-        rows = merged.select(F.sum(F.octet_length("cells")).alias("n")).first()
-        n = int((rows.n or 0) // 4)
+    def __init__(self, cells: DataFrame, n: int | None = None):
+        """cells: sketch rows, merged or of partitions; n: about how many cells they hold."""
+        spark = cells.sparkSession
+        if n is None:
+            n = int((cells.select(F.sum(F.octet_length("cells")).alias("n")).first().n or 0) // 4)
         self.bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, n) * 64)))))
         shift, size = 32 - self.bits, 1 << self.bits
 
         def fold(batches):
+            """Each shard's stretch of the bitmap: together no more than the whole."""
+            have: dict[int, tuple] = {}
             for b in batches:
-                for s, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    x = np.unique(np.frombuffer(cells, np.uint32) >> np.uint32(shift))
-                    base = int(x[0]) >> 3
-                    local = np.zeros((int(x[-1]) >> 3) - base + 1, np.uint8)
+                for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    x = np.unique(np.frombuffer(c, np.uint32) >> np.uint32(shift))
+                    if s not in have:
+                        shards = shard_bits(s, self.shards) >> shift
+                        have[s] = (int(shards[0]) >> 3, np.zeros((int(shards[1]) >> 3) - (int(shards[0]) >> 3) + 1, np.uint8))
+                    base, local = have[s]
                     np.bitwise_or.at(local, (x >> np.uint32(3)).astype(np.int64) - base, np.uint8(1) << (x & np.uint32(7)).astype(np.uint8))
-                    yield record(SKETCH, [base], [local.tobytes()])
+            for base, local in have.values():
+                yield record(SKETCH, [base], [local.tobytes()])
 
+        self.shards = shard_count(spark)
         bitmap = np.zeros(size >> 3, np.uint8)
-        for r in merged.mapInArrow(fold, SKETCH_DDL).toLocalIterator():
+        # bitmaps of disjoint stretches, or a few whole ones of a small filter
+        dealt = cells.coalesce(4) if self.bits <= SMALL_BITS else cells.repartition(n_parts(spark), "shard")
+        for r in dealt.mapInArrow(fold, SKETCH_DDL).collect():
             part = np.frombuffer(r.cells, np.uint8)
             bitmap[r.shard : r.shard + len(part)] |= part
         self.repeated = n
-        self.bitmap = merged.sparkSession.sparkContext.broadcast(bitmap)
+        self.bitmap = spark.sparkContext.broadcast(bitmap)
 
     def probe(self):
         """A function from cells (uint32) to a mask, for use on executors."""

@@ -49,3 +49,38 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
+
+
+def test_hot_lists_are_dealt_to_several(spark, monkeypatch):
+    """Lists above the limit are salted; links between their parts are still found."""
+    visited = []
+    plain = nj.visiting_pairs
+    monkeypatch.setattr(nj, "visiting_pairs", lambda hot, t: visited.append(hot.filter("salts > 1").count()) or plain(hot, t))
+    # texts of one passage, too long a part of each to leave their rarest fifth, and of a tail that two of them share
+    rng = random.Random(4)
+    line = " ".join(rng.choices([f"w{i}" for i in range(400)], k=89))
+    rows = [(2 * g + c, f"{line} {' '.join(f't{g}.{i}' for i in range(15 - c))}") for g in range(40) for c in (0, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted(map(tuple, nj.digest(nj.jaccard_join(df, bits=16, hot_list=6)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == sorted(nj.brute_force(rows)) and len({g[2] for g in got}) == 40
+    assert visited and visited[0] > 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"t{i}" for i in range(30_000))
+    rows = [(1, long, 5, "a"), (2, long + " more", 6, "b"), (3, "x" * 200_000, 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id int, component_id string")
+    got = sorted(map(tuple, nj.digest(nj.jaccard_join(df)).collect()))
+    assert got == [(1, 29_996, 1), (2, 29_997, 1), (3, 1, 3)]
+
+
+def test_components_by_star_rounds(spark, monkeypatch):
+    from litspark.llm import components as c
+
+    monkeypatch.setattr(c, "LOCAL", 0)
+    test_components_of_a_chain(spark)
+    assert c.components(spark.createDataFrame([], "u long, v long")).count() == 0
