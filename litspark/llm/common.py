@@ -271,3 +271,17 @@ class CellFilter:
             return (bitmap.value[x >> np.uint32(3)] >> (x & np.uint32(7)).astype(np.uint8)) & np.uint8(1) != 0
 
         return mask
+
+
+def id_cells(ids) -> np.ndarray:
+    return (mix64(np.asarray(ids, np.int64).view(U64) + U64(7)) >> U64(32)).astype(np.uint32)
+
+
+def id_filter(ids: DataFrame) -> CellFilter:
+    """Bitmap that every listed id (the first column) passes; others may pass too."""
+    shards = shard_count(ids.sparkSession)
+
+    def build(batches):
+        yield from sketch_rows([id_cells(b.column(0).to_numpy()) for b in batches], shards)
+
+    return CellFilter(ids.mapInArrow(build, SKETCH_DDL), ids.count())

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, mix64, n_parts, record, rolling, shard_count,
-    sketch_rows, spread, text_blocks,
+    U64, CellFilter, discard, doc_texts, id_cells, id_filter, materialize, mix64, n_parts, record, rolling, spread,
+    text_blocks,
 )
 from .components import components
 
@@ -127,20 +127,6 @@ def frequency_levels(meta: DataFrame, bits: int) -> np.ndarray:
     return levels
 
 
-def id_filter(ids: DataFrame) -> CellFilter:
-    """Bitmap that every listed doc_id passes; others may pass too."""
-    shards = shard_count(ids.sparkSession)
-
-    def build(batches):
-        yield from sketch_rows([_id_cells(b.column(0).to_numpy()) for b in batches], shards)
-
-    return CellFilter(ids.mapInArrow(build, SKETCH_DDL), ids.count())
-
-
-def _id_cells(ids):
-    return (mix64(np.asarray(ids, np.int64).view(U64) + U64(7)) >> U64(32)).astype(np.uint32)
-
-
 ENTRY = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 ENTRY_DDL = "token long, doc_id long, n int, pos int"
 
@@ -153,7 +139,7 @@ def prefix_entries(texts, k, threshold, bits, levels, wanted: CellFilter) -> Dat
     def run(batches):
         seen = []
         for ids, raws in text_blocks(batches):
-            keep = np.flatnonzero(mask(_id_cells(ids)))
+            keep = np.flatnonzero(mask(id_cells(ids)))
             sets = shingle_sets([raws[i] for i in keep], k)
             tokens, sizes, prefix = [], [], []
             for s in sets:
@@ -269,7 +255,7 @@ def load_sets(texts, k, wanted: CellFilter) -> DataFrame:
 
     def run(batches):
         for ids, raws in text_blocks(batches):
-            keep = np.flatnonzero(mask(_id_cells(ids)))
+            keep = np.flatnonzero(mask(id_cells(ids)))
             if len(keep):
                 yield record(schema, [ids[i] for i in keep], _lists(shingle_sets([raws[i] for i in keep], k)))
 

@@ -1,34 +1,34 @@
 """Quality classifier by co-training on two views.
 
 The text view sees hashed byte trigrams of the whole text; the metadata view sees language, source and the page's
-layout (length, lines, line length).  Each view's logistic model first learns from the labelled rows; then, round by
-round, each labels the documents that it is surest of, among all without a label, for the other view, and both are fitted
-again.  A round reads the documents twice: counts by confidence give the thresholds that fill the quota, then the
-documents above them are written with the receiving view's features; models are fitted by gradients summed on the
-executors.  What earlier rounds gave is found again from their models and thresholds, not kept by document.  Held-out
-labelled rows calibrate each view; the calibrated log-odds, less the prior that both contain, add up to the final score,
-which is given to every document.
-
-Bound (parameter): at most LABELLED labelled rows, taken in hash order, are used for fitting; every unlabelled document
-takes part in every round, and every document is scored on its whole text.
+layout (length, lines, line length).  Each view's logistic model first learns from the labelled rows and is calibrated on
+held-out ones; then, round by round, each labels the documents of which its calibrated log-odds are surest, among all
+without a label, for the other view, and both are fitted and calibrated again.  A round reads the documents twice: counts
+by confidence give the thresholds that fill the quota, then the documents above them are written with the receiving
+view's features; models are fitted by gradients summed on the executors.  What earlier rounds gave is found again from
+their models and thresholds, not kept by document.  The calibrated log-odds of both views, less the prior that both
+contain, add up to the final score, which is given to every document.
+
+Bound (parameter): at most LABELLED labelled rows, taken in hash order, are used for fitting, by one task each time; every
+unlabelled document takes part in every round, and every document is scored on its whole text.  The driver holds models
+and sums, never rows' features.
 
 Results: doc_id, text_score, meta_score, score (probabilities of good quality), keep (score of at least CUT).  Null and
 empty texts are scored like any other; null metadata are a value of their own; without labels of both kinds every
-score is 1; repeated rows repeat; an empty table gives an empty result.
+score is 1; repeated rows repeat; of labelled rows that repeat a doc_id the one with the least features is learned from; a
+doc_id with several labels has the least; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64
+from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64
 
 LABELLED = 8_000
 ROUNDS = 4
@@ -99,6 +99,12 @@ def logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
+def calibrated(model: tuple, x: np.ndarray) -> np.ndarray:
+    """Log-odds of a model (weights, slope, offset)."""
+    w, slope, offset = model
+    return slope * logit(w, x) + offset
+
+
 def _balanced(y: np.ndarray) -> np.ndarray:
     share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     return np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share))
@@ -140,7 +146,7 @@ def candidates(views: list[np.ndarray], ids: np.ndarray, models, past) -> tuple[
     for fitted, rules in past:
         marks = []
         for v in (0, 1):
-            cell = np.where(free[1 - v], confidence_cells(logit(fitted[v], views[v])), 0)
+            cell = np.where(free[1 - v], confidence_cells(calibrated(fitted[v], views[v])), 0)
             mark = np.full(len(ids), -1, np.int8)
             for sign, (least, below) in zip((1, -1), rules[v]):
                 at = cell * sign
@@ -148,7 +154,7 @@ def candidates(views: list[np.ndarray], ids: np.ndarray, models, past) -> tuple[
             marks.append(mark)
         for v in (0, 1):
             free[1 - v] = free[1 - v] & (marks[v] < 0)
-    cells = [np.where(free[1 - v], confidence_cells(logit(models[v], views[v])), 0).astype(np.int32) for v in (0, 1)] if models else []
+    cells = [np.where(free[1 - v], confidence_cells(calibrated(models[v], views[v])), 0).astype(np.int32) for v in (0, 1)] if models else []
     return cells, marks
 
 
@@ -198,15 +204,15 @@ def loss_parts(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray)
 
 
 def _given_loss(given: DataFrame, w: list[np.ndarray], weight: list[np.ndarray]) -> list[np.ndarray]:
-    """loss_parts of both views over the pseudo-labelled rows, one sum a partition."""
+    """loss_parts of both views over the labelled and pseudo-labelled rows, one sum a partition."""
 
     def run(batches):
         from pyspark import TaskContext
 
         total = [np.zeros(1 + len(m)) for m in w]
         for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                view, mark, x = (c.slice(at, 1_000) for c in b.columns)
+            for at in range(0, b.num_rows, 500):
+                view, mark, x = (c.slice(at, 500) for c in b.columns)
                 view, mark = view.to_numpy(), mark.to_numpy()
                 rows = x.to_pylist()
                 for v in (0, 1):
@@ -221,22 +227,17 @@ def _given_loss(given: DataFrame, w: list[np.ndarray], weight: list[np.ndarray])
     return [sum((np.frombuffer(r[1 + v], float) for r in rows), np.zeros(1 + len(w[v]))) for v in (0, 1)]
 
 
-def refit(models, train, y: np.ndarray, given: DataFrame, counts: np.ndarray, l2: float = 1e-4):
-    """Both models on the labelled rows and all given rows; counts: given rows by view and mark."""
-    xs = [_with_one(x) for x in train]
-    weights = []  # by view: of a bad and of a good row
-    for v in (0, 1):
-        bad, good = counts[v] + [(y == 0).sum(), (y == 1).sum()]
-        weights.append(np.array([0.5 / bad, 0.5 / good]))
-    cut = len(models[0])
-    inverse = [np.linalg.inv(0.25 * (x * weights[v][y][:, None]).T @ x * (counts[v].sum() / len(y) + 1) + 1e-3 * np.eye(x.shape[1])) for v, x in enumerate(xs)]
+def refit(weights, inverse, given: DataFrame, counts: np.ndarray, l2: float = 1e-4):
+    """Both models' weights on all labelled and given rows; counts: these rows by view and mark; inverse: approximate
+    inverse Hessians."""
+    per_row = [0.5 / c for c in counts]
+    cut = len(weights[0])
 
     def loss(w):
-        parts = _given_loss(given, [w[:cut], w[cut:]], weights)
-        parts = [p + loss_parts(m, x, y, c[y]) for p, m, x, c in zip(parts, (w[:cut], w[cut:]), xs, weights)]
+        parts = _given_loss(given, [w[:cut], w[cut:]], per_row)
         return sum(p[0] for p in parts) + l2 / 2 * (w @ w), np.concatenate([p[1:] for p in parts]) + l2 * w
 
-    w = minimise(loss, np.concatenate(models), lambda g: np.concatenate((inverse[0] @ g[:cut], inverse[1] @ g[cut:])))
+    w = minimise(loss, np.concatenate(weights), lambda g: np.concatenate([i.astype(float) @ x for i, x in zip(inverse, (g[:cut], g[cut:]))]))
     return [w[:cut], w[cut:]]
 
 
@@ -272,24 +273,67 @@ def choose(cells: DataFrame, quota: dict[int, float]) -> list[list[tuple[int, in
     return [[rules.get((v, sign), (0, 0)) for sign in (1, -1)] for v in (0, 1)]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> dict | None:
-    """Labelled rows' two views and all documents -> both models, their calibrations, the prior's log-odds, the size of
-    the pool (the documents without a label) and the given rows by round, view that receives and mark."""
-    held = np.arange(len(y)) % HELD_OUT == 0
-    if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
-        return None
+def _unpack(r, d: int) -> np.ndarray:
+    return np.frombuffer(r, np.float32).reshape(-1, d)
+
+
+def _first_fit(batches):
+    """The bounded labelled rows (order, y, text, meta) in one task -> per view first weights and inverse Hessian."""
+    rows = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+    for v, d in enumerate((TEXT_DIM + 1, META_DIM)):
+        x = np.concatenate([_unpack(r[2 + v], d) for r in rows])
+        y = np.array([r[1] for r in rows], float)
+        share = _balanced(y)
+        w = fit_logistic(x, y, share)
+        x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), 1)
+        hessian = (x * (0.25 * share / share.sum()).astype(x.dtype)[:, None]).T @ x
+        inverse = np.linalg.inv(hessian.astype(float) + 1e-3 * np.eye(len(w))).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([v]), pa.array([w.tobytes()]), pa.array([inverse.tobytes()])], names=["view", "w", "inverse"])
+
+
+def _calibrate(held: DataFrame, weights: list[np.ndarray]) -> list[tuple]:
+    """Models (weights, slope, offset), from the log-odds of the held-out rows: two numbers a row."""
+
+    def run(batches):
+        for b in batches:
+            x = [np.concatenate([_unpack(r, d) for r in c.to_pylist()]) for c, d in zip(b.columns[2:], (TEXT_DIM + 1, META_DIM)) if b.num_rows]
+            if x:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(logit(w, v).astype(float)) for w, v in zip(weights, x))], names=["o", "y", "z0", "z1"])
+
+    rows = sorted(tuple(r) for r in held.mapInArrow(run, "o long, y long, z0 double, z1 double").collect())
+    y = np.array([r[1] for r in rows], float)
+    return [(w, *platt(np.array([r[2 + v] for r in rows]), y)) for v, w in enumerate(weights)]
+
+
+def co_train(labelled: DataFrame, docs: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> dict | None:
+    """labelled (o, y, text, meta; bounded) and all documents -> both models with their calibrations, the prior's
+    log-odds, the size of the pool (the documents without a label) and the given rows by round, view that receives and
+    mark."""
     spark, inputs = docs.sparkSession, _inputs(docs)
-    train, seen = [v[~held] for v in views], y[~held]
-    models = [fit_logistic(x, seen.astype(float), _balanced(seen)) for x in train]
-    share = float(seen.mean())
+    # every HELD_OUT-th row in the order of o calibrates
+    nth = F.row_number().over(Window.orderBy("o")) - 1  # over the bounded labelled rows
+    parts = materialize(labelled.withColumn("held", nth % HELD_OUT == 0), "labelled")
+    held, train = (parts.filter(c).select("o", "y", "text", "meta") for c in ("held", "not held"))
+    have = {(r.held, r.y): r["count"] for r in parts.groupBy("held", "y").count().collect()}
+    if len(have) < 4:
+        discard(parts)
+        return None
+    first = sorted(train.coalesce(1).mapInArrow(_first_fit, "view long, w binary, inverse binary").collect())
+    weights = [np.frombuffer(r.w, float) for r in first]
+    inverse = [np.frombuffer(r.inverse, np.float32).reshape(len(w), -1) for r, w in zip(first, weights)]
+    models = _calibrate(held, weights)
+    base = np.array([[have[False, 0], have[False, 1]]] * 2)
+    share = base[0, 1] / base[0].sum()
     pool = inputs.select("doc_id").join(known, "doc_id", "left_anti").count()
-    past, given, counts, log = [], [], np.zeros((2, 2), np.int64), []
+    own = [train.select(F.lit(v).alias("view"), F.col("y").cast("int").alias("mark"), F.col(c).alias("x")) for v, c in enumerate(("text", "meta"))]
+    past, given, counts, log = [], [], base, []
     for _ in range(rounds if pool else 0):
         cells = materialize(inputs.mapInArrow(_scorer(models, list(past)), "doc_id long, hashed int, cell0 int, cell1 int").join(known, "doc_id", "left_anti"), "cells")
         rules = choose(cells, {1: PER_ROUND * pool * share, -1: PER_ROUND * pool * (1 - share)})
-        discard(cells)
         past.append((models, rules))
-        picked = inputs.mapInArrow(_picker(list(past)), "doc_id long, view int, mark int, x binary").join(known, "doc_id", "left_anti")
+        chosen = id_filter(cells.filter(" or ".join(_fits(v, sign, rule) for v in (0, 1) for sign, rule in zip((1, -1), rules[v]))).select("doc_id"))
+        discard(cells)
+        picked = inputs.mapInArrow(_picker(list(past), chosen), "doc_id long, view int, mark int, x binary").join(known, "doc_id", "left_anti")
         given.append(materialize(picked.sortWithinPartitions("doc_id", "view", "x"), "given"))
         new = np.zeros((2, 2), np.int64)
         for r in given[-1].groupBy("view", "mark").count().collect():
@@ -298,19 +342,25 @@ def co_train(views: list[np.ndarray], y: np.ndarray, docs: DataFrame, known: Dat
         counts = counts + new
         if not new.sum():
             break
-        every = spark.read.schema(given[0].schema).parquet(*(g._litspark_path for g in given))
-        models = refit(models, train, seen, every, counts)
-    discard(*given)
-    prior = float(np.log(y[held].mean() / (1 - y[held].mean())))
-    calibrated = [platt(logit(m, v[held]), y[held].astype(float)) for m, v in zip(models, views)]
-    return {"models": models, "platt": calibrated, "prior": prior, "pool": pool, "given": log}
+        every = spark.read.schema(given[0].schema).parquet(*(g._litspark_path for g in given)).select("view", "mark", "x")
+        weights = refit(weights, inverse, every.unionByName(own[0]).unionByName(own[1]), counts)
+        models = _calibrate(held, weights)
+    discard(parts, *given)
+    prior = float(np.log(have[True, 1] / have[True, 0]))
+    return {"models": models, "prior": prior, "pool": pool, "given": log}
+
+
+def _fits(view: int, sign: int, rule: tuple[int, int]) -> str:
+    """SQL condition of what a rule takes, as candidates() decides it."""
+    at = f"{sign} * cell{view}"
+    return f"({at} > 0 and ({at} > {rule[0]} or ({at} = {rule[0]} and hashed < {rule[1]})))"
 
 
 def combine(model: dict | None, views: list[np.ndarray]) -> list[np.ndarray]:
     """text_score, meta_score and the combined score."""
     if model is None:
         return [np.ones(len(views[0]))] * 3
-    z = [a * logit(m, v) + b for m, v, (a, b) in zip(model["models"], views, model["platt"])]
+    z = [calibrated(m, v) for m, v in zip(model["models"], views)]
     prob = lambda x: 1 / (1 + np.exp(-np.clip(x.astype(float), -30, 30)))
     return [prob(z[0]), prob(z[1]), prob(z[0] + z[1] - model["prior"])]
 
@@ -326,13 +376,13 @@ def _inputs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(batch, size: int = 2_000_000):
+def _blocks(batch, size: int = 500_000):
     """Row ranges of about size bytes of text."""
     raws = batch.column(batch.schema.names.index("raw"))
     start, used = 0, 0
     for i, n in enumerate(pa.compute.binary_length(raws).to_pylist()):
         used += n
-        if used >= size or i - start >= 2_000:
+        if used >= size or i - start >= 500:
             yield start, i + 1
             start, used = i + 1, 0
     if start < batch.num_rows:
@@ -360,11 +410,14 @@ def _scorer(models, past):
     return run
 
 
-def _picker(past):
-    """Batches -> what the last round gives: doc_id, the view that receives it, its mark and that view's features."""
+def _picker(past, chosen):
+    """Batches -> what the last round gives: doc_id, the view that receives it, its mark and that view's features.
+    chosen holds the ids that are given, and a few others."""
+    mask = chosen.probe()
 
     def run(batches):
         for b in batches:
+            b = b.filter(pa.array(mask(filter_cells(b.column(0).to_numpy()))))
             for x, y in _blocks(b):
                 part = b.slice(x, y - x)
                 ids, views = part.column(0).to_numpy(), _views(part)
@@ -377,18 +430,20 @@ def _picker(past):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict | None:
-    """Co-train on a bounded sample of labelled rows, in hash order, and all unlabelled documents."""
-    spark = docs.sparkSession
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+def labelled_rows(docs: DataFrame, known: DataFrame, labelled: int) -> DataFrame:
+    """o (hash order), y, text, meta of at most labelled labelled documents, the first in hash order."""
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     order = F.xxhash64("doc_id", F.lit("quality"))
-    with_label = ids.join(known, "doc_id").select("doc_id", F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).orderBy(order, "doc_id").limit(labelled)
-    sample = {r.doc_id: r.y for r in with_label.collect()}  # at most labelled rows
-    chosen = spark.sparkContext.broadcast(sample)
+    have = materialize(ids.join(known, "doc_id").select("doc_id", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), order.alias("o")), "known")
+    n = have.count()
+    if n > 2 * labelled:  # rows above this share of the hashes are not among the first, but with vanishing probability
+        have = have.filter(F.col("o") < int(-(1 << 63) + (1 << 64) * 1.5 * labelled / n))
+    sample = {r.doc_id: (r.o, r.y) for r in have.orderBy("o", "doc_id").limit(labelled).collect()}  # at most labelled rows
+    discard(have)
+    chosen = docs.sparkSession.sparkContext.broadcast(sample)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("meta", pa.binary())])
 
     def features(batches):
-        schema = pa.schema([("y", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("meta", pa.binary())])
         for b in batches:
             ids = b.column(0).to_pylist()
             at = [i for i, d in enumerate(ids) if d in chosen.value]
@@ -396,22 +451,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
                 part = b.take(pa.array(at))
                 for x, y in _blocks(part):
                     v = _views(part.slice(x, y - x))
-                    names = [ids[i] for i in at[x:y]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([chosen.value[d] for d in names]), pa.array(names), pa.array([r.tobytes() for r in v[0]], pa.binary()), pa.array([r.tobytes() for r in v[1]], pa.binary())],
-                        schema=schema,
-                    )
-
-    rows = _inputs(docs).mapInArrow(features, "y long, doc_id long, text binary, meta binary").toPandas()
-    rows = rows.drop_duplicates("doc_id")
-    rows = rows.iloc[np.argsort([xxhash.xxh64_intdigest(str(d)) for d in rows.doc_id], kind="stable")]
-    view = lambda part: [np.stack([np.frombuffer(x, np.float32) for x in part[c]]) if len(part) else np.empty((0, d), np.float32) for c, d in (("text", TEXT_DIM + 1), ("meta", META_DIM))]
-    if not len(rows):
-        return None
-    y, views = rows.y.to_numpy(), view(rows)
-    del rows  # the arrays are copies
-    gc.collect()
-    return co_train(views, y, docs, known.select("doc_id"), rounds)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at[x:y]]), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in v)], schema=schema)
+
+    rows = _inputs(docs).mapInArrow(features, "doc_id long, text binary, meta binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("f"))  # one row of a repeated doc_id
+    table = docs.sparkSession.createDataFrame([(d, *v) for d, v in sample.items()], "doc_id long, o long, y long")
+    return rows.join(F.broadcast(table), "doc_id").select("o", "y", "f.text", "f.meta")
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict | None:
+    """Co-train on a bounded sample of labelled rows, in hash order, and all unlabelled documents."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
+    return co_train(labelled_rows(docs, known, labelled), docs, known.select("doc_id"), rounds)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])

@@ -51,3 +51,36 @@ def test_whole_pool_takes_part(spark):
             assert 230 <= sum(view) <= 240 and abs(view[1] / sum(view) - 0.75) < 0.05
     scores = {r.doc_id: r for r in qc.score_documents(docs, labels, rounds=2).collect()}
     assert all(scores[i].keep == (i % 4 != 3) for i in scores)
+
+
+def test_pseudo_labels_help(spark):
+    """A word list of which few labelled texts show a part: the metadata view, which knows the source, teaches the text
+    view the rest; documents without a telling source are judged better for it."""
+    rng = np.random.default_rng(5)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(500)] for _ in range(2)]
+    rows, truth = [], {}
+    for i in range(2_400):
+        y = int(rng.random() < 0.5)
+        own = rng.random(14) < 0.8
+        text = " ".join(words[y if o else 1 - y][rng.integers(500)] for o in own)
+        telling = i % 3 != 0
+        rows.append((i, text, "en", f"{'good' if y else 'bad'}" if telling else "mixed", None))
+        truth[i] = (y, telling)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, truth[i][0], 0) for i in range(75)], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 5):
+        scores = qc.score_documents(docs, labels, rounds=rounds).collect()
+        asked = [r for r in scores if r.doc_id >= 75 and not truth[r.doc_id][1]]
+        right[rounds] = np.mean([(r.text_score >= 0.5) == truth[r.doc_id][0] for r in asked])
+    print(right)
+    assert right[5] > right[0] + 0.03
+
+
+def test_repeated_labelled_ids_and_many_labels(spark):
+    rows = [(i // 2, ("good words here " if i % 4 < 2 else "zq!! 00 ") * (1 + i % 5), "en", "s", 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(100)] + [(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    a = sorted(map(tuple, qc.score_documents(docs, labels, labelled=30, rounds=1).collect()))
+    b = sorted(map(tuple, qc.score_documents(docs.repartition(5), labels, labelled=30, rounds=1).collect()))
+    assert a == b and len(a) == 400
