@@ -59,12 +59,23 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand rows at a time, unless the session names another number: with Spark's default
+    of 10,000 each task's Arrow buffers, outside the heap, are tens of MB."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
     """doc_id and the whole text as UTF-8 bytes; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b"")).alias("raw"),

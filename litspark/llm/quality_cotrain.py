@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64
+from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64, small_batches
 
 LABELLED = 8_000
 ROUNDS = 4
@@ -218,7 +218,7 @@ def _given_loss(given: DataFrame, w: list[np.ndarray], weight: list[np.ndarray])
                 for v in (0, 1):
                     i = np.flatnonzero(view == v)
                     if len(i):
-                        f = np.frombuffer(b"".join(rows[k] for k in i), np.float32).reshape(len(i), -1)
+                        f = _unpack(b"".join(rows[k] for k in i), len(w[v]) - 1)
                         y = mark[i].astype(float)
                         total[v] += loss_parts(w[v], _with_one(f), y, weight[v][mark[i]])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total[0].tobytes()]), pa.array([total[1].tobytes()])], names=["part", "a", "b"])
@@ -244,10 +244,10 @@ def refit(weights, inverse, given: DataFrame, counts: np.ndarray, l2: float = 1e
 def choose(cells: DataFrame, quota: dict[int, float]) -> list[list[tuple[int, int]]]:
     """For each view and sign (good, bad) the least cell that is taken and how many of its id cells: the surest
     documents up to the quota, all of them below it."""
-    long = cells.selectExpr("hashed", "stack(2, 0, cell0, 1, cell1) as (view, cell)").filter("cell <> 0")
     found: dict = {}
-    for r in long.groupBy("view", "cell").count().collect():  # a bounded number of cells
-        found.setdefault((r.view, 1 if r.cell > 0 else -1), []).append((abs(r.cell), r["count"]))
+    for v in (0, 1):
+        for r in cells.filter(f"cell{v} <> 0").groupBy(f"cell{v}").count().collect():  # a bounded number of cells
+            found.setdefault((v, 1 if r[0] > 0 else -1), []).append((abs(r[0]), r["count"]))
     rules, edge = {}, {}
     for key, have in found.items():
         left = int(np.ceil(quota[key[1]]))
@@ -258,23 +258,23 @@ def choose(cells: DataFrame, quota: dict[int, float]) -> list[list[tuple[int, in
             left -= n
         else:
             rules[key] = (0, 0)
-    if edge:
-        at = F.struct("view", "cell").isin([F.struct(F.lit(v), F.lit(sign * cell)) for (v, sign), (cell, _) in edge.items()])
-        finer: dict = {}
-        for r in long.filter(at).groupBy("view", "cell", "hashed").count().collect():
-            finer.setdefault((r.view, 1 if r.cell > 0 else -1), []).append((r.hashed, r["count"]))
-        for key, (cell, left) in edge.items():
-            below = 0
-            for hashed, n in sorted(finer[key]):
-                if left <= 0:
-                    break
-                left, below = left - n, hashed + 1
-            rules[key] = (cell, below)
+    for (v, sign), (cell, left) in edge.items():
+        below = 0
+        for hashed, n in sorted(tuple(r) for r in cells.filter(f"cell{v} = {sign * cell}").groupBy("hashed").count().collect()):
+            if left <= 0:
+                break
+            left, below = left - n, hashed + 1
+        rules[v, sign] = (cell, below)
     return [[rules.get((v, sign), (0, 0)) for sign in (1, -1)] for v in (0, 1)]
 
 
+def _pack(x: np.ndarray) -> pa.Array:
+    """Features of rows that are learned from, in half precision."""
+    return pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+
+
 def _unpack(r, d: int) -> np.ndarray:
-    return np.frombuffer(r, np.float32).reshape(-1, d)
+    return np.frombuffer(r, np.float16).reshape(-1, d).astype(np.float32)
 
 
 def _first_fit(batches):
@@ -367,6 +367,7 @@ def combine(model: dict | None, views: list[np.ndarray]) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- DataFrame operators
 def _inputs(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.filter("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b"")).alias("raw"),
@@ -424,7 +425,7 @@ def _picker(past, chosen):
                 _, marks = candidates(views, ids, None, past)
                 for v in (0, 1):
                     at = np.flatnonzero(marks[v] >= 0)
-                    rows = pa.array([r.tobytes() for r in views[1 - v][at]], pa.binary())
+                    rows = _pack(views[1 - v][at])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), 1 - v, np.int32)), pa.array(marks[v][at].astype(np.int32)), rows], names=["doc_id", "view", "mark", "x"])
 
     return run
@@ -451,7 +452,7 @@ def labelled_rows(docs: DataFrame, known: DataFrame, labelled: int) -> DataFrame
                 part = b.take(pa.array(at))
                 for x, y in _blocks(part):
                     v = _views(part.slice(x, y - x))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at[x:y]]), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in v)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at[x:y]]), *map(_pack, v)], schema=schema)
 
     rows = _inputs(docs).mapInArrow(features, "doc_id long, text binary, meta binary")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("f"))  # one row of a repeated doc_id
