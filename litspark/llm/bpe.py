@@ -1,10 +1,12 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash of the bytes before each place decides where a text is cut, so equal passages of different documents
-are cut alike and their chunks are encoded once per worker process.  Most places that may be cut are before white space;
-a few lie inside words.  Chunk joins before white space agree with the whole text by construction: the tokenizer drops
-white space and never looks across it.  A join inside a word is repaired: the words that touch it are re-encoded as one,
-after the chunks' own ids are checked to end and begin with those of the parts; while they don't agree, the repair
+are cut alike, into chunks of some sixteen words.  A first pass counts the chunks of all documents in a sketch; in the
+second, a chunk that the sketch says is shared is encoded once per worker process and its ids are used for every document
+there, while other chunks are encoded from their words.  Most cuts lie before white space: chunks joined there agree with
+the whole text by construction, as the tokenizer drops white space and never looks across it.  A few cuts lie inside
+words, so that a text without white space is cut too; such a join is repaired: the words that touch it are re-encoded as
+one, after the chunks' own ids are checked to end and begin with those of the parts; while they don't agree, the repair
 widens to both chunks.
 
 Results: a null or empty text has no ids and decodes to the empty string; a text without white space is encoded whole;
@@ -17,13 +19,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import U64, doc_texts, mix64, record, rolling, text_blocks
-from .token_cache import LIMIT, process_cache, read_tokenizer
+from .common import (
+    SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, merge_sketches, mix64, record, rolling, shard_count,
+    sketch_rows, text_blocks,
+)
+from .token_cache import process_cache, read_tokenizer
 
 HASHED = 4  # bytes under the rolling hash
-SKIPPED = 16  # one in so many places before white space is not cut
+EDGES = 16  # one in so many places before white space is cut
+CHUNKS = 200_000  # shared chunks that a process keeps; others are encoded each time
+MARKS = ("^", "~", "|")  # symbols that may part words in one call of the tokenizer
 INSIDE = 4096  # one in so many places inside words is cut
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
 BLANK = np.zeros(256, bool)
@@ -36,7 +44,7 @@ def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, bool)
     h = mix64(rolling(TABLE[data], HASHED))[:-1]  # of the bytes before place HASHED, HASHED + 1, ...
     here, before = data[HASHED:], data[HASHED - 1 : -1]
-    edge = BLANK[here] & ~BLANK[before] & (h % U64(SKIPPED) != 0)
+    edge = BLANK[here] & ~BLANK[before] & (h % U64(EDGES) == 0)
     inside = ~BLANK[here] & ~BLANK[before] & (here & 0xC0 != 0x80) & (h % U64(INSIDE) == 0)
     at = np.flatnonzero(edge | inside)
     return at + HASHED, inside[at]
@@ -52,6 +60,24 @@ def chunk(raws: list[bytes]):
     return out
 
 
+def chunk_cells(chunks: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, chunks), U64, len(chunks)) >> U64(32)).astype(np.uint32)
+
+
+def shared_chunks(docs: DataFrame) -> CellFilter:
+    """Passes every chunk that occurs more than once in all documents, and a few others."""
+    shards = shard_count(docs.sparkSession)
+
+    def build(batches):
+        cells = [chunk_cells([c for chunks, _ in chunk(raws) for c in chunks]) for _, raws in text_blocks(batches)]
+        yield from sketch_rows(cells, shards)
+
+    merged = materialize(merge_sketches(doc_texts(docs).mapInArrow(build, SKETCH_DDL)), "sketch")
+    found = CellFilter(merged)
+    discard(merged)
+    return found
+
+
 def _tail(chunk: bytes) -> bytes:
     words = chunk.split()
     return words[-1] if words and not BLANK[chunk[-1]] else b""
@@ -71,33 +97,46 @@ def _join(left: bytes, a: bytes, right: bytes, b: bytes, encode) -> bytes:
     return encode(left + right)
 
 
-def encode_texts(raws: list[bytes], tokenizer_text: str) -> list[bytes]:
-    """Ids of each text, as little-endian unsigned 32-bit integers."""
-    cache = process_cache(tokenizer_text)
-    texts = chunk(raws)
+def _caseless(tokenizer) -> bool:
+    return tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
 
-    def fresh(unknown):
-        """Chunks not seen before, from their words, which may be known; a chunk is kept with its ids."""
-        words = [c.split(b" ") for c in unknown]
-        built = {c: b"".join(v) for c, v in zip(unknown, cache.values(words))}
-        if len(cache) + len(built) <= LIMIT:
-            cache.update(built)
-        return built
 
-    tables = cache.values([chunks for chunks, _ in texts], fresh)
-    encode = lambda piece: cache.encode([piece])[0]
-    out = []
-    for (chunks, inside), values in zip(texts, tables):
+def _joining(tokenizer) -> dict:
+    """New words are encoded many at a time, parted by a symbol of one id."""
+    alone = [m for m in MARKS if len(tokenizer.encode(m, add_special_tokens=False).ids) == 1]
+    return {"separator": alone[0] if alone else None, "caseless": _caseless(tokenizer)}
+
+
+_chunks: dict = {}  # by tokenizer: this process's shared chunks
+
+
+def encode_texts(raws: list[bytes], tokenizer_text: str, shared=None) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned 32-bit integers; shared: from chunks' cells whether to keep them."""
+    words = process_cache(tokenizer_text, "words", make=_joining)
+    kept = _chunks.setdefault(hash(tokenizer_text), {})
+    texts = chunk(raws)
+    flat = [c for chunks, _ in texts for c in chunks]
+    keep = shared(chunk_cells(flat)).tolist() if shared else [False] * len(flat)
+    ids = [kept.get(c) if k else None for c, k in zip(flat, keep)]
+    holes = [i for i, x in enumerate(ids) if x is None]
+    for i, x in zip(holes, words.values([flat[i].split() for i in holes])):
+        ids[i] = b"".join(x)
+        if keep[i] and len(kept) < CHUNKS:
+            kept[flat[i]] = ids[i]
+    encode = lambda piece: words.encode([piece])[0]
+    out, at = [], 0
+    for chunks, inside in texts:
+        values, at = ids[at : at + len(chunks)], at + len(chunks)
         if not inside:
             out.append(b"".join(values))
             continue
         done, starts = [], set(inside)
-        for i, (c, ids) in enumerate(zip(chunks, values)):
+        for i, (c, x) in enumerate(zip(chunks, values)):
             if i in starts:
                 left, a = done.pop()
-                done.append((left + c, _join(left, a, c, ids, encode)))
+                done.append((left + c, _join(left, a, c, x, encode)))
             else:
-                done.append((c, ids))
+                done.append((c, x))
         out.append(b"".join(x[1] for x in done))
     return out
 
@@ -110,9 +149,10 @@ IDS_DDL, DECODED_DDL = "doc_id long, ids binary", "doc_id long, ids binary, deco
 DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_batches(batches, tokenizer_text: str):
+def encode_batches(batches, tokenizer_text: str, shared: CellFilter):
+    mask = shared.probe()
     for ids, raws in text_blocks(batches):
-        yield record(IDS, ids, encode_texts(raws, tokenizer_text))
+        yield record(IDS, ids, encode_texts(raws, tokenizer_text, mask))
 
 
 def decode_table(tokenizer) -> list[str]:
@@ -122,7 +162,7 @@ def decode_table(tokenizer) -> list[str]:
 
 
 def decode_batches(batches, tokenizer_text: str):
-    tok = process_cache(tokenizer_text).tokenizer
+    tok = process_cache(tokenizer_text, "words", make=_joining).tokenizer
     table = None if tok.decoder is not None else decode_table(tok)
     for b in batches:
         for at in range(0, b.num_rows, 500):
@@ -149,8 +189,8 @@ def digest_batches(batches):
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit integers)."""
-    tokenizer = read_tokenizer(docs.sparkSession, tokenizer_path)
-    return doc_texts(docs).mapInArrow(lambda batches: encode_batches(batches, tokenizer.value), IDS_DDL)
+    tokenizer, shared = read_tokenizer(docs.sparkSession, tokenizer_path), shared_chunks(docs)
+    return doc_texts(docs).mapInArrow(lambda batches: encode_batches(batches, tokenizer.value, shared), IDS_DDL)
 
 
 def decode_documents(coded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -166,9 +206,9 @@ def digest(decoded: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """digest(decode_documents(encode_documents(docs))) in one Python pass: one worker and one cache per task."""
-    tokenizer = read_tokenizer(docs.sparkSession, tokenizer_path)
+    tokenizer, shared = read_tokenizer(docs.sparkSession, tokenizer_path), shared_chunks(docs)
 
     def run(batches):
-        yield from digest_batches(decode_batches(encode_batches(batches, tokenizer.value), tokenizer.value))
+        yield from digest_batches(decode_batches(encode_batches(batches, tokenizer.value, shared), tokenizer.value))
 
     return doc_texts(docs).mapInArrow(run, DIGESTS_DDL)

@@ -31,7 +31,7 @@ from .token_cache import process_cache, read_tokenizer
 # bytes that may touch a space as further white space; texts without them are cut by a plain split
 RARE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 RARE_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf")
-SEPARATOR = "<|endoftext|>"  # a special token: what it parts is encoded apart
+SPACE_MARK = "\u0120"  # fixed value: how byte-level vocabularies write a space
 SPACE = "\\s\u180e\u200b-\u200f\u2060\ufeff"
 JOIN = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
@@ -43,11 +43,18 @@ def pieces(raw: bytes) -> list[bytes]:
     return raw.split(b" ")
 
 
-def encode_texts(raws: list[bytes], tokenizer_text: str) -> list[bytes]:
-    """Ids of each text, as little-endian unsigned 32-bit integers."""
+def _joining(tokenizer, width: int) -> dict:
+    """Pieces are joined by the space before each, which only a piece's first id can hold."""
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    starts = np.fromiter((tokenizer.id_to_token(i).startswith(SPACE_MARK) for i in range(size)), bool, size)
+    return {"prefix": " ", "starts": starts, "width": width}
+
+
+def encode_texts(raws: list[bytes], tokenizer_text: str, width: int = 4) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned integers of width bytes."""
     cut = [pieces(r) for r in raws]
-    heads = process_cache(tokenizer_text).values([[c[0]] for c in cut])
-    tails = process_cache(tokenizer_text, " ", SEPARATOR).values([c[1:] for c in cut])
+    heads = process_cache(tokenizer_text, f"head{width}", width=width).values([[c[0]] for c in cut])
+    tails = process_cache(tokenizer_text, f"tail{width}", make=lambda t: _joining(t, width)).values([c[1:] for c in cut])
     return [b"".join([*h, *t]) for h, t in zip(heads, tails)]
 
 
@@ -76,10 +83,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, name: str =
         end = np.array([end_id], f"<u{width}").tobytes()
         with files.open_output_stream(path + ".ids") as out:
             for doc_ids, raws in text_blocks(batches):
-                coded = encode_texts(raws, tokenizer.value)
+                coded = encode_texts(raws, tokenizer.value, width)
                 ids += doc_ids
-                sizes += [len(c) // 4 + 1 for c in coded]
-                out.write(b"".join(x for c in coded for x in (np.frombuffer(c, "<u4").astype(f"<u{width}").tobytes(), end)))
+                sizes += [len(c) // width + 1 for c in coded]
+                out.write(end.join(coded) + end)
         if ids:
             starts = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
             with files.open_output_stream(path + ".off") as out:

@@ -70,3 +70,28 @@ def test_encode_decode(spark):
         want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(TOK[WORD].decode(ids, skip_special_tokens=False))))
     assert sorted(map(tuple, got.collect())) == sorted(want) == sorted(map(tuple, bpe.round_trip(df, WORD).collect()))
     assert bpe.digest(bpe.decode_documents(bpe.encode_documents(df.limit(0), WORD), WORD)).count() == 0
+
+
+def test_shared_chunks_are_encoded_once(spark, monkeypatch):
+    """A passage of many documents is cut alike in each and its chunks come from the process's table; no result changes."""
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400))
+    raws = [f"{i} begins here {passage} ends {i}".encode() for i in range(30)]
+    want = [TOK[WORD].encode(r.decode(), add_special_tokens=False).ids for r in raws]
+    chunks = [c for cs, _ in bpe.chunk(raws) for c in cs]
+    assert 8 < np.mean([len(c.split()) for c in chunks]) < 40 and len(set(chunks)) < len(chunks) / 5
+    df = spark.createDataFrame(list(enumerate(r.decode() for r in raws)), "doc_id long, text string").repartition(3)
+    mask = bpe.shared_chunks(df).probe()
+    again = {c for c in set(chunks) if chunks.count(c) > 1}
+    assert mask(bpe.chunk_cells(sorted(again))).all() and mask(bpe.chunk_cells(chunks)).mean() > 0.6
+    bpe._chunks.clear()
+    words, asked = bpe.process_cache(TEXT[WORD], "words", make=bpe._joining), []
+    plain = words.values
+    monkeypatch.setattr(words, "values", lambda lists: asked.append(len(lists)) or plain(lists))
+    assert [np.frombuffer(x, "<u4").tolist() for r in raws for x in bpe.encode_texts([r], TEXT[WORD], mask)] == want
+    assert sum(asked[1:]) < 0.5 * len(chunks)  # the rest was known from the first document
+
+
+def test_clashing_names_and_nulls_in_ids(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2), (None, "c", "y", 3)], "doc_id long, text string, raw string, ids int")
+    assert [r.doc_id for r in bpe.round_trip(df, WORD).collect()] == [1]
