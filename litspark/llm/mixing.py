@@ -1,16 +1,19 @@
 """Mixing sources to target weights with a low-discrepancy schedule, in DataFrame functions only.
 
-Slot k of the mix is the golden-ratio point frac(k * phi) mapped through the sources' cumulative shares; a source's
-r-th slot takes the r-th block of equal token count of its documents, which are laid end to end in hashed order, epoch
-after epoch.  Ranks, block offsets and cumulative shares are prefix sums in two levels (chunks, then inside a chunk), so
-a source with most of the rows is never one task's window.  A source whose slots fall short of its target by the
-schedule's discrepancy (a few slots) gets the missing ones at the end; its last block is cut at the target.
+A source's documents, laid end to end in hashed order, are cut into blocks of equal token count (to one word).  Slot k of
+the mix is the golden-ratio point frac(k * phi) mapped through the sources' cumulative shares of the slots; a source's
+r-th slot takes its r-th block in shuffled order, epoch after epoch, each with an order of its own.  The mix is the
+schedule's first slots, as many as the targets ask for: what is taken of a document follows from them, so a source's
+words come as near to its target as the sequence's discrepancy (a few blocks) lets them.  Ranks, places and cumulative
+shares are prefix sums in two levels (chunks, then inside a chunk), so a source with most of the rows is never one task's
+window.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at max_epochs
 times its source's size and the excess is reshared by weight.
 
 Results: a null text has size 0 and nothing is taken of it; repeated rows are separate documents; all-empty sources have
-target 0; an empty table gives an empty result.  Reruns agree: the order is hashed, not random.
+target 0; an empty table gives an empty result; columns other than doc_id, text and source are ignored.  Reruns agree: the
+order is hashed, not random.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from .common import WORD_CLASS, materialize
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-BLOCK = 256  # words
+BLOCK = 128  # words of a block, about
+LEAST = 128  # blocks of a source that has as many words: small sources have smaller blocks
+STRIDES = (1_000_003, 999_983, 999_979)  # primes: the shuffled order of blocks steps by one that doesn't divide their number
 CHUNK = 1 << 16  # slots ranked together
 GRID = 4096  # cells that slots and shares meet in
 GOLDEN = 2654435769  # 2**32 / phi
@@ -72,57 +77,72 @@ def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(cells, ["src", "cell"]).withColumn("start", F.col("base") + F.col("inner"))
 
 
-def slots(sources: DataFrame, n: int, block: int) -> DataFrame:
-    """slot, src, rank: the schedule of n slots, each source's ranks 0 .. blocks - 1."""
+def blocked(sources: DataFrame, block: int) -> DataFrame:
+    """sources with their number of blocks, the words of a block (width; the first longer ones have one more) and the
+    number of slots that the target asks for."""
+    size = F.col("source_size")
+    s = sources.filter("words > 0").withColumn("blocks", F.greatest(F.ceil(size / block), F.least(size, F.lit(LEAST))))
+    s = s.withColumn("width", F.expr("source_size div blocks")).withColumn("longer", F.expr("source_size % blocks"))
+    return s.withColumn("slots", F.round(F.col("target") * F.col("blocks") / size).cast("long"))
+
+
+def slots(sources: DataFrame, n: int, epochs: int) -> DataFrame:
+    """slot, src, rank, block: the schedule of the first n slots; what exceeds the epochs of a source is left out."""
     spark = sources.sparkSession
-    total = Window.partitionBy()
-    s = sources.filter("words > 0").withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("all", F.sum("words").over(total))
-    s = s.withColumn("lo", _so_far("words", "src") / F.col("all")).withColumn("hi", F.col("lo") + F.col("words") / F.col("all"))
+    s = sources.withColumn("all", F.sum("slots").over(Window.partitionBy()))
+    s = s.withColumn("lo", _so_far("slots", "src") / F.col("all")).withColumn("hi", (_so_far("slots", "src") + F.col("slots")) / F.col("all"))
     s = s.select("src", "blocks", "lo", "hi")
     cells = s.withColumn("grid", F.explode(F.sequence(F.floor(F.col("lo") * GRID).cast("long"), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1)).cast("long"))))
     point = (F.col("id") % (1 << 31) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)
     k = spark.range(1, n + 1).withColumn("u", point).withColumn("grid", F.floor(F.col("u") * GRID).cast("long"))
-    hit = k.join(cells, "grid").filter("u >= lo and u < hi").select(F.col("id").alias("slot"), "src", F.floor(F.col("id") / CHUNK).alias("chunk"))
+    hit = k.join(cells, "grid").filter("u >= lo and u < hi").select(F.col("id").alias("slot"), "src", "blocks", F.floor(F.col("id") / CHUNK).alias("chunk"))
     counts = hit.groupBy("src", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("src", "chunk", F.coalesce(before, F.lit(0)).alias("base"))
     nth = F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot"))
-    ranked = hit.withColumn("nth", nth).join(bases, ["src", "chunk"]).select("slot", "src", (F.col("base") + F.col("nth") - 1).alias("rank"))
-    ranked = ranked.join(s.select("src", "blocks"), "src").filter("rank < blocks").select("slot", "src", "rank")
-    have = counts.groupBy("src").agg(F.sum("n").alias("have"))
-    short = s.join(have, "src", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < blocks")
-    rest = short.select("src", F.explode(F.sequence("have", F.col("blocks") - 1)).alias("rank"))
-    return ranked.unionByName(rest.select((F.lit(n) + 1 + F.col("rank")).alias("slot"), "src", "rank"))
+    ranked = hit.withColumn("nth", nth).join(bases, ["src", "chunk"]).withColumn("rank", F.col("base") + F.col("nth") - 1)
+    stride = F.coalesce(*(F.when(F.col("blocks") % p != 0, F.lit(p)) for p in STRIDES), F.lit(1))
+    block = (F.col("rank") % F.col("blocks") * stride + F.expr("rank div blocks * (blocks div 3)")) % F.col("blocks")
+    return ranked.filter(F.col("rank") < epochs * F.col("blocks")).select("slot", "src", "rank", block.alias("block"))
 
 
-def schedule(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
-    """The mix: slot, source, src, cell, nth (with them one document), doc_id, size, source_size, target, from_word,
-    n_words; documents of which nothing is taken have one row with a null slot."""
+def _parts(docs: DataFrame, weights, epochs: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Every document once for each block that holds words of it (part: those words, from from_word on), and the slots."""
     sized = materialize(sizes(docs), "sizes")
-    sources = materialize(targets(sized, weights, epochs), "sources")
-    n = int(sources.agg(F.coalesce(F.sum(F.ceil(F.col("words") / block)), F.lit(0))).first()[0])
-    p = placed(sized, sources)
-    last = F.floor((F.col("words") - 1 - F.col("start")) / F.col("source_size"))  # the last epoch that reaches it
-    takes = (F.col("size") > 0) & (F.col("start") < F.col("words"))
-    epoch = F.explode_outer(F.when(takes, F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    p = p.withColumn("last", F.when(takes, last)).withColumn("epoch", epoch)
-    p = p.withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size"))
-    p = p.withColumn("upto", F.least(F.col("from") + F.col("size"), F.col("words")))
-    p = p.withColumn("rank", F.explode_outer(F.when(F.col("epoch").isNotNull(), F.sequence(F.floor(F.col("from") / block), F.floor((F.col("upto") - 1) / block)))))
-    out = p.join(slots(sources, n, block), ["src", "rank"], "left")
-    lo, hi = F.greatest("from", F.col("rank") * block), F.least("upto", (F.col("rank") + 1) * block)
-    return out.select(
-        "slot", "source", "src", "cell", "nth", "doc_id", "size", "source_size", "target",
-        (lo - F.col("from")).alias("from_word"), F.when(F.col("slot").isNotNull(), hi - lo).otherwise(F.lit(0)).alias("n_words"),
-    )
+    sources = materialize(blocked(targets(sized, weights, epochs), block), "sources")
+    n = int(sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
+    p = placed(sized, targets(sized, weights, epochs)).join(sources.select("src", "blocks", "width", "longer"), "src", "left")
+
+    def holding(word: Column) -> Column:
+        far = F.col("longer") * (F.col("width") + 1)
+        near = F.floor(word / (F.col("width") + 1))
+        return F.when(word < far, near).otherwise(F.col("longer") + F.floor((word - far) / F.col("width"))).cast("long")
+
+    first, last = holding(F.col("start")), holding(F.col("start") + F.col("size") - 1)
+    p = p.withColumn("block", F.explode_outer(F.when((F.col("size") > 0) & F.col("blocks").isNotNull(), F.sequence(first, last))))
+    begin = lambda b: b * F.col("width") + F.least(b, F.col("longer"))
+    lo, hi = F.greatest("start", begin(F.col("block"))), F.least(F.col("start") + F.col("size"), begin(F.col("block") + 1))
+    p = p.withColumn("from_word", lo - F.col("start")).withColumn("part", hi - lo)
+    return p, slots(sources, n, epochs)
+
+
+def schedule(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
+    """The mix in order of slot, one row for each document of the slot's block: slot, source, doc_id, from_word, n_words,
+    and src, cell, nth, which together name the document's row."""
+    parts, slot = _parts(docs, weights, epochs, block)
+    return parts.join(slot, ["src", "block"]).select("slot", "source", "src", "cell", "nth", "doc_id", "from_word", F.col("part").alias("n_words"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken: one row a document."""
-    rows = schedule(docs, weights, epochs, block)
-    return rows.groupBy("src", "cell", "nth", "doc_id", "source", "size", "source_size", "target").agg(F.sum("n_words").cast("long").alias("taken")).select(
-        "doc_id", "source", "size", "source_size", "target", "taken"
-    )
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken, first_slot and slot_sum (of the
+    slots that take words of it; null and 0 if none does): one row a document."""
+    parts, slot = _parts(docs, weights, epochs, block)
+    times = slot.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("slot").alias("least"), F.sum("slot").alias("sum"))
+    rows = parts.join(times, ["src", "block"], "left")
+    return rows.groupBy("src", "cell", "nth", "doc_id", "source", "size", "source_size", "target").agg(
+        F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("long").alias("taken"),
+        F.min("least").alias("first_slot"), F.coalesce(F.sum("sum"), F.lit(0)).alias("slot_sum"),
+    ).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "slot_sum")
 
 
 ORACLE_SQL = r"""
@@ -137,18 +157,37 @@ four AS (
     (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS share
   FROM three WINDOW w AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 water AS (SELECT arg_min(share, (level, src)) AS water FROM four WHERE share <= level),
-sources AS (SELECT source, source_size, coalesce(least(cap, water * weight), cap) AS target FROM four, water),
+sources AS (
+  SELECT *, CAST(greatest(ceil(source_size / 128), least(source_size, 128)) AS BIGINT) AS blocks
+  FROM (SELECT source, src, source_size, coalesce(least(cap, water * weight), cap) AS target FROM four, water)),
+cut AS (
+  SELECT *, source_size // blocks AS width, source_size % blocks AS longer, CAST(round(target * blocks / source_size) AS BIGINT) AS slots,
+    CASE WHEN blocks % 1000003 <> 0 THEN 1000003 WHEN blocks % 999983 <> 0 THEN 999983 WHEN blocks % 999979 <> 0 THEN 999979 ELSE 1 END AS stride
+  FROM sources WHERE source_size > 0),
+shares AS (SELECT *, coalesce(sum(slots) OVER w, 0) / sum(slots) OVER () AS lo, (coalesce(sum(slots) OVER w, 0) + slots) / sum(slots) OVER () AS hi
+  FROM cut WINDOW w AS (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+points AS (SELECT k AS slot, ((k % 2147483648 * 2654435769) & 4294967295) / 4294967296.0::DOUBLE AS u
+  FROM (SELECT unnest(range(1, CAST((SELECT sum(slots) FROM cut) AS BIGINT) + 1)) AS k)),
+ranked AS (SELECT slot, src, blocks, stride, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS r FROM points JOIN shares ON u >= lo AND u < hi),
+times AS (SELECT src, (r % blocks * stride + r // blocks * (blocks // 3)) % blocks AS block, count(*) AS times, min(slot) AS least, sum(slot) AS total
+  FROM ranked WHERE r < 3 * blocks GROUP BY 1, 2),
 placed AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, CAST(floor(s.target + 1e-6) AS BIGINT) AS words,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || d.doc_id), d.doc_id, d.size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-  CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
-    + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken
-FROM placed
+  SELECT row_number() OVER () AS n, d.doc_id, d.size, s.src, s.source_size, s.target, c.width, c.longer,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || d.doc_id), d.doc_id, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN cut c USING (src)),
+held AS (SELECT *, start + size - 1 AS stop FROM placed WHERE size > 0),
+span AS (
+  SELECT *, CASE WHEN start < longer * (width + 1) THEN start // (width + 1) ELSE longer + (start - longer * (width + 1)) // width END AS b0,
+    CASE WHEN stop < longer * (width + 1) THEN stop // (width + 1) ELSE longer + (stop - longer * (width + 1)) // width END AS b1 FROM held),
+parts AS (SELECT *, unnest(range(b0, b1 + 1)) AS block FROM span),
+took AS (
+  SELECT n, sum(times * (least(start + size, (block + 1) * width + least(block + 1, longer)) - greatest(start, block * width + least(block, longer)))) AS taken,
+    min(least) AS first_slot, sum(total) AS slot_sum FROM parts JOIN times USING (src, block) GROUP BY n)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, CAST(coalesce(slot_sum, 0) AS BIGINT) AS slot_sum
+FROM placed LEFT JOIN took USING (n)
 """
 
 
 def digest(mixed: DataFrame) -> DataFrame:
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot", "slot_sum")
