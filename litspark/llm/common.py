@@ -82,6 +82,11 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     ).filter("doc_id is not null")
 
 
+def row_texts(docs: DataFrame) -> DataFrame:
+    """doc_texts with t, a hash of the text that tells rows of one doc_id apart."""
+    return doc_texts(docs).withColumn("t", F.xxhash64("raw"))
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,6 +111,16 @@ def text_blocks(batches, max_bytes: int = 2_000_000):
         yield ids, texts
 
 
+def row_blocks(batches, max_bytes: int = 2_000_000):
+    """Lists of (doc_id, t) pairs and of bytes, as text_blocks."""
+    keyed = (
+        pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column("doc_id"), b.column("t")], ["doc_id", "t"]), b.column("raw")], names=["doc_id", "raw"])
+        for b in batches
+    )
+    for keys, texts in text_blocks(keyed, max_bytes):
+        yield np.array([(k["doc_id"], k["t"]) for k in keys], np.int64).reshape(-1, 2), texts
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
@@ -235,18 +250,18 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
 
 
 SMALL_BITS = 23
-MAX_BITS = 28  # 32 MB: the bound of what a cell filter broadcasts
+MAX_BITS = 28  # 32 MB: the bound of what a cell filter broadcasts, unless it is given less
 
 
 class CellFilter:
     """Bitmap of the repeated cells, folded to at most 2**MAX_BITS bits; folding only adds false positives."""
 
-    def __init__(self, cells: DataFrame, n: int | None = None):
-        """cells: sketch rows, merged or of partitions; n: about how many cells they hold."""
+    def __init__(self, cells: DataFrame, n: int | None = None, most: int = MAX_BITS):
+        """cells: sketch rows, merged or of partitions; n: about how many cells they hold; most: bound of the bits' power."""
         spark = cells.sparkSession
         if n is None:
             n = int((cells.select(F.sum(F.octet_length("cells")).alias("n")).first().n or 0) // 4)
-        self.bits = min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, n) * 64)))))
+        self.bits = min(most, max(16, int(np.ceil(np.log2(max(1, n) * 64)))))
         shift, size = 32 - self.bits, 1 << self.bits
 
         def fold(batches):

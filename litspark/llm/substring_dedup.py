@@ -1,18 +1,23 @@
 """Substring dedup over word windows with a count-min prefilter.
 
-Pass 1 gives every partition a sparse count-min sketch; the merged sketch never underestimates how often a window
-occurs.  A window is counted under the least hashed 6-word gram inside it (its minimizer): equal windows share that
-gram and each occurrence has its own place of it, so a gram counted once cannot belong to a repeated window.  Pass 2
-groups exactly, by 128-bit digests, only the windows estimated repeated; none is lost.
+Pass 1 gives every partition a sparse count-min sketch of ROWS hash rows; the merged sketch, whose least row counts, never
+underestimates how often a window occurs.  A window is counted under the least hashed 6-word gram inside it (its
+minimizer): equal windows share that gram and each occurrence has its own place of it, so a gram counted once cannot
+belong to a repeated window.  Counts stop at two, which is all that is asked.  Rows hold as many cells as grams occur
+(of 2**32) and are folded for the second pass to a width that grows with the repeated cells, to 2**(28 - 1) bits a row at
+most; beyond that they let more through, never less.  Pass 2 groups exactly, by 128-bit digests, only the windows
+estimated repeated; none is lost.
 
 Results: a window repeats if its word sequence also starts earlier (smaller doc_id, or the same document and an earlier
 start).  Null and empty texts have no words; a text shorter than the window is kept whole; rows repeating a doc_id
-count as the same place, so neither removes the other; an empty table gives an empty result.
+count as the same place, so at equal starts neither removes the other, and each loses only words of its own text; an
+empty table gives an empty result; other columns are ignored, or carried if named.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, merge_sketches, mix64, record, rolling, run_starts,
-    shard_count, sketch_rows, sliding, spread, text_blocks,
+    MAX_BITS, SKETCH_DDL, U64, CellFilter, discard, materialize, merge_sketches, mix64, record, rolling, row_blocks,
+    row_texts, shard_count, sketch_rows, sliding, text_blocks,
 )
 
 WINDOW = 20
 GRAM = 6
-BASE2 = 0xC2B2AE3D27D4EB4F
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("pos", pa.int32()), ("own", pa.binary())])
-WINDOWS_DDL = "doc_id long, h1 long, h2 long, pos int, own binary"
+ROWS = 2  # hash rows of the sketch
+FLUSH = 1_000_000  # candidate windows that a task holds at once
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("pos", pa.int32()), ("own", pa.binary())])
+WINDOWS_DDL = "doc_id long, t long, h1 long, h2 long, pos int, own binary"
 
 
 def _words(texts):
+    """Words a text, and two independent 64-bit hashes of every word."""
     words = [t.split() for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    hashes = np.fromiter((h for w in words for h in map(xxhash.xxh3_64_intdigest, w)), U64, int(lengths.sum()))
-    return lengths, hashes
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(words))), ">u8").reshape(-1, 2)
+    return lengths, both[:, 1].astype(U64), both[:, 0].astype(U64)
 
 
 def _minimizers(hashes: np.ndarray, lengths: np.ndarray, window: int):
@@ -50,86 +57,109 @@ def _minimizers(hashes: np.ndarray, lengths: np.ndarray, window: int):
     return valid, least, grams, span
 
 
-def _gram_cells(hashes, lengths, window):
+def _chosen_grams(hashes, lengths, window):
     valid, least, grams, span = _minimizers(hashes, lengths, window)
     if not valid.any():
-        return np.empty(0, np.uint32)
+        return np.empty(0, U64)
     padded = np.zeros(len(grams) + span - 1, U64)
     padded[span - 1 : span - 1 + len(least)] = np.where(valid, least, U64(0))
     chosen = sliding(padded, span, np.maximum) == grams  # equal to the least of some window that covers it
-    return _cell(grams[chosen])
+    return grams[chosen]
 
 
-def _cell(grams: np.ndarray) -> np.ndarray:
-    return (mix64(grams + U64(1)) >> U64(32)).astype(np.uint32)
+def _cell(grams: np.ndarray, row: int) -> np.ndarray:
+    return (mix64(grams + U64(1 + row)) >> U64(32)).astype(np.uint32)
 
 
 def window_sketch(texts: DataFrame, window: int, shards: int) -> DataFrame:
+    """Partitions' sketch rows; those of hash row r have shards from r * shards on."""
+
     def build(batches):
-        cells = []
+        grams = []
         for _, raws in text_blocks(batches):
-            lengths, hashes = _words(raws)
-            cells.append(_gram_cells(hashes, lengths, window))
-        yield from sketch_rows(cells, shards)
-
-    return texts.mapInArrow(build, SKETCH_DDL)
+            lengths, hashes, _ = _words(raws)
+            grams.append(_chosen_grams(hashes, lengths, window))
+        for row in range(ROWS):
+            for b in sketch_rows([_cell(g, row) for g in grams], shards):
+                yield record(b.schema, pa.array(b.column(0).to_numpy() + np.int32(row * shards)), b.column(1))
+
+    return texts.select("doc_id", "raw").mapInArrow(build, SKETCH_DDL)
+
+
+def repeated_grams(texts: DataFrame, window: int) -> list[CellFilter]:
+    """A filter a hash row; a gram whose least count is two or more passes them all."""
+    shards = shard_count(texts.sparkSession)
+    merged = materialize(merge_sketches(window_sketch(texts, window, shards)), "sketch")
+    most = MAX_BITS - (ROWS - 1).bit_length()  # all rows together broadcast no more than one filter may
+    found = []
+    for row in range(ROWS):
+        own = merged.filter(f"shard >= {row * shards} and shard < {(row + 1) * shards}")
+        found.append(CellFilter(own.select((F.col("shard") - row * shards).alias("shard"), "cells"), most=most))
+    discard(merged)
+    return found
 
 
-def repeated_windows(texts: DataFrame, cells: CellFilter, window: int) -> DataFrame:
-    """Candidate windows: a partition's first of each digest to be grouped, and what it can already remove (own)."""
-    mask = cells.probe()
+def repeated_windows(texts: DataFrame, cells: list[CellFilter], window: int) -> DataFrame:
+    """Candidate windows: a task's first of each digest to be grouped, and what it can already remove (own)."""
+    masks = [c.probe() for c in cells]
 
-    def emit(batches):
-        ids, h1, h2, pos = [], [], [], []
-        for doc_ids, raws in text_blocks(batches):
-            lengths, hashes = _words(raws)
-            valid, least, _, _ = _minimizers(hashes, lengths, window)
-            at = np.flatnonzero(valid)
-            at = at[mask(_cell(least[at]))]
-            if not len(at):
-                continue
-            doc = np.searchsorted(np.cumsum(lengths), at, side="right")
-            ids.append(np.array(doc_ids, np.int64)[doc])
-            pos.append((at - (np.cumsum(lengths) - lengths)[doc]).astype(np.int32))
-            h1.append(mix64(rolling(hashes, window)[at]).view(np.int64))
-            h2.append(mix64(rolling(hashes, window, BASE2)[at]).view(np.int64))
-        if not ids:
-            return
-        ids, h1, h2, pos = map(np.concatenate, (ids, h1, h2, pos))
-        order = np.lexsort((pos, ids, h2, h1))
-        ids, h1, h2, pos = ids[order], h1[order], h2[order], pos[order]
+    def settle(parts):
+        ids, ts, h1, h2, pos = map(np.concatenate, zip(*parts))
+        order = np.lexsort((ts, pos, ids, h2, h1))
+        ids, ts, h1, h2, pos = ids[order], ts[order], h1[order], h2[order], pos[order]
         first = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (ids != ids[lead]) | (pos != pos[lead])  # the same place of a repeated row isn't later
-        keep = np.flatnonzero(first)
+        keep = np.flatnonzero(first | (~later & (ts != np.roll(ts, 1))))
         for i in range(0, len(keep), 50_000):
             k = keep[i : i + 50_000]
-            yield record(WINDOWS, pa.array(ids[k]), pa.array(h1[k]), pa.array(h2[k]), pa.array(pos[k]), pa.nulls(len(k), pa.binary()))
-        ids, pos = ids[later], pos[later]
-        order = np.lexsort((pos, ids))
-        ids, pos = ids[order], pos[order]
-        starts = run_starts(ids)
+            yield record(WINDOWS, pa.array(ids[k]), pa.array(ts[k]), pa.array(h1[k]), pa.array(h2[k]), pa.array(pos[k]), pa.nulls(len(k), pa.binary()))
+        ids, ts, pos = ids[later], ts[later], pos[later]
+        order = np.lexsort((pos, ts, ids))
+        ids, ts, pos = ids[order], ts[order], pos[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), (ids[1:] != ids[:-1]) | (ts[1:] != ts[:-1]))))
         ends = np.append(starts[1:], len(ids))
         for i in range(0, len(starts), 5_000):
             s, e = starts[i : i + 5_000], ends[i : i + 5_000]
             none = pa.nulls(len(s), pa.int64())
-            yield record(WINDOWS, pa.array(ids[s]), none, none, pa.nulls(len(s), pa.int32()), [pos[a:b].tobytes() for a, b in zip(s, e)])
+            yield record(WINDOWS, pa.array(ids[s]), pa.array(ts[s]), none, none, pa.nulls(len(s), pa.int32()), [pos[a:b].tobytes() for a, b in zip(s, e)])
+
+    def emit(batches):
+        parts, held = [], 0
+        for keys, raws in row_blocks(batches):
+            lengths, hashes, others = _words(raws)
+            valid, least, _, _ = _minimizers(hashes, lengths, window)
+            at = np.flatnonzero(valid)
+            for row, mask in enumerate(masks):
+                at = at[mask(_cell(least[at], row))]
+            if not len(at):
+                continue
+            doc = np.searchsorted(np.cumsum(lengths), at, side="right")
+            pos = (at - (np.cumsum(lengths) - lengths)[doc]).astype(np.int32)
+            h1, h2 = (mix64(rolling(h, window)[at]).view(np.int64) for h in (hashes, others))
+            parts.append((keys[doc, 0], keys[doc, 1], h1, h2, pos))
+            held += len(at)
+            if held >= FLUSH:
+                yield from settle(parts)
+                parts, held = [], 0
+        if parts:
+            yield from settle(parts)
 
     return texts.mapInArrow(emit, WINDOWS_DDL)
 
 
 def removal_starts(windows: DataFrame) -> DataFrame:
-    """doc_id, starts: the starts of windows that also start earlier, of each document that has any."""
-    whole = windows.filter("own is null").select("h1", "h2", "doc_id", "pos")
+    """doc_id, t, starts: the starts of windows that also start earlier, of each document that has any."""
+    whole = windows.filter("own is null").select("h1", "h2", "doc_id", "t", "pos")
     place = F.struct("doc_id", "pos")
     # at most one row per digest and partition of the input, so no digest gathers many rows
     from pyspark.sql import Window
 
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
-    later = whole.withColumn("first", first).filter(place > F.col("first")).select("doc_id", "pos", F.lit(None).cast("binary").alias("own"))
+    later = whole.withColumn("first", first).filter(place > F.col("first")).select("doc_id", "t", "pos", F.lit(None).cast("binary").alias("own"))
     return (
-        later.unionByName(windows.filter("own is not null").select("doc_id", "pos", "own"))
-        .groupBy("doc_id")
+        later.unionByName(windows.filter("own is not null").select("doc_id", "t", "pos", "own"))
+        .groupBy("doc_id", "t")
         .agg(F.collect_list("pos").alias("places"), F.collect_list("own").alias("own"))
     )
 
@@ -144,14 +174,10 @@ def keep_mask(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept (the words left, joined by one space), text (kept, or
     the input's text where nothing is removed), and the columns named in carry."""
-    spark = docs.sparkSession
-    texts = doc_texts(docs)
-    merged = materialize(merge_sketches(window_sketch(texts, window, shard_count(spark))), "sketch")
-    cells = CellFilter(merged)
-    discard(merged)
-    marks = removal_starts(repeated_windows(texts, cells, window))
+    texts = row_texts(docs)
+    marks = removal_starts(repeated_windows(texts, repeated_grams(texts, window), window))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text", pa.binary())])
-    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b"")).alias("raw"), *carry)
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b"")).alias("raw"), *carry).withColumn("t", F.xxhash64("raw"))
     whole = bool(carry)
 
     def apply(batches):
@@ -176,7 +202,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -
                 rest = [cols[c].slice(at, 500) for c in carry]
                 yield pa.RecordBatch.from_arrays([*record(schema, *out).columns, *rest], names=[*schema.names, *carry])
 
-    found = carried.filter("doc_id is not null").join(marks, "doc_id", "left").select("doc_id", "raw", "places", "own", *carry)
+    found = carried.filter("doc_id is not null").join(marks, ["doc_id", "t"], "left").select("doc_id", "raw", "places", "own", *carry)
     kinds = "".join(f", `{c}` {carried.schema[c].dataType.simpleString()}" for c in carry)
     result = found.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept binary, text binary" + kinds)
     return result.withColumn("kept", F.decode("kept", "UTF-8")).withColumn("text", F.decode("text", "UTF-8"))

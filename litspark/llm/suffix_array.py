@@ -164,27 +164,42 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return _sort(s, int(s.max()) + 1)[1:]
 
 
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes a and b, up to room, by 8-byte steps of those still equal."""
+    out = np.zeros(len(a), np.int64)
+    alive, done = np.flatnonzero(room > 0), 0
+    while len(alive):
+        x, y = words[a[alive] + done], words[b[alive] + done]
+        stop = x != y
+        diff = (x ^ y)[stop]
+        low = diff & (~diff + np.uint64(1))
+        out[alive[stop]] = done + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        alive = alive[~stop]
+        done += 8
+        over = room[alive] <= done
+        out[alive[over]] = done
+        alive = alive[~over]
+    return np.minimum(out, room)
+
+
 def capped_plcp(text: np.ndarray, sa: np.ndarray, cap: int):
-    """phi (each suffix's predecessor in the array, -1 for the first) and PLCP in text order, counted up to cap."""
+    """phi (each suffix's predecessor in the array, -1 for the first) and PLCP in text order, counted up to cap.
+
+    Only irreducible values are compared: where the symbols before a suffix and before its predecessor are equal, its
+    value is its left neighbour's less one.  A stretch of those is one comparison, of at most its length and cap."""
     n = len(text)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    plcp = np.zeros(n, np.int32)
-    buffer = np.zeros(n + cap + 16, np.uint8)
+    buffer = np.zeros(n + 16, np.uint8)
     buffer[:n] = text
-    words = np.ndarray((n + cap + 8,), np.dtype("<u8"), buffer=buffer, strides=(1,))
-    alive = np.flatnonzero(phi >= 0)
-    done = 0
-    while len(alive) and done < cap:
-        equal = words[alive + done] == words[phi[alive] + done]
-        stop = alive[~equal]
-        if len(stop):
-            diff = words[stop + done] ^ words[phi[stop] + done]
-            low = diff & (~diff + np.uint64(1))
-            plcp[stop] = done + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        alive = alive[equal]
-        done += 8
-    plcp[alive] = cap
-    np.minimum(plcp, cap, out=plcp)
-    np.minimum(plcp, n - np.maximum(np.arange(n), phi), out=plcp)
-    return phi, plcp
+    words = np.ndarray((n + 8,), np.dtype("<u8"), buffer=buffer, strides=(1,))
+    first = np.ones(n, bool)  # irreducible
+    if n > 1:
+        first[1:] = (phi[1:] < 1) | (phi[1:] != phi[:-1] + 1) | (text[:-1] != text[np.maximum(phi[1:], 1) - 1])
+    heads = np.flatnonzero(first)
+    sizes = np.diff(np.append(heads, n))
+    known = phi[heads] >= 0
+    room = np.where(known, np.minimum(n - np.maximum(heads, phi[heads]), sizes + cap - 1), 0)
+    value = _common(words, heads, np.maximum(phi[heads], 0), room)
+    plcp = np.repeat(value, sizes) - (np.arange(n) - np.repeat(heads, sizes))
+    return phi, np.clip(plcp, 0, cap).astype(np.int32)

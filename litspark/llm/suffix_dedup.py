@@ -7,9 +7,12 @@ none are dealt.  A shard holds its distinct segments with their numbers of occur
 concatenation by induced sorting and reads repeats off the permuted common prefixes; the marks go back to the documents
 by the segments' 128-bit digests.
 
+Equal segments are sorted once more, as a pair, so that the array finds them too.
+
 Results: strings are judged on the input, overlaps count, matches never cross documents.  A null text is empty; a text
-under 200 bytes keeps all; a repeated row is a copy like any other, so both lose their bytes; an empty table gives an
-empty result.
+under 200 bytes keeps all; a repeated row is a copy like any other, so both lose their bytes; rows
+of one doc_id with different texts each lose bytes of their own; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BASE, SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, merge_sketches, mix64, n_parts, record, rolling,
-    run_starts, shard_count, sketch_rows, sliding, text_blocks,
+    BASE, SKETCH_DDL, U64, CellFilter, discard, materialize, merge_sketches, mix64, n_parts, record, rolling, row_blocks,
+    row_texts, shard_count, sketch_rows, sliding, text_blocks,
 )
 from .suffix_array import capped_plcp, suffix_array
 
@@ -34,9 +37,9 @@ SAMPLE = 32  # bytes of the sampled grams, of which one in so many is counted
 SHARD_BYTES = 2_000_000  # text sorted at once
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 SEGMENTS = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
+    [("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
 )
-SEGMENTS_DDL = "doc_id long, start long, d1 long, d2 long, key long, n long, bytes binary"
+SEGMENTS_DDL = "doc_id long, t long, start long, d1 long, d2 long, key long, n long, bytes binary"
 
 
 def _strings(texts, length, level=0):
@@ -82,7 +85,7 @@ def gram_sketch(texts: DataFrame, length: int, shards: int) -> DataFrame:
                 cells.append(_cell(grams[sliding(padded, span, np.maximum) == grams]))
         yield from sketch_rows(cells, shards)
 
-    return texts.mapInArrow(build, SKETCH_DDL)
+    return texts.select("doc_id", "raw").mapInArrow(build, SKETCH_DDL)
 
 
 def segments(texts: DataFrame, cells: CellFilter, length: int) -> DataFrame:
@@ -92,7 +95,7 @@ def segments(texts: DataFrame, cells: CellFilter, length: int) -> DataFrame:
 
     def emit(batches):
         distinct: dict[bytes, list] = {}
-        for doc_ids, raws in text_blocks(batches, 1_000_000):
+        for row_keys, raws in row_blocks(batches, 1_000_000):
             lengths, valid, least, _, _, places, sampled = _strings(raws, length)
             once = np.zeros(int(lengths.sum()) + 1, np.int32)
             once[places[~mask(_cell(sampled, 2))] + 1] = 1
@@ -124,13 +127,13 @@ def segments(texts: DataFrame, cells: CellFilter, length: int) -> DataFrame:
             if digests:
                 pair = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 none = pa.nulls(len(pair), pa.int64())
-                yield record(SEGMENTS, pa.array(np.array(doc_ids, np.int64)[docs]), pa.array(starts), pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, pa.nulls(len(pair), pa.binary()))
+                yield record(SEGMENTS, pa.array(row_keys[docs, 0]), pa.array(row_keys[docs, 1]), pa.array(starts), pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, pa.nulls(len(pair), pa.binary()))
         items = list(distinct.items())
         for i in range(0, len(items), 5_000):
             part = items[i : i + 5_000]
             pair = np.frombuffer(b"".join(x[0] for x in part), ">i8").astype(np.int64).reshape(-1, 2)
             none = pa.nulls(len(part), pa.int64())
-            yield record(SEGMENTS, none, none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), [x[1][0] for x in part], [x[1][1] for x in part], [x[1][2] for x in part])
+            yield record(SEGMENTS, none, none, none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), [x[1][0] for x in part], [x[1][1] for x in part], [x[1][2] for x in part])
 
     return texts.mapInArrow(emit, SEGMENTS_DDL)
 
@@ -212,12 +215,10 @@ def shard_marks(found: DataFrame, length: int) -> DataFrame:
         for segs in keys.values():
             group = []
             for digest, (raw, n) in segs.items():
-                if n > 1:  # it occurs twice as it is: all its strings repeat; it stays for the others to find
-                    out[len(digests)] = [np.array([[0, len(raw) - length]])]
-                group.append((raw, len(digests), 0))
+                # equal segments are sorted as two: the array finds their strings twice, however many there are
+                group += [(raw, len(digests), 0)] * min(n, 2)
                 digests.append(digest)
-            if any(n == 1 for _, n in segs.values()):  # else every string of the key is known to repeat
-                groups.append(group)
+            groups.append(group)
         del keys
         for batch in _batches(groups, length, limit):
             for (_, owner, offset), at in zip(batch, shard_repeats([x[0] for x in batch], length)):
@@ -235,15 +236,15 @@ def shard_marks(found: DataFrame, length: int) -> DataFrame:
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (bytes left)."""
-    texts, spark = doc_texts(docs), docs.sparkSession
+    texts, spark = row_texts(docs), docs.sparkSession
     merged = materialize(merge_sketches(gram_sketch(texts, length, shard_count(spark))), "sketch")
     cells = CellFilter(merged)
     discard(merged)
     found = materialize(segments(texts, cells, length), "segments")
-    places = found.filter("key is null").select("doc_id", "start", "d1", "d2")
+    places = found.filter("key is null").select("doc_id", "t", "start", "d1", "d2")
     marks = (
         places.join(shard_marks(found, length), ["d1", "d2"])
-        .groupBy("doc_id")
+        .groupBy("doc_id", "t")
         .agg(F.collect_list("start").alias("starts"), F.collect_list("runs").alias("runs"))
     )
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -270,7 +271,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         o.append(v)
                 yield record(schema, *out)
 
-    joined = texts.join(marks, "doc_id", "left").select("doc_id", "raw", "starts", "runs")
+    joined = texts.join(marks, ["doc_id", "t"], "left").select("doc_id", "raw", "starts", "runs")
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -29,3 +29,34 @@ def test_empty_nulls_repeats_and_extra_columns(spark):
     text = " ".join(f"t{i}" for i in range(30))
     df = spark.createDataFrame([(1, text, "x", 3), (1, text, "y", 4), (None, text, "z", 5)], "doc_id long, text string, raw string, pos int")
     assert [r.n_removed for r in digest(dedup_substrings(df)).collect()] == [0, 0]
+
+
+def test_repeated_ids_with_other_texts_and_a_very_long_text(spark):
+    """Each row loses only words of its own text."""
+    words = [f"t{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:25])), (2, "x y z"), (2, "a " + " ".join(words[:25])), (3, " ".join(f"v{i}" for i in range(40_000)) + " " + " ".join(words[:20]))]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, t int, places int").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in digest(dedup_substrings(df)).collect())
+    assert got == [(1, 25, 0), (2, 3, 0), (2, 26, 25), (3, 40_020, 20)]
+
+
+def test_prefilter_takes_the_least_row(spark, monkeypatch):
+    """Every hash row may err upwards alone; both never err downwards, and few windows once seen pass both."""
+    from litspark.llm import substring_dedup as sd
+    from litspark.llm.common import row_texts
+
+    rng = random.Random(9)
+    once = [(i, " ".join(rng.choices([f"w{j}" for j in range(5_000)], k=200))) for i in range(100)]
+    shared = " ".join(f"s{i}" for i in range(40))
+    docs = row_texts(spark.createDataFrame([*once, (1000, shared), (1001, "b " + shared)], "doc_id long, text string"))
+    cells = sd.repeated_grams(docs, sd.WINDOW)
+    assert len(cells) == sd.ROWS == 2
+    found = sd.repeated_windows(docs, cells, sd.WINDOW).collect()
+    assert {r.doc_id for r in found} <= {1000, 1001} | {r.doc_id for r in found if r.doc_id < 1000} and sum(r.doc_id >= 1000 for r in found) >= 21
+    # the first row let through everything: the second still decides
+    cells[0].bitmap = spark.sparkContext.broadcast(cells[0].bitmap.value * 0 + 255)
+    assert len({r.doc_id for r in sd.repeated_windows(docs, cells, sd.WINDOW).collect() if r.doc_id < 1000}) < 50
+    monkeypatch.setattr(sd, "FLUSH", 30)
+    rows = [(r.doc_id, r.raw.decode()) for r in docs.select("doc_id", "raw").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert rows_of(digest(dedup_substrings(df))) == sorted(brute_force(rows))

@@ -53,3 +53,26 @@ def test_empty_nulls_repeats_and_extra_columns(spark):
     df = spark.createDataFrame([(1, text, 3), (1, text, 4), (None, text, 5)], "doc_id long, text string, start int")
     got = digest(dedup_suffixes(df)).collect()
     assert [r.n_removed for r in got] == [len(text)] * 2
+
+
+def test_repeated_ids_with_other_texts_and_a_very_long_text(spark):
+    """Each row loses only bytes of its own text."""
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = make(300)
+    rows = [(1, shared + make(50)), (2, make(500)), (2, make(20) + shared), (3, make(150_000) + shared[:250])]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, t int, key int").repartition(3)
+    got = sorted(map(tuple, digest(dedup_suffixes(df)).collect()))
+    assert got == sorted(brute_force(rows))
+    assert [r[2] for r in got] == [300, 300, 0, 250]
+
+
+def test_copies_reach_the_suffix_array(spark, monkeypatch):
+    """Texts that are all exact copies are found by sorting: without it nothing is removed."""
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefgh ", k=900))
+    rows = [(i, text) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, digest(dedup_suffixes(df)).collect())) == brute_force(rows)
+    monkeypatch.setattr(suffix_dedup, "shard_repeats", lambda parts, length: [np.empty(0, np.int64) for _ in parts])
+    assert all(r.n_removed == 0 for r in digest(dedup_suffixes(df)).collect())
