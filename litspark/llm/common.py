@@ -84,7 +84,7 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 def row_texts(docs: DataFrame) -> DataFrame:
     """doc_texts with t, a hash of the text that tells rows of one doc_id apart."""
-    return doc_texts(docs).withColumn("t", F.xxhash64("raw"))
+    return doc_texts(docs).withColumn("t", F.hash("raw"))
 
 
 def n_parts(spark: SparkSession) -> int:

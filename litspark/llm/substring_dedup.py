@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -34,8 +34,9 @@ WINDOW = 20
 GRAM = 6
 ROWS = 2  # hash rows of the sketch
 FLUSH = 1_000_000  # candidate windows that a task holds at once
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("pos", pa.int32()), ("own", pa.binary())])
-WINDOWS_DDL = "doc_id long, t long, h1 long, h2 long, pos int, own binary"
+# place: the start in the upper 32 bits, the text's hash t in the lower ones
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.binary())])
+WINDOWS_DDL = "doc_id long, place long, h1 long, h2 long, own binary"
 
 
 def _words(texts):
@@ -103,6 +104,9 @@ def repeated_windows(texts: DataFrame, cells: list[CellFilter], window: int) ->
     """Candidate windows: a task's first of each digest to be grouped, and what it can already remove (own)."""
     masks = [c.probe() for c in cells]
 
+    def place(t, pos):
+        return (np.asarray(pos, np.int64) << 32) | (t.astype(np.int64) & 0xFFFFFFFF)
+
     def settle(parts):
         ids, ts, h1, h2, pos = map(np.concatenate, zip(*parts))
         order = np.lexsort((ts, pos, ids, h2, h1))
@@ -113,7 +117,7 @@ def repeated_windows(texts: DataFrame, cells: list[CellFilter], window: int) ->
         keep = np.flatnonzero(first | (~later & (ts != np.roll(ts, 1))))
         for i in range(0, len(keep), 50_000):
             k = keep[i : i + 50_000]
-            yield record(WINDOWS, pa.array(ids[k]), pa.array(ts[k]), pa.array(h1[k]), pa.array(h2[k]), pa.array(pos[k]), pa.nulls(len(k), pa.binary()))
+            yield record(WINDOWS, pa.array(ids[k]), pa.array(place(ts[k], pos[k])), pa.array(h1[k]), pa.array(h2[k]), pa.nulls(len(k), pa.binary()))
         ids, ts, pos = ids[later], ts[later], pos[later]
         order = np.lexsort((pos, ts, ids))
         ids, ts, pos = ids[order], ts[order], pos[order]
@@ -122,7 +126,7 @@ def repeated_windows(texts: DataFrame, cells: list[CellFilter], window: int) ->
         for i in range(0, len(starts), 5_000):
             s, e = starts[i : i + 5_000], ends[i : i + 5_000]
             none = pa.nulls(len(s), pa.int64())
-            yield record(WINDOWS, pa.array(ids[s]), pa.array(ts[s]), none, none, pa.nulls(len(s), pa.int32()), [pos[a:b].tobytes() for a, b in zip(s, e)])
+            yield record(WINDOWS, pa.array(ids[s]), pa.array(place(ts[s], 0)), none, none, [pos[a:b].tobytes() for a, b in zip(s, e)])
 
     def emit(batches):
         parts, held = [], 0
@@ -137,7 +141,7 @@ def repeated_windows(texts: DataFrame, cells: list[CellFilter], window: int) ->
             doc = np.searchsorted(np.cumsum(lengths), at, side="right")
             pos = (at - (np.cumsum(lengths) - lengths)[doc]).astype(np.int32)
             h1, h2 = (mix64(rolling(h, window)[at]).view(np.int64) for h in (hashes, others))
-            parts.append((keys[doc, 0], keys[doc, 1], h1, h2, pos))
+            parts.append((keys[doc, 0], keys[doc, 1].astype(np.int32), h1, h2, pos))
             held += len(at)
             if held >= FLUSH:
                 yield from settle(parts)
@@ -150,18 +154,15 @@ def repeated_windows(texts: DataFrame, cells: list[CellFilter], window: int) ->
 
 def removal_starts(windows: DataFrame) -> DataFrame:
     """doc_id, t, starts: the starts of windows that also start earlier, of each document that has any."""
-    whole = windows.filter("own is null").select("h1", "h2", "doc_id", "t", "pos")
-    place = F.struct("doc_id", "pos")
-    # at most one row per digest and partition of the input, so no digest gathers many rows
-    from pyspark.sql import Window
-
-    first = F.min(place).over(Window.partitionBy("h1", "h2"))
-    later = whole.withColumn("first", first).filter(place > F.col("first")).select("doc_id", "t", "pos", F.lit(None).cast("binary").alias("own"))
-    return (
-        later.unionByName(windows.filter("own is not null").select("doc_id", "t", "pos", "own"))
-        .groupBy("doc_id", "t")
-        .agg(F.collect_list("pos").alias("places"), F.collect_list("own").alias("own"))
-    )
+    windows = windows.withColumn("t", F.expr("cast(shiftright(shiftleft(place, 32), 32) as int)"))
+    whole = windows.filter("own is null").select("h1", "h2", "doc_id", "place")
+    # at most a row per digest, task and flush, so no digest gathers many rows
+    first = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("h1", "h2"))
+    later = whole.withColumn("first", first).filter("doc_id > first.doc_id or shiftright(place, 32) > shiftright(first.place, 32)")
+    later = later.select("doc_id", F.expr("cast(shiftright(shiftleft(place, 32), 32) as int)").alias("t"), F.expr("cast(shiftright(place, 32) as int)").alias("pos"))
+    own = windows.filter("own is not null").select("doc_id", "t", F.lit(None).cast("int").alias("pos"), "own")
+    marks = later.withColumn("own", F.lit(None).cast("binary")).unionByName(own)
+    return marks.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("places"), F.collect_list("own").alias("own"))
 
 
 def keep_mask(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -177,7 +178,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -
     texts = row_texts(docs)
     marks = removal_starts(repeated_windows(texts, repeated_grams(texts, window), window))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text", pa.binary())])
-    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b"")).alias("raw"), *carry).withColumn("t", F.xxhash64("raw"))
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b"")).alias("raw"), *carry).withColumn("t", F.hash("raw"))
     whole = bool(carry)
 
     def apply(batches):

@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and capped permuted longest common prefixes.
 
 ``suffix_array`` sorts a byte-like alphabet: suffixes are classified (S or L), the leftmost-smaller (LMS) substrings are
-sorted by induction and named, the string of names is sorted recursively, and the whole array is induced from it.  On
-the small alphabet each induction step handles a whole bucket at once with numpy; the recursion, whose alphabet is as
-large as its string, runs the plain linear scans.
+sorted by induction and named, the string of names is sorted, and the whole array is induced from it.  On a small
+alphabet each induction step handles a whole bucket at once with numpy, and a string of few names is sorted by recursion;
+one of many names by doubling their ranks, which numpy does faster than Python scans an induction.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ def classify(s: np.ndarray) -> np.ndarray:
 
 
 def _lms(kind: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
+    return (np.flatnonzero(kind[1:] & ~kind[:-1]) + 1).astype(np.int32)
 
 
 def _groups(chars: np.ndarray, k: int):
     """Stable order by symbol, the rank inside each symbol's group, and the group sizes."""
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars.astype(np.uint16) if k <= 1 << 16 else chars, kind="stable")  # 16 bits: a radix sort
     sizes = np.bincount(chars, minlength=k)
     rank = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return order, rank, sizes
@@ -38,7 +38,7 @@ def _induce_buckets(s, kind, lms, k):
     sizes = np.bincount(s, minlength=k)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     order, rank, counts = _groups(s[lms], k)
     ranked = s[lms][order]
     sa[(ends - counts)[ranked] + rank] = lms[order]
@@ -88,32 +88,28 @@ def _induce_buckets(s, kind, lms, k):
     return sa
 
 
-def _induce_scans(s, kind, lms, k):
-    n = len(s)
-    counts = np.bincount(s, minlength=k)
-    ends = np.cumsum(counts)
-    heads, tails = (ends - counts).tolist(), ends.tolist()
-    text, small = s.tolist(), kind.tobytes()
-    sa = [-1] * n
-    for p in reversed(lms.tolist()):
-        c = text[p]
-        tails[c] -= 1
-        sa[tails[c]] = p
-    for p in sa:
-        if p > 0 and not small[p - 1]:
-            c = text[p - 1]
-            sa[heads[c]] = p - 1
-            heads[c] += 1
-    tails = ends.tolist()
-    last = sa[0]
-    for i in range(n - 1, -1, -1):
-        p = sa[i]
-        if p > 0 and small[p - 1]:
-            c = text[p - 1]
-            tails[c] -= 1
-            sa[tails[c]] = p - 1
-    sa[0] = last
-    return np.array(sa, np.int64)
+def _order_names(s: np.ndarray) -> np.ndarray:
+    """Sorted suffix starts of a string of names, of an alphabet as large as itself: names are ranked by doubling, and in
+    each round only those still equal."""
+    m = len(s)
+    sizes = np.bincount(s)
+    rank = (np.cumsum(sizes) - sizes)[s]  # where the group of equals begins in the sorted order
+    equal, step = np.flatnonzero(sizes[s] > 1), 1
+    while len(equal):
+        after = equal + step
+        key = rank[equal] * (m + 1) + np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+        order = np.argsort(key)
+        key, at = key[order], equal[order]
+        group = np.flatnonzero(np.concatenate(([True], rank[at][1:] != rank[at][:-1])))
+        part = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(part, len(key)))
+        shift = np.repeat(part, length) - np.repeat(group, np.diff(np.append(group, len(key))))
+        rank[at] = rank[at] + shift
+        equal = np.sort(at[np.repeat(length > 1, length)])
+        step *= 2
+    out = np.empty(m, np.int64)
+    out[rank] = np.arange(m)
+    return out
 
 
 def _names(s, lms, ordered):
@@ -139,10 +135,11 @@ def _names(s, lms, ordered):
 def _sort(s: np.ndarray, k: int) -> np.ndarray:
     if len(s) < 3:
         return np.argsort(s, kind="stable")
-    induce = _induce_buckets if k <= SMALL else _induce_scans
+    if k > SMALL:
+        return _order_names(s)
     kind = classify(s)
     lms = _lms(kind)
-    rough = induce(s, kind, lms, k)
+    rough = _induce_buckets(s, kind, lms, k)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
@@ -153,12 +150,12 @@ def _sort(s: np.ndarray, k: int) -> np.ndarray:
         order[names] = np.arange(top)
     else:
         order = _sort(names, top)
-    return induce(s, kind, lms[order], k)
+    return _induce_buckets(s, kind, lms[order], k)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Sorted suffix starts of a string of small non-negative integers (a sentinel is added and dropped)."""
-    s = np.append(symbols.astype(np.int64) + 1, 0)
+    s = np.append(symbols.astype(np.int32) + 1, np.int32(0))  # a shard is far shorter than 2**31
     if len(s) == 1:
         return np.empty(0, np.int64)
     return _sort(s, int(s.max()) + 1)[1:]

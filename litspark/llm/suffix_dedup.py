@@ -27,19 +27,19 @@ from pyspark.sql import functions as F
 
 from .common import (
     BASE, SKETCH_DDL, U64, CellFilter, discard, materialize, merge_sketches, mix64, n_parts, record, rolling, row_blocks,
-    row_texts, shard_count, sketch_rows, sliding, text_blocks,
+    row_texts, run_starts, shard_count, sketch_rows, sliding, text_blocks,
 )
 from .suffix_array import capped_plcp, suffix_array
 
 LENGTH = 200
 GRAM = 64
 SAMPLE = 32  # bytes of the sampled grams, of which one in so many is counted
-SHARD_BYTES = 2_000_000  # text sorted at once
+SHARD_BYTES = 1_000_000  # text sorted at once
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 SEGMENTS = pa.schema(
-    [("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
+    [("doc_id", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
 )
-SEGMENTS_DDL = "doc_id long, t long, start long, d1 long, d2 long, key long, n long, bytes binary"
+SEGMENTS_DDL = "doc_id long, t int, start long, d1 long, d2 long, key long, n long, bytes binary"
 
 
 def _strings(texts, length, level=0):
@@ -127,19 +127,20 @@ def segments(texts: DataFrame, cells: CellFilter, length: int) -> DataFrame:
             if digests:
                 pair = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 none = pa.nulls(len(pair), pa.int64())
-                yield record(SEGMENTS, pa.array(row_keys[docs, 0]), pa.array(row_keys[docs, 1]), pa.array(starts), pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, pa.nulls(len(pair), pa.binary()))
+                yield record(SEGMENTS, pa.array(row_keys[docs, 0]), pa.array(row_keys[docs, 1].astype(np.int32)), pa.array(starts), pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, pa.nulls(len(pair), pa.binary()))
         items = list(distinct.items())
         for i in range(0, len(items), 5_000):
             part = items[i : i + 5_000]
             pair = np.frombuffer(b"".join(x[0] for x in part), ">i8").astype(np.int64).reshape(-1, 2)
             none = pa.nulls(len(part), pa.int64())
-            yield record(SEGMENTS, none, none, none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), [x[1][0] for x in part], [x[1][1] for x in part], [x[1][2] for x in part])
+            yield record(SEGMENTS, none, pa.nulls(len(part), pa.int32()), none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), [x[1][0] for x in part], [x[1][1] for x in part], [x[1][2] for x in part])
 
     return texts.mapInArrow(emit, SEGMENTS_DDL)
 
 
-def shard_repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment of one shard the relative string starts that also start elsewhere in the shard."""
+def shard_repeats(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts that also start elsewhere in the shard: the segment, and the run's first and last start in
+    it."""
     lengths = np.array([len(p) + 1 for p in parts], np.int64)
     starts = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
@@ -149,13 +150,13 @@ def shard_repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
     room = np.repeat(starts + lengths - 1, lengths) - np.arange(len(data)) >= length
     twin = np.flatnonzero((plcp >= length) & room)
     twin = twin[room[phi[twin]]]
-    found = np.zeros(len(data), bool)
-    found[twin] = True
-    found[phi[twin]] = True
-    out = []
-    for s, n in zip(starts.tolist(), lengths.tolist()):
-        out.append(np.flatnonzero(found[s : s + n - length]))
-    return out
+    found = np.zeros(len(data) + 2, np.int8)  # a separator's place is never found, so runs end with their segment
+    found[twin + 1] = 1
+    found[phi[twin] + 1] = 1
+    edge = np.diff(found)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    part = np.searchsorted(starts, first, side="right") - 1
+    return part, first - starts[part], last - starts[part]
 
 
 MARKS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("runs", pa.binary())])
@@ -211,7 +212,7 @@ def shard_marks(found: DataFrame, length: int) -> DataFrame:
             for d1, d2, key, n, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
                 known = keys.setdefault(key, {}).setdefault((d1, d2), [raw, 0])
                 known[1] += n
-        digests, groups, out = [], [], {}
+        digests, groups, out = [], [], []
         for segs in keys.values():
             group = []
             for digest, (raw, n) in segs.items():
@@ -221,12 +222,13 @@ def shard_marks(found: DataFrame, length: int) -> DataFrame:
             groups.append(group)
         del keys
         for batch in _batches(groups, length, limit):
-            for (_, owner, offset), at in zip(batch, shard_repeats([x[0] for x in batch], length)):
-                if len(at):
-                    cut = np.flatnonzero(np.diff(at) > 1)
-                    runs = np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]], 1)
-                    out.setdefault(owner, []).append(runs + offset)
-        rows = [(*digests[o], np.concatenate(r).astype(np.int32).tobytes()) for o, r in out.items()]
+            part, first, last = shard_repeats([x[0] for x in batch], length)
+            owner, offset = (np.array([x[i] for x in batch], np.int64)[part] for i in (1, 2))
+            out.append(np.stack([owner, first + offset, last + offset], 1))
+        runs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
+        begin = run_starts(runs[:, 0])
+        pairs = np.ascontiguousarray(runs[:, 1:].astype(np.int32))
+        rows = [(*digests[runs[x, 0]], pairs[x:y].tobytes()) for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(runs)])]
         for i in range(0, len(rows), 5_000):
             yield record(MARKS, *zip(*rows[i : i + 5_000]))
 
