@@ -84,7 +84,7 @@ def _blocks(rows: DataFrame, breaks: Column, state: list[str]) -> DataFrame:
 
 def plain_segments(docs: DataFrame, max_chars: int = 500, min_words: int = 5) -> DataFrame:
     """docs (article_id, text) -> paragraphs of blocks between blank lines, rules, comments and headings; short blocks
-    are left out and long ones cut into chunks.  Ids are <article>_P000001 and, for chunks, _S01."""
+    are left out and long ones cut into chunks.  Ids are <article>_P000001 and, for chunks, _S01; larger numbers have more digits."""
     rows = _lines(docs, "text")
     breaks = (F.col("line") == "") | F.col("line").rlike("^(---|<!--|#)")
     blocks = _blocks(rows, breaks, []).filter(word_count("text") >= min_words)
@@ -92,8 +92,8 @@ def plain_segments(docs: DataFrame, max_chars: int = 500, min_words: int = 5) ->
     blocks = blocks.withColumn("long", F.length("text") > max_chars)
     parts = F.when(F.col("long"), chunks(F.col("text"), max_chars)).otherwise(F.array("text"))
     out = blocks.select("article_id", "p", "long", F.posexplode(parts).alias("c", "text"))
-    base = F.concat(F.col("article_id").cast("string"), F.lit("_P"), F.lpad(F.col("p").cast("string"), 6, "0"))
-    pid = F.when(F.col("long"), F.concat(base, F.lit("_S"), F.lpad((F.col("c") + 1).cast("string"), 2, "0"))).otherwise(base)
+    base = F.concat(F.col("article_id").cast("string"), F.lit("_P"), F.format_string("%06d", "p"))
+    pid = F.when(F.col("long"), F.concat(base, F.lit("_S"), F.format_string("%02d", F.col("c") + 1))).otherwise(base)
     index = F.row_number().over(Window.partitionBy("article_id").orderBy("p", "c"))
     return out.select(pid.alias("paragraph_id"), "article_id", index.alias("paragraph_index"), "text", text_hash("text").alias("text_sha256"), F.lit("RAW").alias("status"))
 
@@ -124,8 +124,8 @@ def markdown_segments(docs: DataFrame, min_words: int = 8, min_chars: int = 40,
     status = F.when(short, "excluded_short_fragment").when(long & F.lit(long_text not in ("chunk", "truncate")), "excluded_too_long").otherwise("valid_paragraph")
     b = b.withColumn("status", status).withColumn("is_chunk", long & F.lit(long_text == "chunk")).withColumn("parts", F.when(long, cut).otherwise(whole))
     out = b.select("*", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("c", "piece"))
-    pid = F.concat(F.lit("P"), F.lpad(F.col("p").cast("string"), 4, "0"))
-    cid = F.when(F.col("is_chunk"), F.concat(pid, F.lit("_C"), F.lpad((F.col("c") + 1).cast("string"), 2, "0")))
+    pid = F.concat(F.lit("P"), F.format_string("%04d", "p"))
+    cid = F.when(F.col("is_chunk"), F.concat(pid, F.lit("_C"), F.format_string("%02d", F.col("c") + 1)))
     return out.select(
         F.concat_ws("_", F.col("article_id").cast("string"), F.coalesce(cid, pid)).alias("segment_id"), "article_id", pid.alias("paragraph_id"),
         "section", "subsection", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.col("piece").alias("text"),

@@ -65,8 +65,7 @@ def recompose_hyphens(text) -> Column:
 
 def tokens(text, min_length: int = 3, stop_words=STOP_WORDS) -> Column:
     found = F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, stop_words))
-    return F.filter(found, lambda w: ~F.array_contains(stop, w) & (F.length(w) >= min_length))
+    return F.filter(found, lambda w: ~w.isin(*stop_words) & (F.length(w) >= min_length))  # a hash set
 
 
 def word_count(text) -> Column:

@@ -138,7 +138,9 @@ def agreement(annotations: DataFrame) -> DataFrame:
 
 
 def macro_kappa(annotations: DataFrame) -> DataFrame:
-    return agreement(annotations).agg(F.round(F.avg("kappa"), 4).alias("macro_kappa"), F.max("n").alias("n_pairs"))
+    """The mean of the rounded kappas, summed as integers so that it doesn't depend on their order."""
+    k = F.sum(F.round(F.col("kappa") * 10_000).cast("long")) / F.count("kappa")
+    return agreement(annotations).agg((F.round(k) / 10_000).alias("macro_kappa"), F.max("n").alias("n_pairs"))
 
 
 def adjudicate(annotations: DataFrame, decisions: DataFrame) -> DataFrame:

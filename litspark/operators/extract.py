@@ -115,28 +115,67 @@ def mock_answers(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", F.to_json(F.struct(F.array(F.lit("concept")).alias("concepts"), F.array(F.lit("definition")).alias("definitions"), F.array(F.array_join(words, " ")).alias("evidence"), F.lit(0.95).alias("confidence"))))
 
 
-def extract(df: DataFrame, provider: Callable[[str], str] = mock_provider, rpm: float | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """Ask the provider for each text that the cache lacks; with a rate limit one partition asks at the given pace.  A
-    failed request leaves a null answer, which is not cached."""
-    todo = misses(df, cache) if cache is not None else df
-    todo = todo.coalesce(1) if rpm else todo
+def _ask(todo: DataFrame, provider: Callable[[str], str], rpm: float | None, workers: int) -> DataFrame:
+    """todo with the provider's answer in raw.  A rate limit is dealt over the workers, each asking at its share of the
+    pace."""
+    todo = todo.repartition(workers) if rpm else todo
     pause = min_interval(rpm)
 
     def run(batches):
-        last = 0.0
+        from pyspark import TaskContext
+
+        following = time.monotonic() + pause * (TaskContext.get().partitionId() % workers)
         for b in batches:
             raws = []
             for text in b.text:
-                wait = last + pause - time.monotonic()
-                if pause and last and wait > 0:
-                    time.sleep(wait)
-                last = time.monotonic()
+                if pause:
+                    time.sleep(max(0.0, following - time.monotonic()))
+                    following = max(following, time.monotonic()) + pause * workers
                 try:
                     raws.append(provider(text or ""))
                 except Exception:  # a provider's failure is this row's result
                     raws.append(None)
             yield b.assign(raw=pd.Series(raws, index=b.index, dtype=object))
 
-    answered = todo.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema) + ", raw string")
-    out = parse(answered)
-    return out.withColumn("evidence_valid", evidence_valid(F.col("text"), F.col("evidence")))
+    return todo.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema) + ", raw string")
+
+
+def _checked(answered: DataFrame) -> DataFrame:
+    return parse(answered).withColumn("evidence_valid", evidence_valid(F.col("text"), F.col("evidence")))
+
+
+def cached_answers(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """Rows with a successful cached result, with its raw answer."""
+    known = cache.filter("schema_valid").groupBy("cache_key").agg(F.min("raw").alias("raw"))
+    return df.join(known, "cache_key").select(*df.columns, "raw")
+
+
+def extract(df: DataFrame, provider: Callable[[str], str] = mock_provider, rpm: float | None = None, cache: DataFrame | None = None, workers: int = 4) -> DataFrame:
+    """One row for each of df: a cached answer where there is a successful one, else the provider's.  With a rate limit
+    so many workers share its pace.  A failed request leaves a null answer, which does not count as cached."""
+    if cache is None:
+        return _checked(_ask(df, provider, rpm, workers))
+    asked = _ask(misses(df, cache).select(*df.columns), provider, rpm, workers)
+    return _checked(asked.unionByName(cached_answers(df, cache)))
+
+
+def extract_to(df: DataFrame, path: str, provider: Callable[[str], str] = mock_provider, rpm: float | None = None, steps: int = 10, workers: int = 4) -> DataFrame:
+    """extract() of df (with cache_key) by steps, each added to the table at path when it is done: a call that was cut
+    short goes on after its last whole step.  Equal keys are asked once.  Returns df's rows with their answers."""
+    from ..sources.readers import path_exists
+
+    spark = df.sparkSession
+    answers = f"{path}/answers"
+    for step in range(steps):
+        part = df.filter(F.pmod(F.xxhash64("cache_key"), F.lit(steps)) == step)
+        keys = part.groupBy("cache_key").agg(F.min("text").alias("text"))
+        if path_exists(spark, answers):
+            keys = misses(keys, spark.read.parquet(answers)).select("cache_key", "text")
+        _checked(_ask(keys, provider, rpm, workers)).write.mode("append").parquet(answers)
+    return extract_cached(df, spark.read.parquet(answers))
+
+
+def extract_cached(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """df with cached answers only; null where the last attempt failed."""
+    known = cache.filter("schema_valid").groupBy("cache_key").agg(F.min("raw").alias("raw"))
+    return _checked(df.join(known, "cache_key", "left").select(*df.columns, "raw"))

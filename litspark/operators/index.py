@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..functions.labels import CLASSES
 from .corpus import number_rows
 from .search import PLACES
 from ..functions.vectors import similarities
+from ..sources.readers import path_exists
+from ..sources.writers import save_manifest
 
 
 def filter_and_deduplicate(corpus: DataFrame, order: str = "paragraph_id") -> DataFrame:
@@ -36,34 +39,67 @@ def build(corpus: DataFrame, vectors: DataFrame, order: str = "seq") -> DataFram
     return number_rows(class_flags(rows), "faiss_id", order, "paragraph_id")
 
 
-def save(index: DataFrame, path: str, config: dict) -> dict:
-    """Write the index and its manifest; the manifest is checked against the table on reading."""
-    spark = index.sparkSession
-    index.write.mode("overwrite").parquet(f"{path}/index")
-    n = spark.read.parquet(f"{path}/index").count()
-    manifest = {"config": config, "n_vectors": n, "checksum": hashlib.sha256(json.dumps([config, n], sort_keys=True).encode()).hexdigest()}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+def checksum(rows: DataFrame) -> dict:
+    """Number of vectors and a hash of all rows that doesn't depend on their order."""
+    h = F.xxhash64(*sorted(rows.columns))
+    r = rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.expr("bit_xor(h)").alias("x"), F.sum(F.pmod("h", F.lit(1 << 32))).alias("s")).first()
+    return {"n_vectors": r.n, "checksum": hashlib.sha256(f"{r.n}|{r.x}|{r.s}".encode()).hexdigest()}
+
+
+def _write_version(spark: SparkSession, path: str, version: int, parts: list[str], config: dict) -> dict:
+    """The manifest is written last and under a name of its own: a version without one doesn't exist."""
+    rows = spark.read.parquet(*(f"{path}/{p}" for p in parts))
+    manifest = {"version": version, "parts": parts, "config": config, **checksum(rows)}
+    save_manifest(spark, f"{path}/manifest-{version:06d}", manifest)
     return manifest
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
-    return spark.read.parquet(f"{path}/index"), manifest
+def versions(spark: SparkSession, path: str) -> list[dict]:
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    try:
+        rows = spark.read.text(f"{path}/manifest-*").collect()  # one row a version
+    except AnalysisException:
+        rows = []
+    return sorted((json.loads(r.value) for r in rows), key=lambda m: m["version"])
+
+
+def save(index: DataFrame, path: str, config: dict) -> dict:
+    """Write the index as the next version; earlier versions stay readable until the new one is whole."""
+    spark = index.sparkSession
+    have = versions(spark, path) if path_exists(spark, path) else []
+    version = have[-1]["version"] + 1 if have else 1
+    part = f"data-{version:06d}"
+    index.write.mode("overwrite").parquet(f"{path}/{part}")  # of an attempt that left no manifest
+    return _write_version(spark, path, version, [part], config)
+
+
+def load(spark: SparkSession, path: str, check: bool = True) -> tuple[DataFrame, dict]:
+    """The newest whole version and its manifest; FileNotFoundError where there is none or a part is missing, ValueError
+    where the rows are not those that were written."""
+    have = versions(spark, path)
+    if not have:
+        raise FileNotFoundError(f"{path}: no manifest")
+    manifest = have[-1]
+    for p in manifest["parts"]:
+        if not path_exists(spark, f"{path}/{p}"):
+            raise FileNotFoundError(f"{path}/{p}")
+    rows = spark.read.parquet(*(f"{path}/{p}" for p in manifest["parts"]))
+    if check and checksum(rows) != {k: manifest[k] for k in ("n_vectors", "checksum")}:
+        raise ValueError("the index's rows don't agree with its checksum")
+    return rows, manifest
 
 
 def append(spark: SparkSession, path: str, rows: DataFrame, config: dict) -> dict:
-    """Add vectors of the same model; another model is an error.  The version goes up by one."""
+    """Add vectors of the same model as a further part and version; another model is an error."""
     have, manifest = load(spark, path)
     if manifest["config"].get("model") != config.get("model"):
         raise ValueError("the index holds vectors of another model")
     top = have.agg(F.coalesce(F.max("faiss_id"), F.lit(-1)).alias("m")).first().m
-    more = number_rows(rows, "faiss_id", "paragraph_id", start=top + 1)
-    more.select(*have.columns).write.mode("append").parquet(f"{path}/index")
-    n = have.sparkSession.read.parquet(f"{path}/index").count()
-    config = {**manifest["config"], "version": manifest["config"].get("version", 1) + 1}
-    manifest = {"config": config, "n_vectors": n, "checksum": hashlib.sha256(json.dumps([config, n], sort_keys=True).encode()).hexdigest()}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    return manifest
+    version = manifest["version"] + 1
+    part = f"data-{version:06d}"
+    number_rows(rows, "faiss_id", "paragraph_id", start=top + 1).select(*have.columns).write.mode("overwrite").parquet(f"{path}/{part}")
+    return _write_version(spark, path, version, [*manifest["parts"], part], {**manifest["config"], "version": version})
 
 
 def query(index: DataFrame, vector, k: int = 10, classes: list | None = None, min_score: float = -1.0, max_score: float = 1.0) -> DataFrame:

@@ -147,3 +147,13 @@ def describe(df: DataFrame, value: str) -> DataFrame:
         F.count("*").alias("n"), r(F.avg("v")).alias("mean"), r(F.median("v")).alias("median"), r(F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("std"),
         r(F.min("v")).alias("min"), r(F.max("v")).alias("max"), q(0.25).alias("p25"), q(0.75).alias("p75"),
     )
+
+
+def attach_scores(corpus: DataFrame, results: DataFrame, name: str = "semantic_score") -> DataFrame:
+    """corpus (article_id, paragraph_id) with the aggregate_score of its paragraph in results: of the same article, else of
+    any with that paragraph_id (the last by rank), else 0.0."""
+    r = results.withColumn("_rank", F.col("rank") if "rank" in results.columns else F.lit(0))
+    own = r.groupBy("article_id", "paragraph_id").agg(F.max_by("aggregate_score", "_rank").alias("_own"))
+    any_article = r.groupBy("paragraph_id").agg(F.max_by("aggregate_score", F.struct("_rank", "article_id")).alias("_any"))
+    rows = corpus.drop(name).join(own, ["article_id", "paragraph_id"], "left").join(any_article, "paragraph_id", "left")
+    return rows.withColumn(name, F.coalesce("_own", "_any", F.lit(0.0))).select(*[c for c in corpus.columns if c != name], name)

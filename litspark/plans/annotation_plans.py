@@ -70,7 +70,7 @@ def cohen_kappa(spark, sf_dir):
 @query(ANN + """, p AS (SELECT x.classes AS ca, y.classes AS cb FROM a x JOIN a y ON x.paragraph_id = y.paragraph_id AND x.annotator_id = 0 AND y.annotator_id = 1),
 l AS (SELECT k, CAST(list_contains(ca, k) AS DOUBLE) AS a, CAST(list_contains(cb, k) AS DOUBLE) AS b FROM p, range(0, 6) r(k)),
 s AS (SELECT k, count(*) AS n, avg(CAST(a = b AS DOUBLE)) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM l GROUP BY 1)
-SELECT round(avg(round(CASE WHEN abs(1 - pe) < 1e-9 THEN CASE WHEN po > 1 - 1e-9 THEN 1 ELSE 0 END ELSE (po - pe) / (1 - pe) END, 4)), 4) AS macro_kappa, max(n) AS n_pairs FROM s""")
+SELECT round(sum(CAST(round(10000 * round(CASE WHEN abs(1 - pe) < 1e-9 THEN CASE WHEN po > 1 - 1e-9 THEN 1 ELSE 0 END ELSE (po - pe) / (1 - pe) END, 4)) AS BIGINT)) / count(*)) / 10000 AS macro_kappa, max(n) AS n_pairs FROM s""")
 def macro_kappa(spark, sf_dir):
     return A.macro_kappa(annotations(spark, sf_dir))
 

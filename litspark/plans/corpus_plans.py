@@ -6,8 +6,8 @@ from ..operators import corpus, extract, sampling
 from .registry import query, table
 
 BATCH = """
-WITH r AS (SELECT 'A' || doc_id AS article_id, 'f' || doc_id % 400 AS source_filename, sha256(text) AS pdf_sha256, CAST(1 + doc_id % 3 AS INT) AS version_number FROM documents WHERE doc_id % 2 = 0),
-b AS (SELECT 'f' || doc_id % 700 AS source_filename, sha256(text) AS pdf_sha256 FROM documents WHERE doc_id % 3 = 0),
+WITH r AS (SELECT 'A' || doc_id AS article_id, 'f' || doc_id % 400 AS source_filename, sha256(text) AS pdf_sha256, CAST(1 + doc_id % 3 AS INT) AS version_number FROM documents),
+b AS (SELECT 'f' || doc_id % 700 AS source_filename, sha256(text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' v2' END) AS pdf_sha256 FROM documents),
 h AS (SELECT pdf_sha256, min(article_id) AS same FROM r GROUP BY 1), n AS (SELECT source_filename, min(article_id) AS named FROM r GROUP BY 1),
 c AS (SELECT b.source_filename, b.pdf_sha256, CASE WHEN same IS NOT NULL THEN 'duplicate' WHEN named IS NOT NULL THEN 'modified' ELSE 'new' END AS kind, coalesce(same, named) AS matches
   FROM b LEFT JOIN h USING (pdf_sha256) LEFT JOIN n USING (source_filename))
@@ -15,12 +15,14 @@ c AS (SELECT b.source_filename, b.pdf_sha256, CASE WHEN same IS NOT NULL THEN 'd
 
 
 def registry(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    d = table(spark, sf_dir, "documents")
     return d.selectExpr("concat('A', doc_id) article_id", "concat('f', doc_id % 400) source_filename", "sha2(text, 256) pdf_sha256", "cast(1 + doc_id % 3 as int) version_number")
 
 
 def batch(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").selectExpr("concat('f', doc_id % 700) source_filename", "sha2(text, 256) pdf_sha256")
+    """All documents again: a third unchanged, the others with another text, some under names not yet known."""
+    text = "concat(text, case when doc_id % 3 = 0 then '' else ' v2' end)"
+    return table(spark, sf_dir, "documents").selectExpr("concat('f', doc_id % 700) source_filename", f"sha2({text}, 256) pdf_sha256")
 
 
 @query(BATCH + "SELECT * FROM c")
@@ -34,11 +36,11 @@ def version_chain(spark, sf_dir):
     return corpus.next_versions(corpus.classify_batch(batch(spark, sf_dir), reg), reg)
 
 
-@query("SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS status FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0")
+@query("WITH n AS (SELECT doc_id + 1 AS doc_id, source FROM documents) SELECT doc_id, source, 'new' AS status FROM n UNION ALL SELECT doc_id, source, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)")
 def registry_upsert(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    old = d.filter("doc_id % 2 = 0").withColumn("status", F.lit("old"))
-    return corpus.upsert(old, d.filter("doc_id % 5 = 0").withColumn("status", F.lit("new")), "doc_id")
+    new = d.withColumn("doc_id", F.col("doc_id") + 1).withColumn("status", F.lit("new"))
+    return corpus.upsert(d.withColumn("status", F.lit("old")), new, "doc_id")
 
 
 @query("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
@@ -78,15 +80,16 @@ def resume_pending(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT user_id, event_type, arg_max(value > 50, {'t': ts, 'e': event_id}) AS ok FROM events WHERE event_id % 3 > 0 GROUP BY ALL),
-p AS (SELECT DISTINCT user_id, event_type FROM events), j AS (SELECT p.event_type AS operation_id, ok FROM p LEFT JOIN l USING (user_id, event_type))
+WITH l AS (SELECT user_id, event_type, arg_max(value > 50, {'t': ts, 'e': event_id}) AS ok FROM events GROUP BY ALL),
+p AS (SELECT DISTINCT user_id, event_type FROM events UNION SELECT DISTINCT -1 - user_id, event_type FROM events), j AS (SELECT p.event_type AS operation_id, ok FROM p LEFT JOIN l USING (user_id, event_type))
 SELECT operation_id, count(*) AS total_items, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS pending,
   CASE WHEN count(*) FILTER (ok IS NULL) = 0 THEN 'completed' ELSE 'active' END AS state FROM j GROUP BY 1
 """)
 def checkpoint_state(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("operation_id"), F.col("user_id").alias("item_key"), (F.col("value") > 50).alias("ok"), F.struct("ts", "event_id").alias("at"), "event_id")
-    planned = e.select("operation_id", "item_key").distinct()
-    return corpus.checkpoint_state(e.filter("event_id % 3 > 0").drop("event_id"), planned)
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("operation_id"), F.col("user_id").alias("item_key"), (F.col("value") > 50).alias("ok"), F.struct("ts", "event_id").alias("at"))
+    done = e.select("operation_id", "item_key")
+    planned = done.unionByName(done.withColumn("item_key", -1 - F.col("item_key"))).distinct()  # as many are still pending
+    return corpus.checkpoint_state(e, planned)
 
 
 @query("""

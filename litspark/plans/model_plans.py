@@ -62,13 +62,13 @@ def classified_sync(spark, sf_dir):
     return classify.sync(corpus, classified(spark, sf_dir)).select("paragraph_id", "status", F.size("predicted_labels").alias("n_labels"))
 
 
-INDEX = CLASSIFIED + "r AS (SELECT article_id, paragraph_id % 400 AS paragraph_id, paragraph_id AS seq, l, status FROM c), f AS (SELECT * FROM r WHERE status <> 'MODEL_NOT_RELEVANT' AND len(l) > 0),\nx AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY paragraph_id ORDER BY seq) = 1),"
+INDEX = CLASSIFIED + "r AS (SELECT article_id, paragraph_id, paragraph_id AS seq, l, status FROM c UNION ALL SELECT article_id, paragraph_id, paragraph_id + 1000000000000 AS seq, l, status FROM c), f AS (SELECT * FROM r WHERE status <> 'MODEL_NOT_RELEVANT' AND len(l) > 0),\nx AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY paragraph_id ORDER BY seq) = 1),"
 
 
 def _repeating(spark, sf_dir):
-    """The corpus with paragraph ids that repeat, in ingest order seq."""
-    c = classified(spark, sf_dir).select("article_id", (F.col("paragraph_id") % 400).alias("paragraph_id"), F.col("paragraph_id").alias("seq"), "predicted_labels", "status")
-    return c
+    """The corpus twice, as two batches of the same paragraph ids in ingest order seq."""
+    c = classified(spark, sf_dir).select("article_id", "paragraph_id", F.col("paragraph_id").alias("seq"), "predicted_labels", "status")
+    return c.unionByName(c.withColumn("seq", F.col("seq") + 1_000_000_000_000))
 
 
 def _index(spark, sf_dir):
@@ -153,6 +153,20 @@ def mock_extraction(spark, sf_dir):
     return p.select("doc_id", F.array_join("evidence", "|").alias("evidence"), extract.evidence_valid(F.col("text"), F.col("evidence")).alias("evidence_valid"))
 
 
+CACHED = "doc_id % 3 = 0"
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '[^\s\p{{Z}}]+'), 1, CASE WHEN {CACHED} THEN 3 ELSE 5 END), ' ') AS evidence, {CACHED} AS cached, true AS evidence_valid FROM documents""")
+def cached_extraction(spark, sf_dir):
+    """Every document's answer: a third from the cache, whose provider quoted three words, the others asked for."""
+    docs = extract.keyed(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "mock", "v1", "{}")
+    docs = docs.withColumn("cache_key", F.concat("cache_key", F.lit("|"), F.col("doc_id").cast("string")))  # equal texts may be in both parts
+    words = F.slice(F.filter(F.split("text", "(?U)\\s+"), lambda x: x != ""), 1, 3)
+    old = docs.filter(CACHED).withColumn("raw", F.to_json(F.struct(F.array(F.array_join(words, " ")).alias("evidence"), F.lit(0.5).alias("confidence"))))
+    out = extract.extract(docs, cache=extract.parse(old))
+    return out.select("doc_id", F.array_join("evidence", "|").alias("evidence"), (F.col("confidence") == 0.5).alias("cached"), "evidence_valid")
+
+
 @query("SELECT event_id, event_type, json_valid(props) AS valid, json_keys(props)[1] AS first_key FROM events")
 def event_props(spark, sf_dir):
     e = table(spark, sf_dir, "events")

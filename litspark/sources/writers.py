@@ -73,8 +73,10 @@ def save_stage(df: DataFrame, root: str, stage: str, config: dict | None = None)
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A result of at most limit rows as a Markdown table; a longer one is an error, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table of more than {limit} rows")
     show = lambda v: "N/A" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])

@@ -370,3 +370,74 @@ def test_lines_of_long_documents_stay_apart(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in text_plans.cooccurrence_line(spark, str(tmp_path)).collect()]
     assert got == [("delta", "gamma", 5)]
+
+
+def test_segment_ids_stay_unique(spark):
+    """More than 99 chunks and 9,999 paragraphs have more digits, not fewer."""
+    long = " ".join(f"Sentence number {i} of a very long paragraph ends here." for i in range(1_500))
+    many = "\n\n".join(f"Paragraph {i} has eight words or more in it." for i in range(10_500))
+    df = spark.createDataFrame([("A", long), ("B", many)], "article_id string, text string")
+    from litspark.functions import segment
+
+    plain = segment.plain_segments(df)
+    assert plain.count() == plain.select("paragraph_id").distinct().count() > 10_600
+    assert plain.filter("paragraph_id = 'A_P000001_S100'").count() == 1
+    md = segment.markdown_segments(df)
+    assert md.count() == md.select("segment_id").distinct().count() and md.filter("segment_id in ('A_P0001_C100', 'B_P10500')").count() == 2
+    for sf in ("sf0.1",):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").selectExpr("doc_id article_id", "text")
+        ids = segment.markdown_segments(docs).agg(F.count("*").alias("n"), F.count_distinct("segment_id").alias("d")).first()
+        assert ids.n == ids.d
+
+
+def test_index_integrity(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, f"{tmp_path}/none")
+    rows = spark.createDataFrame([(0, "P1", [1.0, 0.0]), (1, "P2", [0.0, 1.0])], "faiss_id long, paragraph_id string, embedding array<double>")
+    index.save(rows, f"{tmp_path}/i", {"model": "m"})
+    index.append(spark, f"{tmp_path}/i", spark.createDataFrame([("P3", [1.0, 1.0])], "paragraph_id string, embedding array<double>"), {"model": "m"})
+    have, manifest = index.load(spark, f"{tmp_path}/i")
+    assert manifest["n_vectors"] == 3 == have.count() and manifest["version"] == 2 and manifest["config"]["version"] == 2
+    rows.limit(1).write.parquet(f"{tmp_path}/i/data-000003")  # an append that died before its manifest
+    assert index.load(spark, f"{tmp_path}/i")[1]["version"] == 2
+    rows.withColumn("embedding", F.array(F.lit(0.5), F.lit(0.5))).write.mode("overwrite").parquet(f"{tmp_path}/i/data-000002")
+    with pytest.raises(ValueError):
+        index.load(spark, f"{tmp_path}/i")
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/i/data-000001")
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, f"{tmp_path}/i")
+
+
+def test_extraction_keeps_cached_rows_and_resumes(spark, tmp_path):
+    docs = extract.keyed(spark.createDataFrame([(1, "one two"), (2, "boom"), (3, "one two")], "id int, text string"), "mock", "v1", "{}")
+
+    def broken(text):
+        if text == "boom":
+            raise RuntimeError
+        return extract.mock_provider(text)
+
+    first = extract.extract_to(docs, f"{tmp_path}/a", broken, steps=3)
+    assert sorted((r.id, r.json_valid) for r in first.collect()) == [(1, True), (2, False), (3, True)]
+    asked = spark.read.parquet(f"{tmp_path}/a/answers")
+    assert asked.count() == 2  # equal texts are asked once
+    again = extract.extract_to(docs, f"{tmp_path}/a", extract.mock_provider, steps=3)
+    assert sorted((r.id, r.json_valid) for r in again.collect()) == [(1, True), (2, True), (3, True)]
+    assert spark.read.parquet(f"{tmp_path}/a/answers").count() == 3
+    out = extract.extract(docs, extract.mock_provider, rpm=6000, cache=asked, workers=2)
+    assert sorted((r.id, r.evidence_valid) for r in out.collect()) == [(1, True), (2, True), (3, True)]
+
+
+def test_scores_fall_back_to_the_paragraph(spark):
+    corpus = spark.createDataFrame([("A", "P1"), ("B", "P1"), ("C", "P9")], "article_id string, paragraph_id string")
+    results = spark.createDataFrame([("A", "P1", 0.4, 1), ("X", "P1", 0.3, 2)], "article_id string, paragraph_id string, aggregate_score double, rank int")
+    got = sorted(map(tuple, search.attach_scores(corpus, results).collect()))
+    assert got == [("A", "P1", 0.4), ("B", "P1", 0.3), ("C", "P9", 0.0)]
+
+
+def test_report_tables_are_whole(spark):
+    from litspark.sources.writers import markdown_table
+
+    with pytest.raises(ValueError):
+        markdown_table(spark.range(6), limit=5)
