@@ -23,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import (
-    SKETCH_DDL, U64, CellFilter, discard, doc_texts, materialize, merge_sketches, mix64, record, rolling, shard_count,
+    SKETCH_DDL, U64, CellFilter, discard, doc_texts, keep_in_process, materialize, merge_sketches, mix64, record, rolling, shard_count,
     sketch_rows, text_blocks,
 )
 from .token_cache import process_cache, read_tokenizer
 
 HASHED = 4  # bytes under the rolling hash
 EDGES = 16  # one in so many places before white space is cut
-CHUNKS = 200_000  # shared chunks that a process keeps; others are encoded each time
+CHUNKS = 50_000  # shared chunks that a process keeps; a full table starts anew
+WORDS = 500_000  # words that a process keeps
 MARKS = ("^", "~", "|")  # symbols that may part words in one call of the tokenizer
 INSIDE = 4096  # one in so many places inside words is cut
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -104,10 +105,10 @@ def _caseless(tokenizer) -> bool:
 def _joining(tokenizer) -> dict:
     """New words are encoded many at a time, parted by a symbol of one id."""
     alone = [m for m in MARKS if len(tokenizer.encode(m, add_special_tokens=False).ids) == 1]
-    return {"separator": alone[0] if alone else None, "caseless": _caseless(tokenizer)}
+    return {"separator": alone[0] if alone else None, "caseless": _caseless(tokenizer), "limit": WORDS}
 
 
-_chunks: dict = {}  # by tokenizer: this process's shared chunks
+_chunks: dict = keep_in_process({})  # by tokenizer: this process's shared chunks
 
 
 def encode_texts(raws: list[bytes], tokenizer_text: str, shared=None) -> list[bytes]:
@@ -121,7 +122,9 @@ def encode_texts(raws: list[bytes], tokenizer_text: str, shared=None) -> list[by
     holes = [i for i, x in enumerate(ids) if x is None]
     for i, x in zip(holes, words.values([flat[i].split() for i in holes])):
         ids[i] = b"".join(x)
-        if keep[i] and len(kept) < CHUNKS:
+        if keep[i]:
+            if len(kept) >= CHUNKS:
+                kept.clear()
             kept[flat[i]] = ids[i]
     encode = lambda piece: words.encode([piece])[0]
     out, at = [], 0
@@ -151,7 +154,7 @@ DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 str
 
 def encode_batches(batches, tokenizer_text: str, shared: CellFilter):
     mask = shared.probe()
-    for ids, raws in text_blocks(batches):
+    for ids, raws in text_blocks(batches, caches=True):
         yield record(IDS, ids, encode_texts(raws, tokenizer_text, mask))
 
 

@@ -92,8 +92,25 @@ def n_parts(spark: SparkSession) -> int:
 
 
 # ---------------------------------------------------------------- batches
-def text_blocks(batches, max_bytes: int = 2_000_000):
-    """Lists of (doc_id, bytes) of about max_bytes from Arrow batches with doc_id and raw; a long text is whole."""
+_process_caches: list = []  # dicts that a worker process keeps from task to task
+
+
+def keep_in_process(cache: dict) -> dict:
+    _process_caches.append(cache)
+    return cache
+
+
+def release_caches() -> None:
+    """Worker processes serve one operator after another: one that keeps nothing frees what others kept."""
+    for cache in _process_caches:
+        cache.clear()
+
+
+def text_blocks(batches, max_bytes: int = 2_000_000, caches: bool = False):
+    """Lists of (doc_id, bytes) of about max_bytes from Arrow batches with doc_id and raw; a long text is whole.  caches:
+    whether the operator uses what processes keep."""
+    if not caches:
+        release_caches()
     ids, texts, size = [], [], 0
     for batch in batches:
         names = batch.schema.names

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64, small_batches
+from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64, release_caches, small_batches
 
 LABELLED = 8_000
 ROUNDS = 4
@@ -379,6 +379,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def _blocks(batch, size: int = 500_000):
     """Row ranges of about size bytes of text."""
+    release_caches()
     raws = batch.column(batch.schema.names.index("raw"))
     start, used = 0, 0
     for i, n in enumerate(pa.compute.binary_length(raws).to_pylist()):

@@ -6,9 +6,11 @@ import os
 
 import numpy as np
 
+from .common import keep_in_process
+
 MARKS = b".,;:!?*$%#"  # after an ASCII word, both pre-tokenizers used here set a run of these apart
-LIMIT = 1_500_000  # pieces a process keeps; beyond it, new pieces are encoded each time they occur
-_processes: dict = {}
+LIMIT = 1_000_000  # pieces a process keeps, some 200 bytes each; a full cache starts anew
+_processes: dict = keep_in_process({})
 
 
 def load_tokenizer(text: str):
@@ -30,9 +32,9 @@ class PieceCache(dict):
     sets apart, with white space around it).  A new piece that is a word with marks after it is put together from both;
     where ``caseless``, an ASCII piece is encoded as its lower case."""
 
-    def __init__(self, tokenizer, prefix: str = "", starts=None, separator: str | None = None, width: int = 4, caseless: bool = False):
+    def __init__(self, tokenizer, prefix: str = "", starts=None, separator: str | None = None, width: int = 4, caseless: bool = False, limit: int = LIMIT):
         super().__init__()
-        self.caseless, self.marks = caseless, {}
+        self.caseless, self.marks, self.limit = caseless, {}, limit
         self.tokenizer, self.prefix, self.starts, self.separator = tokenizer, prefix, starts, separator
         self.dtype = f"<u{width}"
         if separator:
@@ -84,7 +86,9 @@ class PieceCache(dict):
                 if p not in new:
                     ids = new[q] if q in new else self[q]
                     new[p] = ids if len(p) == len(q) else ids + self._marks(p[len(q) :].decode())
-        if len(self) + len(new) <= LIMIT:
+        if len(self) + len(new) > self.limit:
+            self.clear()
+        if len(new) <= self.limit:
             self.update(new)
         return new
 
