@@ -10,6 +10,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -106,7 +107,21 @@ def release_caches() -> None:
         cache.clear()
 
 
-def text_blocks(batches, max_bytes: int = 2_000_000, caches: bool = False):
+def trim() -> None:
+    """Give memory that a worker process has freed back to the system: processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
+def text_blocks(batches, max_bytes: int = 1_000_000, caches: bool = False):
     """Lists of (doc_id, bytes) of about max_bytes from Arrow batches with doc_id and raw; a long text is whole.  caches:
     whether the operator uses what processes keep."""
     if not caches:
@@ -126,9 +141,11 @@ def text_blocks(batches, max_bytes: int = 2_000_000, caches: bool = False):
                     ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    ids = texts = None
+    trim()
 
 
-def row_blocks(batches, max_bytes: int = 2_000_000):
+def row_blocks(batches, max_bytes: int = 1_000_000):
     """Lists of (doc_id, t) pairs and of bytes, as text_blocks."""
     keyed = (
         pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column("doc_id"), b.column("t")], ["doc_id", "t"]), b.column("raw")], names=["doc_id", "raw"])
@@ -273,8 +290,9 @@ MAX_BITS = 28  # 32 MB: the bound of what a cell filter broadcasts, unless it is
 class CellFilter:
     """Bitmap of the repeated cells, folded to at most 2**MAX_BITS bits; folding only adds false positives."""
 
-    def __init__(self, cells: DataFrame, n: int | None = None, most: int = MAX_BITS):
-        """cells: sketch rows, merged or of partitions; n: about how many cells they hold; most: bound of the bits' power."""
+    def __init__(self, cells: DataFrame, n: int | None = None, most: int = MAX_BITS, make=None):
+        """cells: sketch rows, merged or of partitions, or what make (over Arrow batches) makes such rows of; n: about how
+        many cells they hold; most: bound of the bits' power."""
         spark = cells.sparkSession
         if n is None:
             n = int((cells.select(F.sum(F.octet_length("cells")).alias("n")).first().n or 0) // 4)
@@ -297,9 +315,12 @@ class CellFilter:
 
         self.shards = shard_count(spark)
         bitmap = np.zeros(size >> 3, np.uint8)
-        # bitmaps of disjoint stretches, or a few whole ones of a small filter
-        dealt = cells.coalesce(4) if self.bits <= SMALL_BITS else cells.repartition(n_parts(spark), "shard")
-        for r in dealt.mapInArrow(fold, SKETCH_DDL).collect():
+        # bitmaps of disjoint stretches, or a few whole ones of a small filter, made and folded by the same worker
+        if self.bits <= SMALL_BITS:
+            bits = cells.coalesce(4).mapInArrow(lambda b: fold(make(b) if make else b), SKETCH_DDL)
+        else:
+            bits = (cells.mapInArrow(make, SKETCH_DDL) if make else cells).repartition(n_parts(spark), "shard").mapInArrow(fold, SKETCH_DDL)
+        for r in bits.collect():
             part = np.frombuffer(r.cells, np.uint8)
             bitmap[r.shard : r.shard + len(part)] |= part
         self.repeated = n
@@ -327,4 +348,4 @@ def id_filter(ids: DataFrame) -> CellFilter:
     def build(batches):
         yield from sketch_rows([id_cells(b.column(0).to_numpy()) for b in batches], shards)
 
-    return CellFilter(ids.mapInArrow(build, SKETCH_DDL), ids.count())
+    return CellFilter(ids, ids.count(), make=build)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     U64, CellFilter, discard, doc_texts, id_cells, id_filter, materialize, mix64, n_parts, record, rolling, spread,
-    text_blocks,
+    text_blocks, trim,
 )
 from .components import components
 
@@ -93,13 +93,14 @@ def describe(texts: DataFrame, k: int, bits: int) -> DataFrame:
     """Set size, digest and parity bitmap of every document, and each partition's document-frequency sketch."""
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for ids, raws in text_blocks(batches):
             sets = shingle_sets(raws, k)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
             folds = _lists([parity_bitmap(s) for s in sets])
             yield record(META, ids, [len(s) for s in sets], pa.array(digests[:, 0]), pa.array(digests[:, 1]), folds, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()))
-            counts += np.bincount(_cells(np.concatenate(sets), bits), minlength=1 << bits)
+            cells, n = np.unique(_cells(np.concatenate(sets), bits), return_counts=True)
+            counts[cells] += n.astype(np.uint32)
         for s, c in enumerate(np.split(np.minimum(counts, 65535).astype(np.uint16), SLICES)):
             if c.any():
                 none = pa.nulls(1, pa.int64())
@@ -201,6 +202,8 @@ def whole_lists(batches, n_columns: int):
         held = [[c[cut:] for c in cols]]
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
+    held = None
+    trim()
 
 
 def may_link(nx, px, ny, py, t=THRESHOLD):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64, release_caches, small_batches
+from .common import discard, id_cells as filter_cells, id_filter, materialize, mix64, release_caches, small_batches, trim
 
 LABELLED = 8_000
 ROUNDS = 4
@@ -221,6 +221,7 @@ def _given_loss(given: DataFrame, w: list[np.ndarray], weight: list[np.ndarray])
                         f = _unpack(b"".join(rows[k] for k in i), len(w[v]) - 1)
                         y = mark[i].astype(float)
                         total[v] += loss_parts(w[v], _with_one(f), y, weight[v][mark[i]])
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total[0].tobytes()]), pa.array([total[1].tobytes()])], names=["part", "a", "b"])
 
     rows = sorted(given.select("view", "mark", "x").mapInArrow(run, "part long, a binary, b binary").collect())  # a row a partition
@@ -389,6 +390,7 @@ def _blocks(batch, size: int = 500_000):
             start, used = i + 1, 0
     if start < batch.num_rows:
         yield start, batch.num_rows
+    trim()
 
 
 def _views(part) -> list[np.ndarray]:
