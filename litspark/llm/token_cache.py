@@ -9,7 +9,7 @@ import numpy as np
 from .common import keep_in_process
 
 MARKS = b".,;:!?*$%#"  # after an ASCII word, both pre-tokenizers used here set a run of these apart
-LIMIT = 1_000_000  # pieces a process keeps, some 200 bytes each; a full cache starts anew
+LIMIT = 2_000_000  # pieces a process keeps, some 200 bytes each; a full cache starts anew
 _processes: dict = keep_in_process({})
 
 

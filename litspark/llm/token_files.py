@@ -82,7 +82,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, name: str =
         ids, sizes = [], []
         end = np.array([end_id], f"<u{width}").tobytes()
         with files.open_output_stream(path + ".ids") as out:
-            for doc_ids, raws in text_blocks(batches, caches=True):
+            for doc_ids, raws in text_blocks(batches, 4_000_000, caches=True):
                 coded = encode_texts(raws, tokenizer.value, width)
                 ids += doc_ids
                 sizes += [len(c) // width + 1 for c in coded]
