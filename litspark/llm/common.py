@@ -26,12 +26,14 @@ WORD_CLASS = "[^\\x20\\x09-\\x0D]+"  # the words of the contracts: what bytes.sp
 
 # ---------------------------------------------------------------- shared storage
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """Folder that driver and executors share; a temporary one only where both are one process (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base and sc._jsc.sc().getCheckpointDir().isDefined():
         base = sc._jsc.sc().getCheckpointDir().get()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="litspark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")

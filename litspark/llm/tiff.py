@@ -29,6 +29,9 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
 
 
+RATIO = 3000  # a compressed byte holds fewer: deflate at most 1032, LZW under 2800
+
+
 class TiffError(ValueError):
     """The bytes are not a TIFF that can be read."""
 
@@ -151,7 +154,7 @@ def _decode(data: bytes, how: int) -> bytes:
     if how == LZW:
         return unlzw(data)
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, RATIO * len(data) + 1024)  # no more than deflate can hold
     raise TiffError(f"compression {how}")
 
 
@@ -218,6 +221,8 @@ def read_page(media: bytes, order: str, tags: dict) -> np.ndarray:
     bits, form, how, predictor = one("bits", 8), one("sample_format", 1), one("compression", PLAIN), one("predictor", 1)
     if not width or not height or bits not in (8, 16, 32, 64) or predictor not in (1, 2, 3):
         raise TiffError("unsupported page")
+    if samples < 1 or width * height * samples * bits // 8 > RATIO * len(media):
+        raise TiffError("dimensions beyond the data")
     dtype = np.dtype(("|" if bits == 8 else order) + {1: "u", 2: "i", 3: "f"}.get(form, "u") + str(bits // 8))
     planes = samples if one("planar", 1) == 2 else 1
     per = samples // planes
@@ -326,7 +331,7 @@ def media_pages(doc_id, n_bytes, media):
     """One tuple a page, in order; last marks a medium's last row."""
     head = (doc_id, n_bytes, len(media or b""), hashlib.sha256(media or b"").hexdigest())
     rows, error = [], None
-    damage = (ValueError, struct.error, zlib.error, IndexError, TypeError)
+    damage = (ValueError, struct.error, zlib.error, IndexError, TypeError, ArithmeticError, MemoryError)
     if not media:
         error = "empty"
     try:

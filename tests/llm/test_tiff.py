@@ -75,3 +75,17 @@ def test_pages_after_a_damaged_one_are_read():
     media[offset : offset + 4] = b"\xff" * 4
     rows = tiff.media_pages(1, 0, bytes(media))
     assert [(r[4], r[9]) for r in rows] == [(0, pages[0].tobytes()), (2, pages[2].tobytes()), (None, None)] and rows[-1][5] and rows[-1][-1]
+
+
+def test_impossible_dimensions_are_an_error_row():
+    """Sizes that no data could fill, no samples and bombs end in the error row, without allocating them."""
+    import struct as st
+
+    def directory(fields):
+        return b"II*\0" + st.pack("<IH", 8, len(fields)) + b"".join(st.pack("<HHII", t, 4, 1, v) for t, v in sorted(fields.items())) + st.pack("<I", 0)
+
+    base = {256: 192, 257: 1, 258: 8, 259: 1, 273: 8, 277: 1, 279: 4}
+    for change in ({256: 4_000_000_000, 257: 1_000_000}, {277: 0, 284: 2}, {258: 64, 256: 1 << 30}):
+        (row,) = tiff.media_pages(1, 4, directory({**base, **change}))
+        assert row[4] is None and row[-1] == "dimensions beyond the data"
+    assert len(tiff._decode(__import__("zlib").compress(b"x" * 50_000_000), tiff.DEFLATE)) == 50_000_000
