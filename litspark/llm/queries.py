@@ -69,6 +69,12 @@ def op10_substring_dedup(spark, sf_dir):
     return digest(dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark, sf_dir):
+    from .lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
@@ -80,17 +86,19 @@ QUERIES = {
     "op8_tiff_media": op8_tiff_media,
     "op9_srs_search": op9_srs_search,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 
 def _oracles() -> dict[str, str]:
-    from . import mixing, ngram_jaccard, substring_dedup, url_filter
+    from . import lexical_search, mixing, ngram_jaccard, substring_dedup, url_filter
 
     return {
         "op1_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
         "op3_source_mixing": mixing.ORACLE_SQL,
         "op6_url_filter": url_filter.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
     }
 
 
