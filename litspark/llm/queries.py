@@ -69,12 +69,25 @@ def op10_substring_dedup(spark, sf_dir):
     return digest(dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    from .prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical_search(spark, sf_dir):
     from .lexical_search import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_chat_format(spark, sf_dir):
+    from .chat_format import digest, format_conversations, probe
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digest(format_conversations(turns.unionByName(probe(spark))))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_files": op2_token_files,
@@ -86,19 +99,23 @@ QUERIES = {
     "op8_tiff_media": op8_tiff_media,
     "op9_srs_search": op9_srs_search,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
+    "op13_chat_format": op13_chat_format,
 }
 
 
 def _oracles() -> dict[str, str]:
-    from . import lexical_search, mixing, ngram_jaccard, substring_dedup, url_filter
+    from . import chat_format, lexical_search, mixing, ngram_jaccard, prefix_trie, substring_dedup, url_filter
 
     return {
         "op1_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
         "op3_source_mixing": mixing.ORACLE_SQL,
         "op6_url_filter": url_filter.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
         "op12_lexical_search": lexical_search.ORACLE_SQL,
+        "op13_chat_format": chat_format.ORACLE_SQL,
     }
 
 
