@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import NOT_RELEVANT
+from .scan import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -40,13 +41,24 @@ def next_versions(classified: DataFrame, registry: DataFrame, policy: str = "ver
     return out.select("source_filename", "kind", version.cast("int").alias("version_number"), F.when(F.col("kind") != "new", F.col("matches")).alias("supersedes"))
 
 
-def corpus_hash(df: DataFrame, sha: str = "text_sha256") -> DataFrame:
-    """sha256 of the sorted text hashes, in 4096 slices of the hash order: slice hashes first, then the hash of those, so
-    that no task concatenates the corpus."""
-    s = df.select(F.col(sha).alias("h"), F.substring(sha, 1, 3).alias("slice"))
-    parts = s.groupBy("slice").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"), F.count("*").alias("n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "p"))), lambda x: x.p), "")
-    return parts.agg(F.sha2(whole, 256).alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+SLICE = 1024  # distinct hashes of a leaf of the hash tree, about
+
+
+def corpus_hash(df: DataFrame, sha: str = "text_sha256", slice_rows: int = SLICE) -> DataFrame:
+    """corpus_hash, n (rows): the root of a tree over the sorted distinct text hashes, each with its count.
+
+    A leaf hashes the rows ``hash:count`` of one prefix; prefixes get a digit longer as often as the table's distinct hashes
+    exceed slice_rows sixteenfold, so leaves stay as large and their number grows; an inner node hashes at most sixteen
+    hashes.  Equal texts are one row with a count.  An empty table has the hash of nothing."""
+    rows = df.groupBy(F.col(sha).alias("h")).agg(F.count("*").alias("n")).filter("h is not null")
+    distinct, digits = df.select(sha).distinct().count(), 0
+    while distinct > slice_rows * 16**digits:
+        digits += 1
+    join = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x.v), ""), 256)
+    level = rows.select(F.substring("h", 1, digits).alias("p"), F.col("h").alias("k"), F.concat("h", F.lit(":"), F.col("n").cast("string")).alias("v"), "n")
+    for d in range(digits, 0, -1):
+        level = level.groupBy("p").agg(join.alias("v"), F.sum("n").alias("n")).select(F.substring("p", 1, d - 1).alias("p"), F.col("p").alias("k"), "v", "n")
+    return level.agg(join.alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def final_corpus(df: DataFrame) -> DataFrame:
@@ -128,17 +140,6 @@ def write_if_absent(df: DataFrame, path: str, policy: str = "skip") -> None:
 
 
 def number_rows(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame:
-    """Contiguous numbers from start in a total order: ranges of the first column (numbers or strings) are ranked alone
-    and start after the rows before them."""
-    first = order[0]
-    if dict(df.dtypes)[first] == "string":
-        cell = F.substring(first, 1, 3)  # keeps the order
-    else:
-        cuts = df.approxQuantile(first, [i / 64 for i in range(1, 64)], 0.001)
-        cell = sum(((F.col(first) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    rows = df.withColumn("_cell", cell)
-    counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_cell", before.alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
-    return rows.withColumn("_nth", nth).join(counts, "_cell").withColumn(name, (F.col("_before") + F.col("_nth") - 1 + start).cast("long")).drop("_cell", "_nth", "_before")
+    """Contiguous numbers from start in a total order: places of a prefix scan, so values with one prefix or one first
+    column spread over tasks."""
+    return numbered(df, list(order), name).withColumn(name, F.col(name) + (start - 1))

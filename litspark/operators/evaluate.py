@@ -5,12 +5,15 @@ Long form of multilabel data: (id, class, y, pred, prob), one row per item and c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
+from .scan import prefix_scan
 
 R4 = lambda c: F.round(c, 4)
 
@@ -156,12 +159,11 @@ def global_metrics(long: DataFrame) -> DataFrame:
 
 
 def _by_score(long: DataFrame) -> DataFrame:
-    """Positives and negatives at each distinct score of a class, with running sums from the top."""
+    """Positives and negatives at each distinct score of a class, with running sums from the top: a scan, as a class may
+    have any number of scores."""
     d = long.groupBy("class", "prob").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("m"))
-    w = Window.partitionBy("class").orderBy(F.desc("prob"))
-    whole = Window.partitionBy("class")
-    d = d.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("m").over(w))
-    return d.withColumn("pos", F.sum("p").over(whole)).withColumn("neg", F.sum("m").over(whole))
+    d = prefix_scan(d, [F.desc("prob")], {"tp": F.col("p"), "fp": F.col("m")}, by=["class"])
+    return d.join(d.groupBy("class").agg(F.max("tp").alias("pos"), F.max("fp").alias("neg")), "class")
 
 
 def average_precision(long: DataFrame) -> DataFrame:
@@ -178,8 +180,12 @@ def roc_auc(long: DataFrame) -> DataFrame:
 
 
 def pr_curve(long: DataFrame) -> DataFrame:
+    """Precision and recall at each distinct score; a class without positives has the one point (0, 0)."""
     d = _by_score(long)
-    return d.filter("pos > 0").select("class", F.col("prob").alias("threshold"), R4(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), R4(F.col("tp") / F.col("pos")).alias("recall"))
+    point = lambda c: R4(F.when(F.col("pos") > 0, c).otherwise(0.0))
+    tops = long.groupBy("class").agg(F.max("prob").alias("top"))
+    one = d.join(tops, "class").filter("pos > 0 or prob = top")
+    return one.select("class", F.when(F.col("pos") > 0, F.col("prob")).alias("threshold"), point(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), point(F.try_divide(F.col("tp"), F.col("pos"))).alias("recall"))
 
 
 def consistency_checks(long: DataFrame) -> DataFrame:
@@ -197,34 +203,78 @@ def consistency_checks(long: DataFrame) -> DataFrame:
     return out.unionByName(few).unionByName(perfect)
 
 
-def bootstrap(long: DataFrame, n: int = 2000, seed: int = 42, per_task: int = 50) -> DataFrame:
-    """95 % intervals of macro, micro F1 and subset accuracy by resampling items; replicates are dealt over tasks.
-    The evaluated items, a human's annotations, are one broadcast matrix.  Under 5 items or 10 replicates: no rows."""
-    spark = long.sparkSession
-    wide = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("class", "y", "pred"))).alias("v")).orderBy("id")
-    rows = wide.select(F.transform("v", lambda x: x.y).alias("y"), F.transform("v", lambda x: x.pred).alias("p")).collect()
-    schema = "metric string, lower double, upper double"
-    if len(rows) < 5 or n < 10:
-        return spark.createDataFrame([], schema)
-    data = spark.sparkContext.broadcast((np.array([r.y for r in rows]), np.array([r.p for r in rows])))
+# Poisson(1): a replicate counts an item as often as steps of the distribution lie at or below a 32-bit number.
+POISSON = [int(2**32 * math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(13)]
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values: multipliers of the 64-bit finaliser
+REPLICATE = 0x9E3779B97F4A7C15  # odd: what a replicate's number is multiplied by
+LEAST_VALID = 50  # replicates in which a figure must be defined for an interval
+
+
+def poisson_weights(items: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Weights of items (64-bit keys) in replicates 0..n-1, from a hash of item, replicate and seed: reruns agree, however
+    the items are dealt over tasks."""
+    x = items.astype(np.uint64)[:, None] + np.arange(seed, seed + n, dtype=np.uint64)[None] * np.uint64(REPLICATE)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    u = (x ^ (x >> np.uint64(31))) >> np.uint64(32)
+    return np.searchsorted(np.array(POISSON, np.uint64), u, side="right")
+
 
-    def f1(tp, fp, fn):
-        d = 2 * tp + fp + fn
-        return np.where(d > 0, 2 * tp / np.maximum(d, 1), 0.0)
+def bootstrap_counts(long: DataFrame, n: int, seed: int, classes: list[str]) -> DataFrame:
+    """replicate, items (weights of all), same (of items right in every class), tp, fp, fn (arrays by class)."""
+    k = len(classes)
+    key = F.col("id").cast("long") if dict(long.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("id")
+    place = F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))))
+    bit = lambda c: F.sum(F.col(c).cast("long") * F.pow(F.lit(2.0), place[F.col("class")]).cast("long"))
+    wide = long.groupBy(key.alias("key"), "id").agg(bit("y").alias("y"), bit("pred").alias("p"))
 
     def run(batches):
-        y, p = data.value
+        total = np.zeros((n, 2 + 3 * k), np.int64)
         for b in batches:
-            out = []
-            for i in b.id:
-                at = np.random.RandomState(seed + int(i)).randint(0, len(y), len(y))
-                a, q = y[at], p[at]
-                tp, fp, fn = (a & q).sum(0), ((1 - a) & q).sum(0), (a & (1 - q)).sum(0)
-                out += [("macro_f1", float(f1(tp, fp, fn).mean())), ("micro_f1", float(f1(tp.sum(), fp.sum(), fn.sum()))), ("subset_accuracy", float((a == q).all(1).mean()))]
-            yield pd.DataFrame(out, columns=["metric", "value"])
-
-    reps = spark.range(0, n, 1, max(1, min(n // per_task, 64))).mapInPandas(run, "metric string, value double")
-    return reps.groupBy("metric").agg(R4(F.percentile("value", F.lit(0.025))).alias("lower"), R4(F.percentile("value", F.lit(0.975))).alias("upper"))
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
+                cols = [part.column(c).to_numpy() for c in range(3)]
+                y, p = ((c[:, None] >> np.arange(k)) & 1 for c in cols[1:])
+                marks = np.concatenate((np.ones((len(y), 1)), (y == p).all(1, keepdims=True), y & p, (1 - y) & p, y & (1 - p)), axis=1)
+                total += (poisson_weights(cols[0], n, seed).T.astype(np.float64) @ marks).astype(np.int64)  # whole numbers far below 2**53
+        split = lambda a, z: pa.array(list(total[:, a:z]), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total[:, 0]), pa.array(total[:, 1]), *(split(2 + i * k, 2 + (i + 1) * k) for i in range(3))], names=["replicate", "items", "same", "tp", "fp", "fn"])
+
+    parts = wide.select("key", "y", "p").mapInArrow(run, "replicate long, items long, same long, tp array<long>, fp array<long>, fn array<long>")
+    sums = lambda c: F.array(*(F.sum(F.col(c)[i]) for i in range(k))).alias(c)
+    return parts.groupBy("replicate").agg(F.sum("items").alias("items"), F.sum("same").alias("same"), sums("tp"), sums("fp"), sums("fn"))
+
+
+def bootstrap(long: DataFrame, n: int = 2000, seed: int = 42, classes=CLASSES) -> DataFrame:
+    """95 % intervals (metric, class, valid, lower, upper) by a Poisson bootstrap of the items: macro and micro F1, exact match,
+    Hamming loss (class ``all``) and precision, recall and F1 of each class.
+
+    An item's weight in a replicate is hashed from both, so every task adds up its items' weighted counts for all replicates
+    and one aggregate of (tasks x replicates) rows gives the replicates' counts; items are neither collected nor copied.
+    Undefined ratios are 0 in the global figures.  A class's replicate counts for recall where it has positives, for
+    precision where anything is predicted, for F1 where either holds.  A figure with fewer than LEAST_VALID replicates has
+    null bounds; under 5 items or 10 replicates there are no rows."""
+    classes = list(classes)
+    if n < 10 or len(long.select("id").distinct().limit(5).collect()) < 5:
+        return long.sparkSession.createDataFrame([], "metric string, class string, valid long, lower double, upper double")
+    c = bootstrap_counts(long, n, seed, classes).filter("items > 0")
+    k, at = len(classes), lambda name, i: F.col(name)[i].cast("double")
+    f1 = lambda tp, fp, fn: F.try_divide(2 * tp, 2 * tp + fp + fn)
+    total = lambda name: sum((at(name, i) for i in range(1, k)), at(name, 0))
+    z = lambda x: F.coalesce(x, F.lit(0.0))
+    figures = [
+        ("macro_f1", "all", sum((z(f1(at("tp", i), at("fp", i), at("fn", i))) for i in range(k)), F.lit(0.0)) / k),
+        ("micro_f1", "all", z(f1(total("tp"), total("fp"), total("fn")))),
+        ("exact_match", "all", F.col("same") / F.col("items")),
+        ("hamming_loss", "all", (total("fp") + total("fn")) / (F.col("items") * k)),
+    ]
+    for i, name in enumerate(classes):
+        tp, fp, fn = at("tp", i), at("fp", i), at("fn", i)
+        figures += [("precision", name, F.try_divide(tp, tp + fp)), ("recall", name, F.try_divide(tp, tp + fn)), ("f1", name, f1(tp, fp, fn))]
+    rows = c.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(s).alias("class"), v.alias("value")) for m, s, v in figures))).alias("r")).select("r.*")
+    enough = F.count("value") >= LEAST_VALID
+    bound = lambda q, name: F.when(enough, R4(F.percentile("value", F.lit(q)))).alias(name)
+    return rows.groupBy("metric", "class").agg(F.count("value").alias("valid"), bound(0.025, "lower"), bound(0.975, "upper"))
 
 
 def long_form(items: DataFrame, y: str, pred: str, prob: str | None = None, classes=CLASSES) -> DataFrame:

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import numbered
 
-def global_rank(df: DataFrame, score: str, *ties: str, name: str = "rank", cells: int = 1000) -> DataFrame:
-    """Rank 1..n by score descending, ties by the columns given.  Scores fall into cells; each cell is ranked alone and
-    starts after the rows of the cells above it, whose counts are a small table."""
-    cell = F.floor(F.coalesce(F.col(score), F.lit(-2.0)) * cells)
-    rows = df.withColumn("_cell", cell)
-    counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_cell", F.coalesce(above, F.lit(0)).alias("_above"))
-    inner = F.row_number().over(Window.partitionBy("_cell").orderBy(F.col(score).desc_nulls_last(), *ties))
-    ranked = rows.withColumn("_inner", inner).join(counts, "_cell")
-    return ranked.withColumn(name, (F.col("_above") + F.col("_inner")).cast("long")).drop("_cell", "_inner", "_above")
+
+def global_rank(df: DataFrame, score: str, *ties: str, name: str = "rank") -> DataFrame:
+    """Rank 1..n by score descending (null last), ties by the columns given: places of a prefix scan, so equal scores spread
+    over tasks."""
+    return numbered(df, [F.col(score).desc_nulls_last(), *ties], name)
 
 
 def hash_order(key, seed: int = 42) -> Column:

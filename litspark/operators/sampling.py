@@ -20,11 +20,16 @@ def top_sample(df: DataFrame, n: int, score: str, key: str) -> DataFrame:
 
 
 def _stratified(df: DataFrame, stratum, n: int, each: int, key: str, seed: int) -> DataFrame:
-    """The first ``each`` rows of every stratum in hash order, then others in hash order until n."""
+    """The first ``each`` rows of every stratum in hash order, then others in hash order until n; keys are unique.
+
+    Both parts are bounded before anything is sorted: every task hands on ``each`` rows a stratum and its first n rows, as
+    the first n rows hold as many that are not picked as can be needed."""
     rows = df.withColumn("_stratum", stratum).withColumn("_h", hash_order(key, seed))
     nth = F.row_number().over(Window.partitionBy("_stratum").orderBy("_h", key))
-    rows = rows.withColumn("_rest", ~(F.col("_stratum").isNotNull() & (nth <= each)))
-    return rows.orderBy("_rest", "_h", key).limit(n).drop("_stratum", "_h", "_rest")
+    picked = rows.filter("_stratum is not null").withColumn("_nth", nth).filter(F.col("_nth") <= each).drop("_nth")
+    others = rows.orderBy("_h", key).limit(n).join(picked.select(key), key, "left_anti")
+    both = picked.withColumn("_rest", F.lit(False)).unionByName(others.withColumn("_rest", F.lit(True)))
+    return both.orderBy("_rest", "_h", key).limit(n).drop("_stratum", "_h", "_rest")
 
 
 def stratified_sample(df: DataFrame, n: int, score: str, key: str, seed: int = 42) -> DataFrame:

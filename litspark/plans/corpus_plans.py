@@ -55,12 +55,22 @@ def content_duplicates(spark, sf_dir):
     return d.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
 
 
-@query("""
-WITH h AS (SELECT sha256(text) AS h FROM documents), p AS (SELECT h[:3] AS slice, sha256(string_agg(h, '' ORDER BY h)) AS p, count(*) AS n FROM h GROUP BY 1)
-SELECT sha256(string_agg(p, '' ORDER BY slice)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS n FROM p
-""")
+SLICE_ROWS = 16
+
+
+def _tree(digits: int) -> str:
+    """SQL of the hash tree with prefixes of so many digits."""
+    level = f"(SELECT h[:{digits}] AS p, h AS k, h || ':' || n AS v FROM h)"
+    for d in range(digits, 0, -1):
+        level = f"(SELECT p[:{d - 1}] AS p, p AS k, sha256(string_agg(v, '' ORDER BY k)) AS v FROM {level} GROUP BY p)"
+    most, least = SLICE_ROWS * 16**digits, SLICE_ROWS * 16 ** (digits - 1) if digits else -1
+    return f"SELECT sha256(string_agg(v, '' ORDER BY k)) AS corpus_hash, (SELECT CAST(sum(n) AS BIGINT) FROM h) AS n FROM {level} WHERE (SELECT count(*) FROM h) BETWEEN {least + 1} AND {most} HAVING count(*) > 0"
+
+
+@query("WITH h AS (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1) " + " UNION ALL ".join(map(_tree, range(6))))
 def corpus_hash(spark, sf_dir):
-    return corpus.corpus_hash(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_sha256")))
+    """Leaves of 16 hashes, so that the tree has levels on small tables, too."""
+    return corpus.corpus_hash(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_sha256")), slice_rows=SLICE_ROWS)
 
 
 @query("""

@@ -121,7 +121,8 @@ def roc_auc(spark, sf_dir):
     return E.roc_auc(long_rows(spark, sf_dir))
 
 
-@query(STEPS + "SELECT class, prob AS threshold, round(tp / (tp + fp)::DOUBLE, 4) AS precision, round(tp / pos::DOUBLE, 4) AS recall FROM w WHERE pos > 0")
+@query(STEPS + """SELECT class, prob AS threshold, round(tp / (tp + fp)::DOUBLE, 4) AS precision, round(tp / pos::DOUBLE, 4) AS recall FROM w WHERE pos > 0
+UNION ALL SELECT DISTINCT class, CAST(NULL AS DOUBLE), 0::DOUBLE, 0::DOUBLE FROM w WHERE pos = 0""")
 def pr_curve(spark, sf_dir):
     return E.pr_curve(long_rows(spark, sf_dir))
 
@@ -166,6 +167,24 @@ def model_comparison(spark, sf_dir):
     return E.compare_models(found, gold(spark, sf_dir))
 
 
-@query()
+REPLICATES = 200
+_WRAP = "CAST(({0}::UHUGEINT * {1}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+_CI = ["SELECT 'macro_f1' AS metric, 'all' AS class, r, " + "(" + " + ".join(f"coalesce(2 * tp{i} / nullif(2 * tp{i} + fp{i} + fn{i}, 0)::DOUBLE, 0)" for i in range(5)) + ") / 5 AS v FROM c"]
+_SUM = lambda c: "(" + " + ".join(f"{c}{i}" for i in range(5)) + ")"
+_CI += [f"SELECT 'micro_f1', 'all', r, coalesce(2 * {_SUM('tp')} / nullif(2 * {_SUM('tp')} + {_SUM('fp')} + {_SUM('fn')}, 0)::DOUBLE, 0) FROM c", "SELECT 'exact_match', 'all', r, same / n::DOUBLE FROM c", f"SELECT 'hamming_loss', 'all', r, ({_SUM('fp')} + {_SUM('fn')}) / (5 * n)::DOUBLE FROM c"]
+for _i, _c in enumerate(CLASSES):
+    _CI += [f"SELECT 'precision', '{_c}', r, tp{_i} / nullif(tp{_i} + fp{_i}, 0)::DOUBLE FROM c", f"SELECT 'recall', '{_c}', r, tp{_i} / nullif(tp{_i} + fn{_i}, 0)::DOUBLE FROM c", f"SELECT 'f1', '{_c}', r, 2 * tp{_i} / nullif(2 * tp{_i} + fp{_i} + fn{_i}, 0)::DOUBLE FROM c"]
+_PLACE = [f"max(y) FILTER (class = '{c}') AS y{i}, max(pred) FILTER (class = '{c}') AS p{i}" for i, c in enumerate(CLASSES)]
+_COUNTS = ", ".join(f"coalesce(sum(w) FILTER (y{i} = 1 AND p{i} = 1), 0)::DOUBLE AS tp{i}, coalesce(sum(w) FILTER (y{i} = 0 AND p{i} = 1), 0)::DOUBLE AS fp{i}, coalesce(sum(w) FILTER (y{i} = 1 AND p{i} = 0), 0)::DOUBLE AS fn{i}" for i in range(5))
+
+
+@query(LONG + f""", wide AS (SELECT id, {", ".join(_PLACE)} FROM long GROUP BY id),
+x0 AS (SELECT wide.*, r, CAST((id::UHUGEINT + {_WRAP.format("(r + 42)", E.REPLICATE)}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM wide, range({REPLICATES}) t(r)),
+x1 AS (SELECT *, {_WRAP.format("xor(x, x >> 30)", E.MIX[0])} AS a FROM x0), x2 AS (SELECT *, {_WRAP.format("xor(a, a >> 27)", E.MIX[1])} AS b FROM x1),
+x3 AS (SELECT *, xor(b, b >> 31) >> 32 AS u FROM x2),
+x4 AS (SELECT *, {" + ".join(f"CAST(u >= {t} AS BIGINT)" for t in E.POISSON)} AS w FROM x3),
+c AS (SELECT r, sum(w) AS n, sum(w) FILTER ({" AND ".join(f"y{i} = p{i}" for i in range(5))}) AS same, {_COUNTS} FROM x4 GROUP BY r HAVING sum(w) > 0),
+v AS ({" UNION ALL ".join(_CI)})
+SELECT metric, class, count(v) AS valid, CASE WHEN count(v) >= 50 THEN round(quantile_cont(v, 0.025), 4) END AS lower, CASE WHEN count(v) >= 50 THEN round(quantile_cont(v, 0.975), 4) END AS upper FROM v GROUP BY ALL""")
 def bootstrap_ci(spark, sf_dir):
-    return E.bootstrap(long_rows(spark, sf_dir), 400)
+    return E.bootstrap(long_rows(spark, sf_dir), REPLICATES)

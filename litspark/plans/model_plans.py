@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
-from ..operators import classify, extract, index
+from ..operators import classify, extract, index, ivf
 from .registry import query, table
 from .search_plans import BASE, scored
 
@@ -103,6 +103,47 @@ def rag_query_filtered(spark, sf_dir):
     return out.select("faiss_id", "paragraph_id", "score", "rank")
 
 
+def _inverted(spark, sf_dir, metric):
+    from ..sources.shared import new_path
+
+    path = new_path(spark, "inverted")
+    ivf.build(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("faiss_id"), "embedding"), path, metric=metric)
+    return ivf.InvertedFile(spark, path, check=True)
+
+
+def _asked(spark, sf_dir, rest, of):
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % of == rest).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query()
+def ivf_search(spark, sf_dir):
+    """The approximate index over all vectors; probes are tuned on other queries; tests hold its recall against brute force."""
+    found = _inverted(spark, sf_dir, "cosine")
+    probes, _ = found.tune(_asked(spark, sf_dir, 25, 50), 10, 0.97)
+    return found.search(_asked(spark, sf_dir, 0, 50), 10, probes).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def ivf_exact_l2(spark, sf_dir):
+    """Exact Euclidean search: after a few cells only those that can hold a better vector."""
+    return _inverted(spark, sf_dir, "l2").search(_asked(spark, sf_dir, 0, 50), 10, 4, exact=True).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query(INDEX + """n AS (SELECT *, row_number() OVER (ORDER BY seq, paragraph_id) - 1 AS faiss_id FROM x),
+h AS (SELECT n.faiss_id, q.vec_id AS query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM n JOIN embeddings e ON e.vec_id = n.paragraph_id, embeddings q
+  WHERE q.vec_id % 100 = 57 AND list_contains(l, 'determinant')),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, faiss_id) AS INT) AS rank FROM h WHERE score >= 0.05 AND score <= 0.99) SELECT query_id, rank, faiss_id, score FROM k WHERE rank <= 10""")
+def ivf_filtered(spark, sf_dir):
+    """Filters on the index of refined paragraphs: classes and a range of scores, for several queries at once."""
+    from ..sources.shared import new_path
+
+    path = new_path(spark, "inverted")
+    ivf.build(_index(spark, sf_dir), path, config={"model": "given"})
+    found = ivf.InvertedFile(spark, path).search(_asked(spark, sf_dir, 57, 100), 10, 2, exact=True, classes=["2"], min_score=0.05, max_score=0.99)
+    return found.select("query_id", "rank", F.col("id").alias("faiss_id"), "score")
+
+
 @query()
 def logistic_ovr_predict(spark, sf_dir):
     """Trained one-vs-rest models; checked in tests against the optimum of the same objective."""
