@@ -98,7 +98,9 @@ def refine(sizes: DataFrame, turns: DataFrame, path: str) -> int:
         classes = spark.read.schema(NODE + ", node long, turn_hash binary").parquet(at)
         many = classes.filter("n_convs > 1").agg(F.sum("n_convs")).first()[0]
         if many:
-            members = materialize(_named(step, classes, ["node", "turn_hash"], max(1, many // n_parts(spark))), "members")
+            root = F.lit(classes.first().conv_id if not depth else None).cast("long").alias("node")  # the first class has all
+            named = _named(step, classes, ["node", "turn_hash"], max(1, many // n_parts(spark))) if depth else sizes.select("conv_id", root, "n_turns")
+            members = materialize(named, "members")
         if old is not None:
             discard(old)
         if not many:
