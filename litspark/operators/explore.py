@@ -26,30 +26,41 @@ def top_terms(paragraphs: DataFrame, n: int = 50) -> DataFrame:
     return t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
 
 
-def _units(paragraphs: DataFrame, level: str) -> DataFrame:
-    unit = "article_id" if level == "document" else "paragraph_id"
-    return paragraphs.select(F.col(unit).alias("unit"), F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
-
-
-def cooccurrence(paragraphs: DataFrame, level: str = "document", top_n: int = 30, minimum: int = 2) -> DataFrame:
-    """Edges (a < b, weight) between the top_n terms by document frequency: units that hold both, at least minimum."""
-    units = _units(paragraphs, level)
-    top = units.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(top_n)
-    # at most top_n terms a unit: its pairs are bounded and formed inside the row
-    sets = units.join(F.broadcast(top.select("term")), "term").groupBy("unit").agg(F.array_sort(F.collect_set("term")).alias("t"))
+def _frequent(paragraphs: DataFrame, level: str, n: int, one_row: bool) -> DataFrame:
+    """The n terms of greatest document frequency: term, weight.  Where a unit is one row its distinct terms are counted as
+    they are; only units of several rows need their (unit, term) pairs brought together."""
+    if one_row:
+        rows = paragraphs.select(F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    else:
+        unit = "article_id" if level == "document" else "paragraph_id"
+        rows = paragraphs.select(F.col(unit).alias("unit"), F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
+    return rows.groupBy("term").agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "term").limit(n)
+
+
+def cooccurrence(paragraphs: DataFrame, level: str = "document", top_n: int = 30, minimum: int = 2, one_row: bool | None = None) -> DataFrame:
+    """Edges (a < b, weight) between the top_n terms by document frequency: units that hold both, at least minimum.
+
+    The top terms are collected and each row keeps its own of them before anything is exploded or moved.  one_row: whether a
+    unit is one row; by default paragraphs are and documents are not."""
+    one_row = level != "document" if one_row is None else one_row
+    top = [r.term for r in _frequent(paragraphs, level, top_n, one_row).collect()]  # top_n terms
+    held = F.array_intersect(tokens("text"), F.array(*map(F.lit, top)).cast("array<string>"))
+    sets = paragraphs.select(F.array_sort(held).alias("t"), *([] if one_row else [F.col("article_id" if level == "document" else "paragraph_id").alias("unit")]))
+    if not one_row:
+        sets = sets.select("unit", F.explode("t").alias("term")).groupBy("unit").agg(F.array_sort(F.collect_set("term")).alias("t"))  # at most top_n a unit
     pairs = F.flatten(F.transform("t", lambda x: F.transform(F.filter("t", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    edges = sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
+    edges = sets.filter(F.size("t") > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
     return edges.filter(F.col("weight") >= minimum)
 
 
-def cooccurrence_nodes(paragraphs: DataFrame, level: str = "document", top_n: int = 30) -> DataFrame:
-    return _units(paragraphs, level).groupBy("term").agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "term").limit(top_n)
+def cooccurrence_nodes(paragraphs: DataFrame, level: str = "document", top_n: int = 30, one_row: bool | None = None) -> DataFrame:
+    return _frequent(paragraphs, level, top_n, level != "document" if one_row is None else one_row)
 
 
-def cooccurrence_matrix(paragraphs: DataFrame, level: str = "document", top_n: int = 30) -> DataFrame:
+def cooccurrence_matrix(paragraphs: DataFrame, level: str = "document", top_n: int = 30, one_row: bool | None = None) -> DataFrame:
     """Symmetric matrix with a zero diagonal, one row and one column per term."""
-    edges = cooccurrence(paragraphs, level, top_n, 1)
-    terms = [r.term for r in cooccurrence_nodes(paragraphs, level, top_n).collect()]
+    edges = cooccurrence(paragraphs, level, top_n, 1, one_row)
+    terms = [r.term for r in cooccurrence_nodes(paragraphs, level, top_n, one_row).collect()]
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     nodes = paragraphs.sparkSession.createDataFrame([(t,) for t in terms], "a string")
     out = nodes.join(both, "a", "left").groupBy("a").pivot("b", terms).agg(F.sum("weight"))

@@ -116,8 +116,10 @@ def mock_answers(df: DataFrame) -> DataFrame:
 
 
 def _ask(todo: DataFrame, provider: Callable[[str], str], rpm: float | None, workers: int) -> DataFrame:
-    """todo with the provider's answer in raw.  A rate limit is dealt over the workers, each asking at its share of the
-    pace."""
+    """todo with the provider's answer in raw; rows that have a raw answer keep it.  A rate limit is dealt over the workers,
+    each asking at its share of the pace."""
+    if "raw" not in todo.columns:
+        todo = todo.withColumn("raw", F.lit(None).cast("string"))
     todo = todo.repartition(workers) if rpm else todo
     pause = min_interval(rpm)
 
@@ -127,7 +129,10 @@ def _ask(todo: DataFrame, provider: Callable[[str], str], rpm: float | None, wor
         following = time.monotonic() + pause * (TaskContext.get().partitionId() % workers)
         for b in batches:
             raws = []
-            for text in b.text:
+            for text, have in zip(b["text"], b["raw"]):
+                if have is not None:
+                    raws.append(have)
+                    continue
                 if pause:
                     time.sleep(max(0.0, following - time.monotonic()))
                     following = max(following, time.monotonic()) + pause * workers
@@ -137,45 +142,76 @@ def _ask(todo: DataFrame, provider: Callable[[str], str], rpm: float | None, wor
                     raws.append(None)
             yield b.assign(raw=pd.Series(raws, index=b.index, dtype=object))
 
-    return todo.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema) + ", raw string")
+    return todo.mapInPandas(run, todo.schema)
 
 
 def _checked(answered: DataFrame) -> DataFrame:
     return parse(answered).withColumn("evidence_valid", evidence_valid(F.col("text"), F.col("evidence")))
 
 
-def cached_answers(df: DataFrame, cache: DataFrame) -> DataFrame:
-    """Rows with a successful cached result, with its raw answer."""
+def _with_cached(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """df with the raw answer of a successful cached result, null without one: one join."""
     known = cache.filter("schema_valid").groupBy("cache_key").agg(F.min("raw").alias("raw"))
-    return df.join(known, "cache_key").select(*df.columns, "raw")
+    return df.drop("raw").join(known, "cache_key", "left").select(*(c for c in df.columns if c != "raw"), "raw")
 
 
 def extract(df: DataFrame, provider: Callable[[str], str] = mock_provider, rpm: float | None = None, cache: DataFrame | None = None, workers: int = 4) -> DataFrame:
     """One row for each of df: a cached answer where there is a successful one, else the provider's.  With a rate limit
     so many workers share its pace.  A failed request leaves a null answer, which does not count as cached."""
-    if cache is None:
-        return _checked(_ask(df, provider, rpm, workers))
-    asked = _ask(misses(df, cache).select(*df.columns), provider, rpm, workers)
-    return _checked(asked.unionByName(cached_answers(df, cache)))
+    return _checked(_ask(df if cache is None else _with_cached(df, cache), provider, rpm, workers))
 
 
 def extract_to(df: DataFrame, path: str, provider: Callable[[str], str] = mock_provider, rpm: float | None = None, steps: int = 10, workers: int = 4) -> DataFrame:
     """extract() of df (with cache_key) by steps, each added to the table at path when it is done: a call that was cut
-    short goes on after its last whole step.  Equal keys are asked once.  Returns df's rows with their answers."""
+    short goes on after its last whole step.  Equal keys are asked once.  Returns df's rows with their answers.
+
+    What is to be asked is found by one pass over df and one join with the answers so far, and written once, by step."""
     from ..sources.readers import path_exists
 
     spark = df.sparkSession
-    answers = f"{path}/answers"
+    answers, todo = f"{path}/answers", f"{path}/todo"
+    keys = df.groupBy("cache_key").agg(F.min("text").alias("text"))
+    if path_exists(spark, answers):
+        keys = misses(keys, spark.read.parquet(answers)).select("cache_key", "text")
+    keys.withColumn("step", F.pmod(F.xxhash64("cache_key"), F.lit(steps)).cast("int")).write.mode("overwrite").partitionBy("step").parquet(todo)
+    asked = spark.read.schema("cache_key string, text string, step int").parquet(todo)
     for step in range(steps):
-        part = df.filter(F.pmod(F.xxhash64("cache_key"), F.lit(steps)) == step)
-        keys = part.groupBy("cache_key").agg(F.min("text").alias("text"))
-        if path_exists(spark, answers):
-            keys = misses(keys, spark.read.parquet(answers)).select("cache_key", "text")
-        _checked(_ask(keys, provider, rpm, workers)).write.mode("append").parquet(answers)
+        part = asked.filter(F.col("step") == step).drop("step")
+        if not part.isEmpty():
+            _checked(_ask(part, provider, rpm, workers)).write.mode("append").parquet(answers)
+    if not path_exists(spark, answers):
+        _checked(_ask(keys.limit(0), provider, None, workers)).write.parquet(answers)
     return extract_cached(df, spark.read.parquet(answers))
 
 
+def run_statistics(results: DataFrame, run_id: str, model: str, rpm: float | None = None, seconds: float = 0.0) -> dict:
+    """A run's figures for its statistics file; an empty run has none.  Rates are per cent, rounded to two places."""
+    good, all_of = F.size(valid_snippets(F.col("text"), F.col("evidence"))), F.size(snippets(F.col("evidence")))
+    r = results.agg(
+        F.count("*").alias("n"), F.count_if("json_valid").alias("json"), F.count_if("schema_valid").alias("schema"), F.coalesce(F.sum(all_of), F.lit(0)).alias("shown"),
+        F.coalesce(F.sum(good), F.lit(0)).alias("good"), F.count_if((all_of > 0) & (all_of == good)).alias("paragraphs"),
+    ).first()
+    if not r.n:
+        return {}
+    pct = lambda a, b: round(100.0 * a / b, 2) if b else 0.0
+    return {
+        "run_id": run_id, "llm_model": model, "processed_paragraphs": r.n, "json_valid_count": r.json, "json_valid_pct": pct(r.json, r.n), "schema_valid_count": r.schema,
+        "schema_valid_pct": pct(r.schema, r.n), "total_evidences_evaluated": r.shown, "valid_evidences_count": r.good, "evidence_validation_rate_evr": pct(r.good, r.shown),
+        "paragraphs_with_valid_evidence": r.paragraphs, "paragraph_validation_rate_pvr": pct(r.paragraphs, r.n), "total_processing_time_sec": round(seconds, 2),
+        "total_wait_time_sec": round(min_interval(rpm) * max(0, r.n - 1), 2), "rpm_configured": rpm,
+    }
+
+
+def save_statistics(results: DataFrame, path: str, run_id: str, model: str, rpm: float | None = None, seconds: float = 0.0) -> dict:
+    """Write run_statistics() as JSON at path and return them; nothing is written of an empty run."""
+    from ..sources.writers import save_manifest
+
+    stats = run_statistics(results, run_id, model, rpm, seconds)
+    if stats:
+        save_manifest(results.sparkSession, path, stats)
+    return stats
+
+
 def extract_cached(df: DataFrame, cache: DataFrame) -> DataFrame:
     """df with cached answers only; null where the last attempt failed."""
-    known = cache.filter("schema_valid").groupBy("cache_key").agg(F.min("raw").alias("raw"))
-    return _checked(df.join(known, "cache_key", "left").select(*df.columns, "raw"))
+    return _checked(_with_cached(df, cache))

@@ -34,7 +34,8 @@ def build(corpus: DataFrame, vectors: DataFrame, order: str = "seq") -> DataFram
     """Rows of the index: refined paragraphs joined with their first vector, numbered 0..n-1; paragraphs without a vector
     are left out."""
     refined = filter_and_deduplicate(corpus, order)
-    first = vectors.groupBy("paragraph_id").agg(F.min_by("embedding", "vec_seq").alias("embedding")) if "vec_seq" in vectors.columns else vectors.dropDuplicates(["paragraph_id"])
+    seq = "vec_seq" if "vec_seq" in vectors.columns else "embedding"  # without an order the least vector, so that reruns agree
+    first = vectors.groupBy("paragraph_id").agg(F.min_by("embedding", seq).alias("embedding"))
     rows = refined.drop("embedding").join(first.select("paragraph_id", "embedding"), "paragraph_id")
     return number_rows(class_flags(rows), "faiss_id", order, "paragraph_id")
 

@@ -146,7 +146,7 @@ def _co_sql(unit, minimum):
 
 @query(_co_sql("document", 2))
 def cooccurrence_document(spark, sf_dir):
-    return explore.cooccurrence(docs(spark, sf_dir))
+    return explore.cooccurrence(docs(spark, sf_dir), one_row=True)  # documents has one row an article
 
 
 @query(_co_sql("line", 5))
@@ -157,7 +157,7 @@ def cooccurrence_line(spark, sf_dir):
 
 @query(f"SELECT term, count(*) AS weight FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1 ORDER BY weight DESC, term LIMIT 30")
 def cooccurrence_nodes(spark, sf_dir):
-    return explore.cooccurrence_nodes(docs(spark, sf_dir))
+    return explore.cooccurrence_nodes(docs(spark, sf_dir), one_row=True)
 
 
 @query("SELECT doc_id, sha256(text) AS sha, 'SLD-' || upper(sha256(text)[:8]) AS article_id, sha256(concat_ws('||', text, 'mock', 'v2', '{\"seed\": 42}')) AS cache_key FROM documents")

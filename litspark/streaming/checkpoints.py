@@ -71,25 +71,26 @@ class ItemMachine(StatefulProcessor):
         pass
 
 
-def item_changes(events: DataFrame, attempts: int = 3, stall: str = "1 hour") -> DataFrame:
+def item_changes(events: DataFrame, attempts: int = 3, stall: str = "1 hour", late: str = "1 day") -> DataFrame:
     """The changes of every item of a stream of events; stall: how long after an active item's last event, as event time
-    passes, it counts as interrupted."""
+    passes, it counts as interrupted.  Event time is the newest event's, less ``late``: what the source may be out of order
+    by.  An event that comes later than that is left out by Spark (and counted in the query's progress)."""
     rows = events.selectExpr(
         "cast(operation_id as string) operation_id", "cast(item_key as string) item_key", "case when event in ('ok', 'error') then event else 'started' end event",
         "cast(at as timestamp) at", "cast(coalesce(seq, 0) as long) seq", "cast(coalesce(message, '') as string) message",
     ).filter("operation_id is not null and item_key is not null and at is not null")
-    rows = rows.withWatermark("at", "0 seconds")
+    rows = rows.withWatermark("at", late)
     return rows.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=ItemMachine(attempts, int(pd.Timedelta(stall).total_seconds() * 1000)), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime"
     )
 
 
-def track(spark: SparkSession, events: DataFrame, target: str, checkpoint: str, attempts: int = 3, stall: str = "1 hour") -> None:
+def track(spark: SparkSession, events: DataFrame, target: str, checkpoint: str, attempts: int = 3, stall: str = "1 hour", late: str = "1 day") -> None:
     """Work off what is there of a stream of events and append the changes to target; calls go on where the last one,
     finished or killed, stopped."""
     if spark.conf.get(PROVIDER, None) != ROCKSDB:
         spark.conf.set(PROVIDER, ROCKSDB)  # needed by transformWithState; a query keeps the one it began with
-    query = item_changes(events, attempts, stall).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    query = item_changes(events, attempts, stall, late).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     query.trigger(availableNow=True).start(target).awaitTermination()
 
 
