@@ -53,21 +53,20 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of three equal bytes or more as repeats, what lies between them as literals, 128 bytes at a time."""
+    x, out, done = np.frombuffer(data, np.uint8), bytearray(), 0
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(x))
+    long = ends - starts >= 3
+    for start, end in (*zip(starts[long].tolist(), ends[long].tolist()), (len(x), len(x))):
+        for i in range(done, start, 128):
+            literal = data[i : min(i + 128, start)]
+            out.append(len(literal) - 1)
+            out += literal
+        for i in range(start, end, 128):
+            n = min(128, end - i)
+            out += bytes((257 - n, data[i])) if n > 1 else bytes((0, data[i]))
+        done = end
     return bytes(out)
 
 
@@ -301,9 +300,22 @@ def payload(raw: bytes, row: int = ROW) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // row)) * row, b" ")
 
 
+STORED = (LZW, PACKBITS, PACKBITS, PLAIN, PLAIN, *[DEFLATE] * 11)  # sixteenths; LZW costs most, a table look-up a byte
+
+
+def layout(data: bytes) -> dict:
+    """How a payload is stored, by its hash: codec, predictor, byte order, and strips or tiles."""
+    h = hashlib.sha256(data).digest()
+    return {"compression": STORED[h[1] & 15], "predictor": 1 + (h[0] & 1), "order": "<>"[h[0] >> 1 & 1], "tiled": bool(h[0] >> 2 & 1)}
+
+
 def store_text(raw: bytes, page_rows: int = PAGE_ROWS) -> bytes:
-    samples = np.frombuffer(payload(raw), np.uint8).reshape(-1, ROW)
-    return write_tiff([samples[y : y + page_rows] for y in range(0, len(samples), page_rows)])
+    """A text's payload as a TIFF.  Equal texts have equal media; together texts use every codec, predictor, byte order and
+    layout that can store bytes."""
+    data = payload(raw)
+    samples, how = np.frombuffer(data, np.uint8).reshape(-1, ROW), layout(data)
+    tile = 64 if how.pop("tiled") and len(samples) >= 64 else 0  # below, tiles would be mostly padding
+    return write_tiff([samples[y : y + page_rows] for y in range(0, len(samples), page_rows)], tile=tile, **how)
 
 
 # ---------------------------------------------------------------- DataFrame operators
@@ -365,18 +377,22 @@ def decode_pages(media: DataFrame) -> DataFrame:
 
 def digest(pages: DataFrame) -> DataFrame:
     """Features of the payloads read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature.  Expects decode_pages' row order."""
+    media_sha256, feature.  A medium's rows must follow each other by page, as decode_pages gives them; rows that don't,
+    say after a shuffle, are an error."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
-        held = []
+        held, at, now = [], -1, None
         for b in batches:
             out = []
             for doc_id, n_bytes, media_bytes, sha, page, last, width, height, _, samples, error in zip(*(b.column(i).to_pylist() for i in range(11))):
+                if held and doc_id != now or page is not None and page <= at:
+                    raise ValueError(f"rows of medium {now if held else doc_id} don't follow each other")
                 held.append(samples or b"")
+                now, at = doc_id, at if page is None else page
                 if last:
                     data = b"".join(held)
-                    held = []
+                    held, at = [], -1
                     x = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
                     share = x[x > 0] / max(1, len(data))
                     bits = -float((share * np.log2(share)).sum()) if len(data) else 0.0
@@ -386,5 +402,7 @@ def digest(pages: DataFrame) -> DataFrame:
                     out.append((doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), media_bytes, sha, feature))
             if out:
                 yield record(schema, *zip(*out))
+        if held:
+            raise ValueError(f"rows of medium {now} don't follow each other")
 
     return pages.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

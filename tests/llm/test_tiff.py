@@ -89,3 +89,47 @@ def test_impossible_dimensions_are_an_error_row():
         (row,) = tiff.media_pages(1, 4, directory({**base, **change}))
         assert row[4] is None and row[-1] == "dimensions beyond the data"
     assert len(tiff._decode(__import__("zlib").compress(b"x" * 50_000_000), tiff.DEFLATE)) == 50_000_000
+
+
+def test_bytes_made_elsewhere():
+    """Examples of the formats' descriptions, and a whole big-endian file put together by hand."""
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22" + "AA" * 10)
+    file = bytes.fromhex(
+        "4D4D002A0000000C" "FE07 0001"  # order, 42, directory at 12; PackBits: three 7s; padding
+        "0009" "01000003000000010003 0000" "01010003000000010001 0000" "01020003000000010008 0000" "01030003000000018005 0000" "01060003000000010001 0000"
+        "01110004000000010000 0008" "01150003000000010001 0000" "01160003000000010001 0000" "01170004000000010000 0002" "00000000"
+    )
+    ((_, _, _, _, page, last, width, height, channels, samples, error),) = tiff.media_pages(1, 3, file)
+    assert (page, last, width, height, channels, bytes(samples), error) == (0, True, 3, 1, 1, bytes([7, 7, 7]), None)
+
+
+def test_every_way_of_storing_is_used():
+    """By content: over some texts each codec, predictor, byte order and layout occurs, and all come back."""
+    seen = set()
+    for i in range(120):
+        raw = f"text {i} ".encode() * (1 + i * 20)
+        media, how = tiff.store_text(raw), tiff.layout(tiff.payload(raw))
+        seen |= set(how.items())
+        rows = tiff.media_pages(1, len(raw), media)
+        assert b"".join(r[9] for r in rows) == tiff.payload(raw) and rows[-1][-1] is None
+        assert media == tiff.store_text(raw)
+    assert seen == {("compression", c) for c in tiff.STORED} | {("predictor", 1), ("predictor", 2), ("order", "<"), ("order", ">"), ("tiled", True), ("tiled", False)}
+
+
+def test_feature(spark):
+    df = spark.createDataFrame([(1, "ab" * 96), (2, "x" * 192 * 1025)], "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in tiff.digest(tiff.decode_pages(tiff.store_texts(df))).collect()}
+    assert got == {1: "pages=1;rows=1;mean=97.5000;entropy=1.0000", 2: "pages=2;rows=1025;mean=120.0000;entropy=-0.0000"} or got[2].startswith("pages=2;rows=1025;mean=120.0000;entropy=")
+    bad = tiff.digest(tiff.decode_pages(spark.createDataFrame([(3, 5, bytearray(b"II*"))], "doc_id long, n_bytes long, media binary"))).first()
+    assert bad.payload_bytes == 0 and ";error=" in bad.feature
+
+
+def test_rows_out_of_order_are_an_error(spark):
+    df = spark.createDataFrame([(i, "long " * 90_000) for i in range(3)], "doc_id long, text string").coalesce(1)
+    pages = tiff.decode_pages(tiff.store_texts(df))
+    assert pages.count() == 9
+    with pytest.raises(Exception, match="follow each other"):
+        tiff.digest(pages.orderBy("page", "doc_id").coalesce(1)).collect()
+    with pytest.raises(Exception, match="follow each other"):
+        tiff.digest(pages.filter("not last")).collect()
