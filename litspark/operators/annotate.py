@@ -73,6 +73,27 @@ def validate_csv(rows: DataFrame) -> DataFrame:
     return rows.withColumn("classes", F.array_sort(F.array_distinct(parts))).withColumn("status", status_of(F.col("classes")))
 
 
+def import_file(spark, path: str) -> DataFrame:
+    """An annotation file by its extension: .jsonl (flags or legacy labels), .csv (labels as text), anything else a filled-in
+    form -> paragraph_id, annotator_id, text_hash, classes, note, status.  Bad lines of JSON are left out."""
+    ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    if ext == "jsonl":
+        flags = ", ".join(f"label_{i} boolean" for i in range(6))
+        rows = spark.read.schema(f"paragraph_id string, annotator_id string, annotator string, text_hash string, text_sha256 string, {flags}, labels array<int>, annotation_status string, annotation_note string, annotation_notes string").option("mode", "DROPMALFORMED").json(path)
+        rows = validate_flags(rows).withColumns({"annotator_id": F.coalesce("annotator_id", "annotator"), "text_hash": F.coalesce("text_hash", "text_sha256"), "note": F.coalesce("annotation_note", "annotation_notes")})
+    elif ext == "csv":
+        rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+        for c in ("annotator_id", "text_hash", "note", "labels"):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+        rows = validate_csv(rows)
+    else:
+        rows = parse_form(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+        rows = rows.withColumn("classes", F.col("checked_classes")).withColumn("annotator_id", F.lit(None).cast("string"))
+    rows = rows.filter(text("paragraph_id") != "")
+    return rows.select("paragraph_id", text("annotator_id").alias("annotator_id"), text("text_hash").alias("text_hash"), "classes", text("note").alias("note"), "status")
+
+
 def check_import(rows: DataFrame, corpus: DataFrame, existing: DataFrame) -> DataFrame:
     """Import rows (paragraph_id, annotator_id, text_hash, ..) against the corpus and what is already annotated."""
     known = corpus.groupBy("paragraph_id").agg(F.first("text_sha256").alias("_sha"))

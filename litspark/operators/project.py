@@ -13,6 +13,34 @@ STAGES = ("articles", "segments", "vectors", "search", "annotations", "classific
 LEGACY = ("corpus.jsonl", "paragraphs/corpus.jsonl", "manifests/ingestion_manifest.jsonl", "run_config.json")
 
 
+# The folders of a run and the settings that an analysis starts with.
+FOLDERS = ("config", "markdown", "metadata", "paragraphs", "interim", "embeddings", "semantic_search", "annotations", "models", "classifications", "corpus_final", "llm", "reports", "logs")
+DEFAULTS = {
+    "batch_size": 32, "min_words": 8, "min_characters": 40, "max_characters": 500, "long_text_strategy": "chunk", "chunk_overlap": 100, "chunk_aggregation": "maximum",
+    "ref_confidence_threshold": 0.60, "top_k": 20, "similarity_threshold": 0.50, "aggregation_strategy": "maximum", "minimum_recall_target": 0.90, "random_seed": 42, "semantic_batch_size": 8192,
+}
+
+
+def run_id(now: datetime | None = None) -> str:
+    return f"run_{now or datetime.now():%Y_%m_%d_%H%M%S}"
+
+
+def run_folders(spark: SparkSession, base: str, run: str) -> dict[str, str]:
+    """Make and name a run's folders."""
+    out = {"root": f"{base.rstrip('/')}/{run}"} | {f: f"{base.rstrip('/')}/{run}/{f}" for f in FOLDERS} | {"processed": f"{base.rstrip('/')}/{run}/paragraphs"}
+    for path in out.values():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    return out
+
+
+def default_config(**changed) -> dict:
+    """The settings with some of them changed; unknown names are an error."""
+    if unknown := set(changed) - set(DEFAULTS):
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    return DEFAULTS | changed
+
+
 class Project:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

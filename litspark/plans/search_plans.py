@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import sampling, search
+from ..operators import sampling, search, views
 from .registry import query, table
 
 ANCHORS = (3, 57, 111, 222, 333)
@@ -210,3 +210,23 @@ def vector_products(spark, sf_dir):
     one = anchors(spark, sf_dir).filter("pos = 0").select(F.col("embedding").alias("v"))
     e = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(one))  # one row
     return e.select(F.col("vec_id").alias("paragraph_id"), F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2"), F.round(dot(F.col("embedding"), F.col("v")), 4).alias("dot"))
+
+
+@query(MAX.rstrip().rstrip(",") + """, v AS (SELECT article_id, paragraph_id, aggregate_score AS semantic_score, aggregate_score >= 0.2 AS selected FROM g)
+SELECT * FROM v WHERE semantic_score >= 0.05 AND selected = false ORDER BY semantic_score DESC, article_id, paragraph_id LIMIT 100""")
+def candidate_view(spark, sf_dir):
+    """The best rows that a threshold of 0.2 leaves out: a filtered view of a hundred rows."""
+    rows = scored(spark, sf_dir).select("article_id", "paragraph_id", F.col("aggregate_score").alias("semantic_score"), "selected")
+    return views.view(rows.filter(~F.col("selected")), min_score=0.05, show=100)
+
+
+@query(MAX.rstrip().rstrip(",") + """, r AS (SELECT CASE WHEN paragraph_id % 3 = 0 THEN -1 - article_id ELSE article_id END AS article_id, paragraph_id, aggregate_score FROM g WHERE paragraph_id % 5 <> 0),
+c AS (SELECT vec_id // 10 AS article_id, vec_id AS paragraph_id FROM embeddings)
+SELECT c.article_id, c.paragraph_id, coalesce(o.aggregate_score, f.aggregate_score, 0.0::DOUBLE) AS semantic_score FROM c LEFT JOIN r o ON o.article_id = c.article_id AND o.paragraph_id = c.paragraph_id LEFT JOIN r f ON f.paragraph_id = c.paragraph_id""")
+def corpus_scores(spark, sf_dir):
+    """Scores of a search brought to the corpus: by article and paragraph, else by paragraph (a third lies under another
+    article), else 0 (a fifth was not searched)."""
+    found = scored(spark, sf_dir).filter("paragraph_id % 5 <> 0")
+    found = found.withColumn("article_id", F.when(F.col("paragraph_id") % 3 == 0, -1 - F.col("article_id")).otherwise(F.col("article_id")))
+    corpus = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("article_id"), F.col("vec_id").alias("paragraph_id"))
+    return search.attach_scores(corpus, found)

@@ -98,7 +98,7 @@ def joined_text(pages) -> Column:
 
 def markdown_files(spark: SparkSession, folder: str, exclude: tuple = ("README.md", "index_report.md")) -> DataFrame:
     """article_id (file stem), text of the Markdown files of a folder."""
-    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder).select("value", F.col("_metadata.file_name").alias("name"))
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     rows = rows.filter(~F.col("name").isin(*exclude))
     return rows.select(F.regexp_replace("name", "\\.md$", "").alias("article_id"), F.col("value").alias("text"))
 
