@@ -59,6 +59,31 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, at["BPE encoding"]))
 
 
+def test_quality_stage_with_labels(spark):
+    """On the given tables the classifier learns: good documents stay whole, most bad ones go."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = pipeline.quality_classifier(spark, docs, sf)
+    assert kept.columns == list(pipeline.COLUMNS)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = labels.join(kept.select("doc_id", F.lit(1).alias("stays")), "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count("stays").alias("stay")).collect()
+    by = {r.quality: r for r in rows}
+    assert by[1].stay >= 0.98 * by[1].n and by[0].stay <= 0.05 * by[0].n
+    assert kept.join(docs, list(pipeline.COLUMNS), "left_anti").count() == 0  # what stays is unchanged
+
+
+def test_extra_and_clashing_columns(spark, tmp_path):
+    """Columns of the stages' own names in the documents change nothing."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long")
+    more = df.selectExpr("*", "1 as size", "2 as taken", "3 as component_id", "4 as raw", "5 as score", "6 as n_words", "7 as nth")
+    for name, stage in pipeline.STAGES[:4]:
+        a, b = (sorted(map(tuple, stage(spark, d, str(tmp_path)).collect()), key=repr) for d in (df, more))
+        assert a == b, name
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
