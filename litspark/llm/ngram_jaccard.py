@@ -10,8 +10,10 @@ prefix filtering over inverted lists, with these relations between sets:
   common pivot bounds theirs from both sides, which proves or excludes most links without reading either set.
 
 Shingles are ordered by a count sketch of all documents (any fixed order is exact; rare first keeps the lists short).
-Links are decided on whole sets of 64-bit shingle hashes, so a component is exact.  No list is expanded into all its
-pairs: pairs in one component are never formed, and later rounds only read lists longer than what is settled.  A list
+Links are decided on whole sets of 64-bit shingle hashes, so a component is exact.  Only class representatives are in
+lists: a bitmap finds most others before they are moved, a semi-join all.  Pairs in one component are never formed, and
+later rounds only read lists longer than what is settled; documents made of the same few stock passages still give pairs that
+only their parity bitmaps exclude.  A list
 longer than a task's fair share is dealt by salted doc_ids to several; in the end the sets of its lesser components visit
 each of the parts, so no pair is lost.
 
@@ -165,13 +167,14 @@ def prefix_entries(texts, k, threshold, bits, levels, wanted: CellFilter) -> Dat
     return texts.mapInArrow(run, ENTRY_DDL)
 
 
-def salted(entries: DataFrame, hot_list: int) -> tuple[DataFrame, list]:
-    """entries with their list: the token, or one of a hot token's salted parts; and these parts: list, token, their
-    number.  Both are fewer than a few per shuffle partition."""
+def salted(entries: DataFrame, classes: DataFrame, hot_list: int) -> tuple[DataFrame, list]:
+    """entries of class representatives with their list: the token, or one of a hot token's salted parts; and these parts:
+    list, token, their number.  Both are fewer than a few per shuffle partition.  The bitmap of representatives lets others
+    pass, most of them once it is full; the semi-join leaves exactly the representatives."""
     spark = entries.sparkSession
     limit = max(hot_list, -(-entries.count() // n_parts(spark)))
     found = entries.filter("doc_id is null").groupBy("token").agg(F.sum("n").alias("c")).filter(F.col("c") > limit)
-    entries = entries.filter("doc_id is not null")
+    entries = entries.filter("doc_id is not null").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select(*ENTRY.names)
     found = [(r.token, int(-(-2 * r.c // limit))) for r in found.collect()]
     if not found:
         return entries.withColumnRenamed("token", "list"), []
@@ -280,8 +283,9 @@ def verify(pairs: DataFrame, folds: DataFrame, texts: DataFrame, k: int, thresho
     maybe = materialize(possible(pairs, folds, threshold), "maybe")
     if maybe.isEmpty():
         return maybe.select("a", "b", *(F.lit(0).alias(c) for c in ("na", "nb", "o")), F.lit(False).alias("linked"))
-    wanted = id_filter(maybe.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    sets = materialize(load_sets(texts, k, wanted), "elements")
+    wanted = maybe.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = load_sets(texts, k, id_filter(wanted)).join(wanted.distinct(), "doc_id", "left_semi")  # the bitmap lets others pass
+    sets = materialize(sets, "elements")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("elements").alias("s" + x))
     both = maybe.join(side("b"), "b").join(side("a"), "a")
     found = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o"))
@@ -395,7 +399,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD,
     classes = materialize(folds, "classes")
 
     entries = materialize(prefix_entries(texts, k, threshold, bits, levels, id_filter(classes.select("class_id"))), "entries")
-    index = materialize(inverted_lists(*salted(entries, hot_list), threshold), "index")
+    index = materialize(inverted_lists(*salted(entries, classes, hot_list), threshold), "index")
     discard(entries)
 
     # each set first joins the leader of most of its lists and its smallest one; the rounds below see to the rest

@@ -84,3 +84,28 @@ def test_components_by_star_rounds(spark, monkeypatch):
     monkeypatch.setattr(c, "LOCAL", 0)
     test_components_of_a_chain(spark)
     assert c.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_full_bitmaps_let_no_copy_into_the_lists(spark, monkeypatch):
+    """With bitmaps that pass every id, lists hold class representatives alone and the answers stay right."""
+    import numpy as np
+
+    class Full:
+        def probe(self):
+            return lambda cells: np.ones(len(cells), bool)
+
+    held, plain = [], nj.inverted_lists
+
+    def watched(*args):
+        rows = plain(*args)
+        held.extend(r.doc_id for r in rows.select("doc_id").distinct().collect())
+        return rows
+
+    monkeypatch.setattr(nj, "id_filter", lambda ids: Full())
+    monkeypatch.setattr(nj, "inverted_lists", watched)
+    base = " ".join(f"w{i}" for i in range(60))
+    near = " ".join(f"w{i}" for i in range(59)) + " end"
+    rows = [(i, base) for i in range(300)] + [(300 + i, near) for i in range(300)] + [(900, "some other words that stand for themselves here")]
+    got = nj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "component_id").collect())) == [(i, 0) for i in range(600)] + [(900, 900)]
+    assert set(held) == {0, 300}
