@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
 from ..operators import evaluate as E
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 from .search_plans import MAX, scored
 
 RESULTS = MAX + """
@@ -152,7 +152,13 @@ def evaluation_table(spark, sf_dir):
     return E.class_table(long_rows(spark, sf_dir)).select("class", "support", "precision", "average_precision", "roc_auc")
 
 
-@query()
+def _model_sql(name: str, vectors: str) -> str:
+    """Calibration and ranking of one model's vectors, as the two queries above state them."""
+    of = lambda sql: sql.replace("FROM embeddings", f"FROM (SELECT vec_id, {vectors} AS embedding, label FROM embeddings)")
+    return f"SELECT c.*, m.ndcg, '{name}' AS model FROM ({of(ORACLE_SQL['calibrate_threshold'])}) c, ({of(ORACLE_SQL['ir_ranking_metrics'])}) m"
+
+
+@query(_model_sql("full", "embedding") + " UNION ALL " + _model_sql("half", "embedding[1:32]"))
 def model_comparison(spark, sf_dir):
     """Two models' vectors (the given ones and their first half) on the same gold standard."""
     from ..operators import search

@@ -66,3 +66,12 @@ def test_steps_go_on_where_they_stopped(spark, tmp_path):
 def test_measure(spark):
     m = P.measure(spark.range(100))
     assert m["rows"] == 100 and m["seconds"] > 0
+
+
+def test_models_are_measured(spark):
+    from litspark.operators import evaluate
+
+    gold = spark.createDataFrame([("a", 1), ("b", 0)], "paragraph_id string, human_label int")
+    res = spark.createDataFrame([("a", 0.9, 1), ("b", 0.2, 2), ("c", 0.1, 3)], "paragraph_id string, aggregate_score double, rank int")
+    rows = {r.model: r for r in evaluate.benchmark_models({"x": res, "y": res.filter("rank < 3")}, gold).collect()}
+    assert (rows["x"].rows, rows["y"].rows) == (3, 2) and rows["x"].ndcg == 1.0 and rows["x"].rows_per_second > 0
