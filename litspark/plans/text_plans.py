@@ -100,13 +100,47 @@ def segment_lines(spark, sf_dir):
     return out.select("article_id", (F.col("segment_index_in_doc") + 1).cast("long").alias("p"), "text_sha256", F.col("char_count").cast("long").alias("char_count"))
 
 
-@query()
+_SPLIT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_ITEMS = f"list_transform({_SPLIT}, lambda x: {{'done': []::VARCHAR[], 'cur': [x], 'n': length(x)}})"
+_ALL = lambda state: f"list_append(({state}).done, array_to_string(({state}).cur, ' '))"
+_GREEDY = f"""list_reduce({_ITEMS}, lambda s, e: CASE WHEN s.n + e.n > 500 THEN {{'done': list_append(s.done, array_to_string(s.cur, ' ')), 'cur': e.cur, 'n': e.n}}
+  ELSE {{'done': s.done, 'cur': list_concat(s.cur, e.cur), 'n': s.n + e.n}} END)"""
+_TAIL = """list_reduce(list_prepend({'kept': []::VARCHAR[], 'n': 0::BIGINT, 'stop': false}, list_transform(list_reverse(s.cur), lambda y: {'kept': [y], 'n': length(y), 'stop': false})),
+  lambda a, b: CASE WHEN a.stop OR a.n + b.n > 100 THEN {'kept': a.kept, 'n': a.n, 'stop': true} ELSE {'kept': list_concat(b.kept, a.kept), 'n': a.n + b.n, 'stop': false} END)"""
+_OVERLAP = f"""list_reduce({_ITEMS}, lambda s, e: CASE WHEN s.n + e.n > 500 THEN {{'done': list_append(s.done, array_to_string(s.cur, ' ')), 'cur': list_concat(({_TAIL}).kept, e.cur), 'n': ({_TAIL}).n + e.n}}
+  ELSE {{'done': s.done, 'cur': list_concat(s.cur, e.cur), 'n': s.n + e.n}} END)"""
+
+
+def _blocks_sql(body: str, breaks: str) -> str:
+    """Blocks of lines between breaks, numbered in each article."""
+    return rf"""
+    WITH l AS (SELECT doc_id, n, trim(regexp_replace(raw, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS line
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM (SELECT doc_id, {body} AS t FROM documents))),
+    k AS (SELECT *, line = '' OR {breaks} AS brk FROM l),
+    b AS (SELECT *, sum(CAST(brk AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM k),
+    g AS (SELECT doc_id, block, string_agg(line, ' ' ORDER BY n) AS text, min(n) AS first FROM b WHERE NOT brk GROUP BY 1, 2),
+    w AS (SELECT *, len(regexp_extract_all(text, '[^\s\p{{Z}}]+')) AS words FROM g)"""
+
+
+@query(_blocks_sql("text", "regexp_matches(line, '^(---|<!--|#)')") + f""",
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS p FROM w WHERE words >= 5),
+c AS (SELECT doc_id, p, length(text) > 500 AS long, CASE WHEN length(text) > 500 THEN {_ALL(_GREEDY)} ELSE [text] END AS parts FROM p),
+u AS (SELECT doc_id, p, long, unnest(parts) AS text, generate_subscripts(parts, 1) AS c FROM c)
+SELECT doc_id || printf('_P%06d', p) || CASE WHEN long THEN printf('_S%02d', c) ELSE '' END AS paragraph_id, doc_id AS article_id,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, c) AS INT) AS paragraph_index, sha256(text) AS text_sha256, 'RAW' AS status FROM u""")
 def segment_chunks(spark, sf_dir):
     """Greedy chunks fold over sentences with a state; checked in tests against a plain statement of the rule."""
     return segment.plain_segments(docs(spark, sf_dir)).select("paragraph_id", "article_id", "paragraph_index", "text_sha256", "status")
 
 
-@query()
+@query(_blocks_sql("CASE WHEN starts_with(text, '---') AND len(string_split(text, '---')) >= 3 THEN array_to_string(list_slice(string_split(text, '---'), 3, NULL), '---') ELSE text END",
+  r"regexp_matches(line, '<!--\s*page:\s*\d+\s*-->') OR regexp_matches(line, '^#{1,6}\s+.+$')") + f""",
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS p, words < 8 OR length(text) < 40 AS short FROM w),
+c AS (SELECT doc_id, p, short, NOT short AND length(text) > 500 AS long, CASE WHEN NOT short AND length(text) > 500 THEN {_ALL(_OVERLAP)} ELSE [text] END AS parts FROM p),
+u AS (SELECT doc_id, p, short, long, len(parts) AS total, unnest(parts) AS text, generate_subscripts(parts, 1) AS c FROM c)
+SELECT doc_id || printf('_P%04d', p) || CASE WHEN long THEN printf('_C%02d', c) ELSE '' END AS segment_id, doc_id AS article_id, CASE WHEN short THEN 'excluded_short_fragment' ELSE 'valid_paragraph' END AS status,
+  long AS is_chunk, CASE WHEN long THEN CAST(c AS INT) END AS chunk_index, CASE WHEN long THEN CAST(total AS INT) END AS total_chunks, sha256(text) AS text_sha256,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, c) - 1 AS INT) AS segment_index_in_doc FROM u""")
 def segment_chunks_overlap(spark, sf_dir):
     out = segment.markdown_segments(docs(spark, sf_dir))
     return out.select("segment_id", "article_id", "status", "is_chunk", "chunk_index", "total_chunks", "text_sha256", "segment_index_in_doc")
