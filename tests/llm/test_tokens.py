@@ -95,3 +95,34 @@ def test_shared_chunks_are_encoded_once(spark, monkeypatch):
 def test_clashing_names_and_nulls_in_ids(spark):
     df = spark.createDataFrame([(1, "a b", "x", 2), (None, "c", "y", 3)], "doc_id long, text string, raw string, ids int")
     assert [r.doc_id for r in bpe.round_trip(df, WORD).collect()] == [1]
+
+
+def long_texts():
+    rng = random.Random(21)
+    words = ["the", "Entione", "ñoso", "über!!", "don't", "12", "漢字", "x" * 70]
+    return [" ".join(rng.choices(words, k=60_000)), "".join(rng.choices("abcé ", k=200_000)), "ab" * 150_000, "\n" * 100_000]
+
+
+def test_very_long_texts(spark):
+    """Texts of some hundred thousand characters, one of them a single word, come out as the library encodes them."""
+    data = list(enumerate(long_texts()))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    read = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(token_files.write_tokens(df, BYTE, 0)).collect()}
+    back = {r.doc_id: r for r in bpe.round_trip(df, WORD).collect()}
+    for doc_id, text in data:
+        ids = [*TOK[BYTE].encode(text, add_special_tokens=False).ids, 0]
+        assert read[doc_id] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        ids = TOK[WORD].encode(text, add_special_tokens=False).ids
+        assert (back[doc_id].n_tokens, back[doc_id].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_rows_of_one_doc_id_follow_each_other(spark):
+    data = [(5, "b"), (5, "a a a"), (5, None), (4, "c c"), (6, "d"), (5, "b")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(token_files.write_tokens(df, BYTE, 0)).collect())
+    start, want = 0, []
+    for doc_id, raw in sorted((d, (t or "").encode()) for d, t in data):
+        ids = [*TOK[BYTE].encode(raw.decode(), add_special_tokens=False).ids, 0]
+        want.append((start, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
