@@ -168,7 +168,10 @@ def text_hash(text) -> Column:
     return F.sha2(_col(text), 256)
 
 
-def article_id(content, prefix: str = "SLD-") -> Column:
+ID_PREFIX = "SLD-"  # fixed value: what stored article ids begin with
+
+
+def article_id(content, prefix: str = ID_PREFIX) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(_col(content), 256), 1, 8)))
 
 
