@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
-from .scan import prefix_scan
+from .scan import numbered, prefix_scan
 
 R4 = lambda c: F.round(c, 4)
 
@@ -83,9 +83,8 @@ def ranking_metrics(results: DataFrame, gold: DataFrame, k: int = 10) -> DataFra
     """P@k, R@k, MRR, MAP and nDCG@k over the annotated results in rank order."""
     rows = join_gold(results, gold)
     n_rel = gold.groupBy("paragraph_id").agg(F.max("human_label").alias("l")).agg(F.sum("l").alias("all_rel"))
-    w = Window.orderBy("rank")  # only annotated rows, a human's work
-    rows = rows.withColumn("pos", F.row_number().over(w)).withColumn("hits", F.sum("human_label").over(w))
-    rows = rows.withColumn("ideal", F.row_number().over(Window.orderBy(F.desc("human_label"), "rank")))
+    rows = prefix_scan(rows.select("paragraph_id", "rank", "human_label"), ["rank", "paragraph_id"], {"pos": F.lit(1), "hits": F.col("human_label")})
+    rows = numbered(rows, [F.desc("human_label"), "rank", "paragraph_id"], "ideal")
     rel = F.col("human_label") == 1
     gain = lambda p: (F.pow(F.lit(2.0), F.col("human_label")) - 1) / F.log2(F.col(p) + 1.0)
     z = lambda c: F.coalesce(c, F.lit(0.0))
