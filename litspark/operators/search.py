@@ -74,16 +74,17 @@ def adjacent(df: DataFrame, text: str = "text", gap_free: bool = False) -> DataF
 
 def multi_anchor_search(
     segments: DataFrame, anchors: DataFrame, strategy: str = "maximum", threshold: float = 0.5, articles: list | None = None,
-    only_retained: bool = False, chunk_aggregation: str | None = None, ties: tuple = ("article_id", "paragraph_id"),
+    only_retained: bool = False, chunk_aggregation: str | None = None, ties: tuple = ("article_id", "paragraph_id"), ranked: bool = True,
 ) -> DataFrame:
-    """The flagship query: filter, similarities, aggregate, threshold, consolidate, rank."""
+    """The flagship query: filter, similarities, aggregate, threshold, consolidate, rank.  Ranking sorts all rows; what needs
+    only scores goes without."""
     out = anchor_scores(valid_segments(segments, articles), anchors, strategy)
     out = out.withColumn("selected", F.col("aggregate_score") >= threshold)
     if only_retained:
         out = out.filter("selected")
     if chunk_aggregation:
         out = consolidate_chunks(out, chunk_aggregation)
-    return global_rank(out, "aggregate_score", *ties)
+    return global_rank(out, "aggregate_score", *ties) if ranked else out
 
 
 def top_k(segments: DataFrame, anchors: DataFrame, k: int = 10, threshold: float = 0.0, articles: list | None = None) -> DataFrame:

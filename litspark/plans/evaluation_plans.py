@@ -23,8 +23,9 @@ m AS (SELECT *, coalesce(2 * p * rc / nullif(p + rc, 0), 0) AS f FROM q),
 """
 
 
-def results(spark, sf_dir):
-    return scored(spark, sf_dir).select("paragraph_id", F.round((1 + F.col("aggregate_score")) / 2, 6).alias("aggregate_score"), "rank")
+def results(spark, sf_dir, ranked=False):
+    out = scored(spark, sf_dir, ranked=ranked)
+    return out.select("paragraph_id", F.round((1 + F.col("aggregate_score")) / 2, 6).alias("aggregate_score"), *(["rank"] if ranked else []))
 
 
 def gold(spark, sf_dir):
@@ -57,7 +58,7 @@ SELECT round(count(*) FILTER (pos <= 10 AND human_label = 1) / least(count(*), 1
   round(sum((2 ** human_label - 1) / log2(pos + 1)) FILTER (pos <= 10) / sum((2 ** human_label - 1) / log2(ideal + 1)) FILTER (ideal <= 10), 4) AS ndcg FROM o, tot
 """)
 def ir_ranking_metrics(spark, sf_dir):
-    return E.ranking_metrics(results(spark, sf_dir), gold(spark, sf_dir))
+    return E.ranking_metrics(results(spark, sf_dir, ranked=True), gold(spark, sf_dir))
 
 
 Y = ("quality", "toxic", "cast(doc_id % 3 = 0 as int)", "cast(doc_id % 7 = 2 as int)", "cast(quality * (doc_id % 2) as int)")

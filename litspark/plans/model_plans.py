@@ -17,7 +17,7 @@ c AS (SELECT article_id, paragraph_id, coalesce(l, []) AS l, p_max, CASE WHEN l
 
 
 def classified(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = scored(spark, sf_dir, ranked=False)
     p = F.map_from_arrays(F.array(*map(F.lit, CLASSES)), F.transform(F.map_values("anchor_scores"), lambda v: F.round((1 + v) / 2, 6)))
     return classify.apply_thresholds(s.withColumn("probabilities", p), dict.fromkeys(CLASSES, 0.6))
 

@@ -84,7 +84,7 @@ SELECT count(*) AS n_total, count(*) FILTER (aggregate_score >= 0.2) AS n_retain
   round(min(aggregate_score) FILTER (aggregate_score >= 0.2), 4) AS min_score, round(max(aggregate_score) FILTER (aggregate_score >= 0.2), 4) AS max_score FROM g
 """)
 def search_summary(spark, sf_dir):
-    return search.summary(scored(spark, sf_dir))
+    return search.summary(scored(spark, sf_dir, ranked=False))
 
 
 @query(MAX.rstrip().rstrip(",") + """
@@ -96,7 +96,7 @@ SELECT anchor_id, round(avg(s), 4) AS mean_score, round(median(s), 4) AS median_
 FROM s JOIN g USING (article_id, paragraph_id) GROUP BY anchor_id
 """)
 def per_anchor_stats(spark, sf_dir):
-    return search.per_anchor_statistics(scored(spark, sf_dir), 0.2)
+    return search.per_anchor_statistics(scored(spark, sf_dir, ranked=False), 0.2)
 
 
 @query(MAX.rstrip().rstrip(",") + """
@@ -105,12 +105,12 @@ SELECT i / 50.0::DOUBLE AS threshold, count(*) FILTER (aggregate_score >= i / 50
 FROM g, range(0, 51) r(i) GROUP BY i
 """)
 def sensitivity_curve(spark, sf_dir):
-    return search.sensitivity_curve(scored(spark, sf_dir))
+    return search.sensitivity_curve(scored(spark, sf_dir, ranked=False))
 
 
 @query(MAX.rstrip().rstrip(",") + "SELECT CAST(least(greatest(floor((aggregate_score + 0.2) / (1.2 / 30)), 0), 29) AS INT) AS bin, count(*) AS n FROM g GROUP BY 1")
 def score_histogram(spark, sf_dir):
-    return search.histogram(scored(spark, sf_dir), "aggregate_score", 30, -0.2, 1.0)
+    return search.histogram(scored(spark, sf_dir, ranked=False), "aggregate_score", 30, -0.2, 1.0)
 
 
 @query(MAX.rstrip().rstrip(",") + """
@@ -119,14 +119,14 @@ SELECT count(*) AS n, round(avg(aggregate_score), 4) AS mean, round(median(aggre
   round(quantile_cont(aggregate_score, 0.75), 4) AS p75 FROM g
 """)
 def score_describe(spark, sf_dir):
-    return search.describe(scored(spark, sf_dir), "aggregate_score")
+    return search.describe(scored(spark, sf_dir, ranked=False), "aggregate_score")
 
 
 CHUNKS = MAX + "c AS (SELECT article_id, paragraph_id // 2 AS paragraph_id, CAST(paragraph_id % 10 AS INT) AS chunk_index, aggregate_score, best_anchor_id FROM g)"
 
 
 def _chunked(spark, sf_dir):
-    return scored(spark, sf_dir).select("article_id", F.expr("paragraph_id div 2").alias("paragraph_id"), "chunk_index", "aggregate_score", "best_anchor_id")
+    return scored(spark, sf_dir, ranked=False).select("article_id", F.expr("paragraph_id div 2").alias("paragraph_id"), "chunk_index", "aggregate_score", "best_anchor_id")
 
 
 @query(CHUNKS + "SELECT article_id, paragraph_id, arg_max(chunk_index, {'s': aggregate_score, 'n': -chunk_index}) AS chunk_index, max(aggregate_score) AS aggregate_score, arg_max(best_anchor_id, {'s': aggregate_score, 'n': -chunk_index}) AS best_anchor_id FROM c GROUP BY 1, 2")
@@ -168,7 +168,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY st {ORDER}) AS nth FROM t)
 SELECT paragraph_id, aggregate_score FROM n ORDER BY NOT (st IS NOT NULL AND nth <= 5), md5('42|' || paragraph_id), paragraph_id LIMIT 20
 """)
 def sample_stratified(spark, sf_dir):
-    return sampling.stratified_sample(scored(spark, sf_dir), 20, "aggregate_score", "paragraph_id").select("paragraph_id", "aggregate_score")
+    return sampling.stratified_sample(scored(spark, sf_dir, ranked=False), 20, "aggregate_score", "paragraph_id").select("paragraph_id", "aggregate_score")
 
 
 @query(MAX + f"""
@@ -178,22 +178,22 @@ n AS (SELECT *, row_number() OVER (PARTITION BY st {ORDER}) AS nth FROM t)
 SELECT paragraph_id, aggregate_score FROM n ORDER BY nth > 6, md5('42|' || paragraph_id), paragraph_id LIMIT 30
 """)
 def sample_by_similarity(spark, sf_dir):
-    return sampling.stratified_by_similarity(scored(spark, sf_dir), 30, "aggregate_score", "paragraph_id").select("paragraph_id", "aggregate_score")
+    return sampling.stratified_by_similarity(scored(spark, sf_dir, ranked=False), 30, "aggregate_score", "paragraph_id").select("paragraph_id", "aggregate_score")
 
 
 @query(MAX.rstrip().rstrip(",") + f"SELECT paragraph_id, aggregate_score FROM g WHERE round(abs(aggregate_score - 0.2), 9) <= 0.05 {ORDER} LIMIT 30")
 def sample_boundary(spark, sf_dir):
-    return sampling.boundary_sample(scored(spark, sf_dir), 30, "aggregate_score", "paragraph_id", 0.2).select("paragraph_id", "aggregate_score")
+    return sampling.boundary_sample(scored(spark, sf_dir, ranked=False), 30, "aggregate_score", "paragraph_id", 0.2).select("paragraph_id", "aggregate_score")
 
 
 @query(MAX.rstrip().rstrip(",") + "SELECT paragraph_id, aggregate_score FROM g ORDER BY aggregate_score DESC, paragraph_id LIMIT 25")
 def sample_topk(spark, sf_dir):
-    return sampling.top_sample(scored(spark, sf_dir), 25, "aggregate_score", "paragraph_id").select("paragraph_id", "aggregate_score")
+    return sampling.top_sample(scored(spark, sf_dir, ranked=False), 25, "aggregate_score", "paragraph_id").select("paragraph_id", "aggregate_score")
 
 
 @query(BASE + "u AS (SELECT paragraph_id, round(avg(abs((1 + s) / 2 - 0.5)), 6) AS uncertainty FROM s GROUP BY 1) SELECT * FROM u ORDER BY uncertainty, paragraph_id LIMIT 25")
 def sample_uncertainty(spark, sf_dir):
-    p = scored(spark, sf_dir).withColumn("probabilities", F.transform_values("anchor_scores", lambda k, v: (1 + v) / 2))
+    p = scored(spark, sf_dir, ranked=False).withColumn("probabilities", F.transform_values("anchor_scores", lambda k, v: (1 + v) / 2))
     return sampling.uncertainty_sample(p, 25, "probabilities", "paragraph_id").select("paragraph_id", "uncertainty")
 
 
@@ -216,7 +216,7 @@ def vector_products(spark, sf_dir):
 SELECT * FROM v WHERE semantic_score >= 0.05 AND selected = false ORDER BY semantic_score DESC, article_id, paragraph_id LIMIT 100""")
 def candidate_view(spark, sf_dir):
     """The best rows that a threshold of 0.2 leaves out: a filtered view of a hundred rows."""
-    rows = scored(spark, sf_dir).select("article_id", "paragraph_id", F.col("aggregate_score").alias("semantic_score"), "selected")
+    rows = scored(spark, sf_dir, ranked=False).select("article_id", "paragraph_id", F.col("aggregate_score").alias("semantic_score"), "selected")
     return views.view(rows.filter(~F.col("selected")), min_score=0.05, show=100)
 
 
