@@ -90,6 +90,34 @@ def test_killed_and_resumed(spark, tmp_path):
     assert states(spark, f"{base}/changes") == WANT
 
 
+def test_states_by_bucket(spark, tmp_path):
+    """The state store holds a bucket a key, not an item a key; items of one bucket keep their own counts, last events and
+    timers over several batches, in a session of another time zone too."""
+    base, n = str(tmp_path), 300
+    first = [event("o", str(i), ("started", "error", "ok")[i % 3], i % 50, seq=i) for i in range(n)]
+    second = [event("o", str(i), "error", i % 50, seq=i) for i in range(0, n, 2)] + [event("o", "0", "error", 40, seq=9), event("new", "1", "started", 100)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for rows in (first, second):
+        write(spark, f"{base}/events", [rows])
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        events = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+        C.track(spark, events, f"{base}/changes", f"{base}/checkpoint", 2, "70 minutes", late="10 minutes", buckets=4)
+        store = spark.read.format("statestore").option("stateVarName", "items").load(f"{base}/checkpoint")
+        assert store.count() == 4
+        got = C.item_states(spark.read.parquet(f"{base}/changes")).selectExpr("*", "unix_seconds(at) - %d secs" % int(datetime(2024, 1, 1).astimezone().timestamp())).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = {("new", "1"): ("active", 0, 0, 100, 1)}
+    for i in range(n):
+        both = [("started", "error", "ok")[i % 3]] + ["error"] * (i % 2 == 0) + ["error"] * (i == 0)
+        at = 40 if i == 0 else i % 50  # of equal (at, seq) the later batch's event counts
+        errors, oks = both.count("error"), both.count("ok")
+        state = "completed" if both[-1] == "ok" else "failed" if both[-1] == "error" and errors >= 2 else "active" if at + 70 >= 90 else "interrupted"
+        want["o", str(i)] = (state, errors, oks, at, 1 + (i % 2 == 0) + (state == "interrupted"))
+    assert {(r.operation_id, r.item_key): (r.state, r.errors, r.oks, r.secs // 60, r.version) for r in got} == want
+
+
 @pytest.fixture(autouse=True)
 def few_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
