@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ANCHORS = 1000  # anchors are parameters of a search, collected to the driver; more is an error
+BLOCK = 1 << 20  # numbers of a block of vectors or of its cosines: 8 MB
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -32,21 +34,33 @@ def centroid(vectors: np.ndarray) -> np.ndarray:
     return unit(unit(vectors).mean(0))
 
 
+def cosines(v: pa.Array, anchors: np.ndarray) -> pa.Array:
+    """Cosines of a list array's vectors with unit anchors; components that are null count as 0, a null vector has none."""
+    there = np.asarray(v.is_valid())
+    lengths = np.unique(np.asarray(pc.list_value_length(v.drop_null())))
+    if len(lengths) > 1:
+        raise ValueError("vectors of different lengths")
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = unit(np.nan_to_num(flat).reshape(there.sum(), lengths[0] if len(lengths) else anchors.shape[1]))
+    offsets = np.append(0, np.cumsum(there * len(anchors))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((x @ anchors.T).ravel()), mask=pa.array(~there))
+
+
 def similarities(vector, matrix: np.ndarray) -> Column:
-    """Cosines of a vector column with the rows of a matrix: array<double>; null for a null vector."""
+    """Cosines of a vector column with the rows of a matrix: array<double>; null for a null vector.
+
+    Marked as not deterministic, although it is: else the optimiser copies it into every filter on what follows from it, and
+    a task runs a Python worker and the product for each copy."""
     anchors = unit(matrix)
+    rows = max(1, BLOCK // max(anchors.shape))
 
-    @F.pandas_udf("array<double>")
-    def product(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def product(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for v in batches:
-            out = pd.Series([None] * len(v), dtype=object)
-            there = np.flatnonzero(v.notna().to_numpy())
-            if len(there):
-                x = unit(np.stack([np.nan_to_num(np.asarray(r, dtype=np.float64)) for r in v.iloc[there]]))
-                out.iloc[there] = list(x @ anchors.T)
-            yield out
-
-    return product(vector)
+            for i in range(0, len(v), rows):
+                yield cosines(v.slice(i, rows), anchors)
+
+    return product.asNondeterministic()(vector)
 
 
 def dot(a, b) -> Column:
