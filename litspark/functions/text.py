@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -45,10 +47,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition, which no built-in offers."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+NFC_ROWS = 64  # texts that a worker holds as Python strings at a time
+
+
+@F.arrow_udf(StringType())
+def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Canonical composition, which no built-in offers; a few texts at a time, as a batch may hold long ones."""
+    for v in batches:
+        for i in range(0, len(v), NFC_ROWS):
+            texts = v.slice(i, NFC_ROWS).to_pylist()
+            yield pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in texts], pa.string())
 
 
 def normalize_text(text) -> Column:

@@ -1,8 +1,11 @@
-"""What a Python worker holds of a task: one product a row."""
+"""What a Python worker holds of a task: one product a row, few texts at a time."""
+
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from litspark.functions import text as T
 from litspark.functions import vectors as V
 from litspark.plans import model_plans
 from pyspark.sql import functions as F
@@ -32,3 +35,12 @@ def test_cosines(spark, monkeypatch, block):
     assert V.cosines(pa.array([None, None], pa.list_(pa.float32())), V.unit(anchors)).to_pylist() == [None, None]
     with pytest.raises(ValueError):
         V.cosines(pa.array([[1.0, 0.0, 0.0], [1.0]]), V.unit(anchors))
+
+
+def test_few_texts_at_a_time(spark):
+    texts = [None if i % 5 == 0 else "" if i % 5 == 1 else "café Å" * i if i % 5 == 2 else "plain" * i for i in range(300)]
+    want = [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    parts = list(T.nfc.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(map(len, parts)) <= T.NFC_ROWS and [t for p in parts for t in p.to_pylist()] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    assert [r.n for r in df.select("i", T.nfc("t").alias("n")).orderBy("i").collect()] == want
