@@ -284,8 +284,10 @@ def verify(pairs: DataFrame, folds: DataFrame, texts: DataFrame, k: int, thresho
     if maybe.isEmpty():
         return maybe.select("a", "b", *(F.lit(0).alias(c) for c in ("na", "nb", "o")), F.lit(False).alias("linked"))
     wanted = maybe.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = load_sets(texts, k, id_filter(wanted)).join(wanted.distinct(), "doc_id", "left_semi")  # the bitmap lets others pass
+    found = id_filter(wanted)
+    sets = load_sets(texts, k, found).join(wanted.distinct(), "doc_id", "left_semi")  # the bitmap lets others pass
     sets = materialize(sets, "elements")
+    found.release()
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("elements").alias("s" + x))
     both = maybe.join(side("b"), "b").join(side("a"), "a")
     found = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o"))
@@ -398,7 +400,10 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD,
     folds = every.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("fold").alias("fold"))
     classes = materialize(folds, "classes")
 
-    entries = materialize(prefix_entries(texts, k, threshold, bits, levels, id_filter(classes.select("class_id"))), "entries")
+    first = id_filter(classes.select("class_id"))
+    entries = materialize(prefix_entries(texts, k, threshold, bits, levels, first), "entries")
+    first.release()
+    levels.destroy()
     index = materialize(inverted_lists(*salted(entries, classes, hot_list), threshold), "index")
     discard(entries)
 

@@ -246,9 +246,9 @@ def choose(cells: DataFrame, quota: dict[int, float]) -> list[list[tuple[int, in
     """For each view and sign (good, bad) the least cell that is taken and how many of its id cells: the surest
     documents up to the quota, all of them below it."""
     found: dict = {}
-    for v in (0, 1):
-        for r in cells.filter(f"cell{v} <> 0").groupBy(f"cell{v}").count().collect():  # a bounded number of cells
-            found.setdefault((v, 1 if r[0] > 0 else -1), []).append((abs(r[0]), r["count"]))
+    both = cells.select("hashed", F.posexplode(F.array("cell0", "cell1")).alias("view", "cell"))
+    for r in both.filter("cell <> 0").groupBy("view", "cell").count().collect():  # a bounded number of cells
+        found.setdefault((r.view, 1 if r.cell > 0 else -1), []).append((abs(r.cell), r["count"]))
     rules, edge = {}, {}
     for key, have in found.items():
         left = int(np.ceil(quota[key[1]]))
@@ -259,9 +259,14 @@ def choose(cells: DataFrame, quota: dict[int, float]) -> list[list[tuple[int, in
             left -= n
         else:
             rules[key] = (0, 0)
+    at_edge: dict = {}
+    if edge:
+        on = " or ".join(f"(view = {v} and cell = {sign * cell})" for (v, sign), (cell, _) in edge.items())
+        for r in both.filter(on).groupBy("view", "cell", "hashed").count().collect():  # at most four cells
+            at_edge.setdefault((r.view, 1 if r.cell > 0 else -1), []).append((r.hashed, r["count"]))
     for (v, sign), (cell, left) in edge.items():
         below = 0
-        for hashed, n in sorted(tuple(r) for r in cells.filter(f"cell{v} = {sign * cell}").groupBy("hashed").count().collect()):
+        for hashed, n in sorted(at_edge[v, sign]):
             if left <= 0:
                 break
             left, below = left - n, hashed + 1
@@ -328,14 +333,19 @@ def co_train(labelled: DataFrame, docs: DataFrame, known: DataFrame, rounds: int
     pool = inputs.select("doc_id").join(known, "doc_id", "left_anti").count()
     own = [train.select(F.lit(v).alias("view"), F.col("y").cast("int").alias("mark"), F.col(c).alias("x")) for v, c in enumerate(("text", "meta"))]
     past, given, counts, log = [], [], base, []
+    if rounds and pool:  # a table like those of the rounds: each pass of a fit is one scan
+        given.append(materialize(own[0].unionByName(own[1]), "given"))
     for _ in range(rounds if pool else 0):
         cells = materialize(inputs.mapInArrow(_scorer(models, list(past)), "doc_id long, hashed int, cell0 int, cell1 int").join(known, "doc_id", "left_anti"), "cells")
-        rules = choose(cells, {1: PER_ROUND * pool * share, -1: PER_ROUND * pool * (1 - share)})
+        quota = {1: PER_ROUND * pool * share, -1: PER_ROUND * pool * (1 - share)}
+        rules = choose(cells, quota)
         past.append((models, rules))
-        chosen = id_filter(cells.filter(" or ".join(_fits(v, sign, rule) for v in (0, 1) for sign, rule in zip((1, -1), rules[v]))).select("doc_id"))
+        taken = " or ".join(_fits(v, sign, rule) for v in (0, 1) for sign, rule in zip((1, -1), rules[v]))
+        chosen = id_filter(cells.filter(taken).select("doc_id"), 2 * sum(int(np.ceil(n)) for n in quota.values()))
         discard(cells)
         picked = inputs.mapInArrow(_picker(list(past), chosen), "doc_id long, view int, mark int, x binary").join(known, "doc_id", "left_anti")
-        given.append(materialize(picked.sortWithinPartitions("doc_id", "view", "x"), "given"))
+        given.append(materialize(picked.sortWithinPartitions("doc_id", "view", "x").select("view", "mark", "x"), "given"))
+        chosen.release()
         new = np.zeros((2, 2), np.int64)
         for r in given[-1].groupBy("view", "mark").count().collect():
             new[r.view, r.mark] = r["count"]
@@ -343,8 +353,8 @@ def co_train(labelled: DataFrame, docs: DataFrame, known: DataFrame, rounds: int
         counts = counts + new
         if not new.sum():
             break
-        every = spark.read.schema(given[0].schema).parquet(*(g._litspark_path for g in given)).select("view", "mark", "x")
-        weights = refit(weights, inverse, every.unionByName(own[0]).unionByName(own[1]), counts)
+        every = spark.read.schema(given[0].schema).parquet(*(g._litspark_path for g in given))
+        weights = refit(weights, inverse, every, counts)
         models = _calibrate(held, weights)
     discard(parts, *given)
     prior = float(np.log(have[True, 1] / have[True, 0]))
@@ -466,7 +476,10 @@ def labelled_rows(docs: DataFrame, known: DataFrame, labelled: int) -> DataFrame
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict | None:
     """Co-train on a bounded sample of labelled rows, in hash order, and all unlabelled documents."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    return co_train(labelled_rows(docs, known, labelled), docs, known.select("doc_id"), rounds)
+    known = materialize(known, "known")  # joined several times a round
+    model = co_train(labelled_rows(docs, known, labelled), docs, known.select("doc_id"), rounds)
+    discard(known)
+    return model
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])

@@ -151,3 +151,18 @@ def test_fit_on_executors_comes_near_the_optimum(spark):
             p = 1 / (1 + np.exp(-(x @ w)))
             w -= 0.3 * (x.T @ (weight * (p - y)) + 0.01 * w)
         assert loss(start[v]) - loss(fitted[v]) >= 0.95 * (loss(start[v]) - loss(w)) > 0.05
+
+
+def test_choosing_is_two_small_aggregates(spark):
+    """Counts of both views, then of all cells that a quota ends in: the driver's jobs do not grow with views and signs."""
+    rows = [(i, i % qc.ID_CELLS, [170, -170, 180, -180, 0][i % 5], [200, -200, 0, 190, -190][i % 5]) for i in range(500)]
+    cells = spark.createDataFrame(rows, "doc_id long, hashed int, cell0 int, cell1 int")
+    spark.sparkContext.setJobGroup("choosing", "choosing")
+    try:
+        rules = qc.choose(cells, {1: 130.0, -1: 30.0})
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("choosing"))
+    taken = lambda v, sign, least, below: sum(sign * r[2 + v] > least or (sign * r[2 + v] == least and r[1] < below) for r in rows)
+    assert [[taken(v, sign, *rule) for sign, rule in zip((1, -1), rules[v])] for v in (0, 1)] == [[130, 30], [130, 30]]
+    assert jobs <= 4  # two aggregates of two stages each
