@@ -43,11 +43,12 @@ def decisions(pages: DataFrame, threshold: float = 0.60, whole_text: bool = Fals
     )
 
 
-def remove_references(pages: DataFrame, threshold: float = 0.60, whole_text: bool = False) -> DataFrame:
-    """pages (article_id, page, text) without what follows the heading; an emptied page and those after it go."""
+def remove_references(pages: DataFrame, threshold: float = 0.60, whole_text: bool = False, blank: str = "\\s", keep_emptied: bool = False) -> DataFrame:
+    """pages (article_id, page, text) without what follows the heading; the pages after it go, and its own if nothing is left
+    of it, unless keep_emptied.  blank is the class of characters that go from both ends of what is kept."""
     cut = decisions(pages, threshold, whole_text).filter("references_removed").select("article_id", "start_page", "line_no")
     out = pages.join(cut, "article_id", "left").filter("start_page is null or page <= start_page")
-    kept = F.regexp_replace(F.array_join(F.slice(F.split("text", "\\n"), F.lit(1), F.col("line_no")), "\n"), "(?U)\\A\\s+|\\s+\\z", "")
+    kept = F.regexp_replace(F.array_join(F.slice(F.split("text", "\\n"), F.lit(1), F.col("line_no")), "\n"), f"(?U)\\A{blank}+|{blank}+\\z", "")
     here = F.coalesce(F.col("page") == F.col("start_page"), F.lit(False))
     out = out.withColumn("text", F.when(here, kept).otherwise(F.col("text")))
-    return out.filter(~here | (F.col("text") != "")).select("article_id", "page", "text")
+    return (out if keep_emptied else out.filter(~here | (F.col("text") != ""))).select("article_id", "page", "text")
