@@ -18,6 +18,12 @@ from .scan import numbered, prefix_scan
 R4 = lambda c: F.round(c, 4)
 
 
+def scaled_round(c: Column | str, places: int) -> Column:
+    """c rounded half up after scaling, as the SQL's round does it: F.round rounds the shortest decimal of a double instead, and
+    (1 + 0.039999) / 2 then reaches 0.52, which the SQL leaves at 0.519999."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 10.0**places) / 10.0**places
+
+
 def _ratio(a, b) -> Column:
     return F.try_divide(a.cast("double") if isinstance(a, Column) else F.col(a).cast("double"), b if isinstance(b, Column) else F.col(b))
 
@@ -60,11 +66,12 @@ def threshold_grid(results: DataFrame, gold: DataFrame, first: int = 20, step: i
     """Metrics of every threshold 0.20 .. 0.94 over annotated results; retrieved counts all results."""
     m = _prf(_counts(join_gold(results, gold), "aggregate_score", "human_label", first, step, n))
     z = lambda c: F.coalesce(c, F.lit(0.0))
+    r4 = lambda c: scaled_round(c, 4)
     every = _counts(results.withColumn("_one", F.lit(1)), "aggregate_score", "_one", first, step, n).select("i", F.col("tp").alias("retrieved"))
     m = m.join(every, "i")
     return m.select(
-        "threshold", "tp", "fp", "fn", "tn", R4("precision").alias("precision"), R4("recall").alias("recall"), R4("f1").alias("f1"),
-        R4(z(_ratio("tn", F.col("tn") + F.col("fp")))).alias("specificity"), R4(z(_ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))).alias("accuracy"), "retrieved",
+        "threshold", "tp", "fp", "fn", "tn", r4("precision").alias("precision"), r4("recall").alias("recall"), r4("f1").alias("f1"),
+        r4(z(_ratio("tn", F.col("tn") + F.col("fp")))).alias("specificity"), r4(z(_ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))).alias("accuracy"), "retrieved",
     )
 
 

@@ -23,9 +23,13 @@ m AS (SELECT *, coalesce(2 * p * rc / nullif(p + rc, 0), 0) AS f FROM q),
 """
 
 
+def unit_score():
+    return E.scaled_round((1 + F.col("aggregate_score")) / 2, 6).alias("aggregate_score")
+
+
 def results(spark, sf_dir, ranked=False):
     out = scored(spark, sf_dir, ranked=ranked)
-    return out.select("paragraph_id", F.round((1 + F.col("aggregate_score")) / 2, 6).alias("aggregate_score"), *(["rank"] if ranked else []))
+    return out.select("paragraph_id", unit_score(), *(["rank"] if ranked else []))
 
 
 def gold(spark, sf_dir):
@@ -170,7 +174,7 @@ def model_comparison(spark, sf_dir):
     found = {}
     for name, (p, a) in both.items():
         r = search.multi_anchor_search(p, a, threshold=0.0)
-        found[name] = r.select("paragraph_id", F.round((1 + F.col("aggregate_score")) / 2, 6).alias("aggregate_score"), "rank")
+        found[name] = r.select("paragraph_id", unit_score(), "rank")
     return E.compare_models(found, gold(spark, sf_dir))
 
 
